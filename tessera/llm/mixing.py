@@ -17,7 +17,8 @@ root, so they cannot run away; they end when every source is within TOLERANCE.
 Rates become copies by systematic rounding in order of size: a document gets
 one more copy where the running sum of fractional parts passes a whole number.
 In each source that keeps the sum of taken words within one largest document of
-the target. The running sum is made of three parts, each small: of the
+the target; of OFFSETS starting points of that sum each source takes the one
+that comes nearest. The running sum is made of three parts, each small: of the
 (source, size) cells before, of the salts before within the cell, and of the
 rows before within the salt; a cell of many equal rows is dealt to as many
 salts as it needs, so no task sees a large cell.
@@ -39,6 +40,7 @@ MOST = 2.0
 TOLERANCE = 1e-9
 STEPS = 60
 SALT_ROWS = 5000
+OFFSETS = 64
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -125,6 +127,13 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     before = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     cells = rates(sized, **how)
     cells = cells.withColumn("part", F.col("rate") - F.floor("rate")).withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("part")).over(before), F.lit(0.0)))
+    # of OFFSETS equal places for the rounding to begin, each source takes the one that comes nearest its target
+    begins = F.array(*[F.lit((i + 0.5) / OFFSETS) for i in range(OFFSETS)])
+    ends = lambda k, u: F.floor(F.col("start") + k * F.col("part") + u)
+    tried = cells.select("source", "target", (F.floor("rate") * F.col("n") * F.col("size")).alias("sure"), "start", "part", "n", "size", F.explode(begins).alias("u"))
+    tried = tried.groupBy("source", "target", "u").agg(F.sum(F.col("sure") + F.col("size") * (ends(F.col("n"), F.col("u")) - ends(F.lit(0), F.col("u")))).alias("got"))
+    begin = tried.groupBy("source").agg(F.min(F.struct(F.abs(F.col("got") - F.col("target")).alias("off"), F.col("u").alias("u")))["u"].alias("u")).withColumnRenamed("source", "u_source")
+    cells = cells.join(begin, F.col("source").eqNullSafe(F.col("u_source"))).drop("u_source")
     cells = cells.withColumnsRenamed({"source": "c_source", "size": "c_size"})
     rows = sized.join(cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))).drop("c_source", "c_size")
     rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod("h", F.ceil(F.col("n") / SALT_ROWS)))
@@ -134,7 +143,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     rows = rows.join(salts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("salt") == F.col("c_salt")))
     rows = rows.repartition("source", "size", "salt")
     nth = F.col("skip") + F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("h", "doc_id"))
-    at = lambda k: F.floor(F.col("start") + k * F.col("part") + 0.5)
+    at = lambda k: F.floor(F.col("start") + k * F.col("part") + F.col("u"))
     rows = rows.withColumn("nth", nth).withColumn("copies", (F.floor("rate") + at(F.col("nth")) - at(F.col("nth") - 1)).cast("int"))
     return rows.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

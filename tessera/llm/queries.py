@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, licenses, mixing, rules, sharding
+from tessera.llm import fingerprints, licenses, mixing, rules, sharding, suffix_dedup
 from tessera.llm._common import read
 
 QUERIES = {}
@@ -26,6 +26,11 @@ def op1(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+@_query("op6_suffix_dedup")
+def op6(spark, sf_dir):
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
 @_query("op7_fingerprints")
 def op7(spark, sf_dir):
     return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
