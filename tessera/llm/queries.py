@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, licenses, mixing, rules, sharding, suffix_dedup
+from tessera.llm import fingerprints, langid, licenses, mixing, near_dup, rules, sharding, suffix_dedup
 from tessera.llm._common import read
 
 QUERIES = {}
@@ -26,6 +26,16 @@ def op1(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+@_query("op3_language_id")
+def op3(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+@_query("op5_near_dup")
+def op5(spark, sf_dir):
+    return near_dup.classes(read(spark, sf_dir, "documents")).drop("node")
+
+
 @_query("op6_suffix_dedup")
 def op6(spark, sf_dir):
     return suffix_dedup.report(read(spark, sf_dir, "documents"))
