@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from tessera.llm import fingerprints, langid, licenses, mixing, near_dup, rules, sharding, suffix_dedup
+from tessera.llm import bpe, fingerprints, langid, licenses, mixing, near_dup, rules, sharding, suffix_dedup
 from tessera.llm._common import read
 
 QUERIES = {}
@@ -31,6 +31,11 @@ def op3(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+@_query("op4_bpe")
+def op4(spark, sf_dir):
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @_query("op5_near_dup")
 def op5(spark, sf_dir):
     return near_dup.classes(read(spark, sf_dir, "documents")).drop("node")
