@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tessera.llm import bpe, fingerprints, langid, licenses, mixing, near_dup, rules, sharding, suffix_dedup
+from tessera.llm import bpe, fingerprints, langid, licenses, mixing, near_dup, quality_gam, rules, sharding, suffix_dedup
 from tessera.llm._common import read
 
 QUERIES = {}
@@ -26,6 +26,11 @@ def op1(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+@_query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    return quality_gam.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @_query("op3_language_id")
 def op3(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
