@@ -32,7 +32,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +50,7 @@ def rank_table(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@cache
-def _patterns(pattern: str) -> tuple[re.Pattern, regex.Pattern]:
+def patterns(pattern: str) -> tuple[re.Pattern, regex.Pattern]:
     """The pattern for Latin-1 texts and for all texts."""
     wide = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
@@ -64,8 +62,7 @@ def _patterns(pattern: str) -> tuple[re.Pattern, regex.Pattern]:
     return re.compile(narrow.replace(r"\S", f"[^{blank}]").replace(r"\s", f"[{blank}]")), wide
 
 
-def pre_tokens(text: str, pattern: str) -> list[str]:
-    narrow, wide = _patterns(pattern)
+def pre_tokens(text: str, narrow: re.Pattern, wide: regex.Pattern) -> list[str]:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
@@ -82,8 +79,9 @@ def _vocabulary(rows: list[tuple], pattern: str) -> tuple[dict[str, int], list[n
     """The distinct words by first occurrence, and for each text the numbers of its words."""
     numbers: dict[str, int] = {}
     texts = []
+    both = patterns(pattern)
     for _, text in rows:
-        words = pre_tokens(text, pattern)
+        words = pre_tokens(text, *both)
         texts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
     return numbers, texts
 
@@ -96,8 +94,9 @@ def _buckets(words: list[bytes], n: int) -> np.ndarray:
 def _send_words(pattern: str, n_buckets: int):
     def run(t: pa.Table) -> pa.Table:
         numbers: dict[str, int] = {}
+        both = patterns(pattern)
         for _, text in _in_order(t):
-            for w in dict.fromkeys(pre_tokens(text, pattern)):
+            for w in dict.fromkeys(pre_tokens(text, *both)):
                 numbers.setdefault(w, len(numbers))
         words = [w.encode("utf-8", "surrogatepass") for w in numbers]
         bucket = _buckets(words, n_buckets)

@@ -45,15 +45,20 @@ LEAST_SHARE = 0.5
 
 
 @cache
-def _letters() -> np.ndarray:
-    """For each code point whether it is a letter."""
-    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+def letter_bits() -> np.ndarray:
+    """For each code point whether it is a letter, eight to a byte; made on the driver and sent along."""
+    n = sys.maxunicode + 1
+    return np.packbits(np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(n)), bool, n))
 
 
-def grams(text: str, bits: int = BUCKET_BITS) -> np.ndarray:
+def letter_table(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed).view(bool)
+
+
+def grams(text: str, letters: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
     """Buckets of the trigrams around each letter; blanks stand for what is no letter."""
     low = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = _letters()[low]
+    is_letter = letters[low]
     if not is_letter.any():
         return np.zeros(0, np.int64)
     x = np.zeros(len(low) + 2, np.uint32)
@@ -67,7 +72,10 @@ def grams(text: str, bits: int = BUCKET_BITS) -> np.ndarray:
 
 
 def _count(bits: int):
+    packed = letter_bits()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_table(packed)
         sums: dict[str, np.ndarray] = {}
 
         def put() -> Iterator[pa.RecordBatch]:
@@ -82,7 +90,7 @@ def _count(bits: int):
                         yield from put()
                         sums = {}
                     sums[lang] = np.zeros(1 << bits, np.int64)
-                np.add.at(sums[lang], grams(text, bits), 1)
+                np.add.at(sums[lang], grams(text, letters, bits), 1)
         yield from put()
 
     return run
@@ -139,11 +147,14 @@ def infer(buckets: np.ndarray, table: np.ndarray, penalty: float = PENALTY) -> n
 
 
 def _predict(names: list[str], table: np.ndarray, bits: int):
+    packed = letter_bits()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_table(packed)
         for batch in batches:
             lang, score = [], []
             for text in batch.column("text").to_pylist():
-                g = grams(text, bits)
+                g = grams(text, letters, bits)
                 if not len(g) or not names:
                     lang.append("und")
                     score.append(0.0)
@@ -171,11 +182,12 @@ def keep_known(docs: DataFrame, least: float = LEAST_SHARE, bits: int = BUCKET_B
     """The documents, in their own columns, of which one learned language makes up at least that share."""
     d = docs.select("doc_id", "lang", "text").withColumn("held_out", held_out(F.col("doc_id"), LEARN_MOD, LEARN_NOT))
     names, table = learn(d.where("not held_out"), bits)
+    predict = _predict(names, table, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text").to_pylist()
-            found = next(_predict(names, table, bits)(iter([pa.record_batch({"text": pa.array([t or "" for t in text], pa.string())})])))
+            found = next(predict(iter([pa.record_batch({"text": pa.array([t or "" for t in text], pa.string())})])))
             keep = [x != "und" and s >= least for x, s in zip(found["lang_pred"].to_pylist(), found["score"].to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
