@@ -17,9 +17,10 @@ windows share their anchor, so that a pass handles a run of windows at a time.
    cannot be repeated. For the others: the least id, and whether all
    occurrences have equal surroundings.
 2. Runs with a repeated anchor. If its surroundings are the same everywhere,
-   the whole run is repeated wherever the id is not the least. Else its windows
-   go on to the last pass.
-3. Pass on the rest of the window. Each remaining window gives (hash of its
+   the whole run is repeated wherever the id is not the least. The others are
+   grouped by anchor and surroundings: a run is repeated as a whole if a smaller
+   id has an equal one; the first of its kind goes on to the last pass.
+3. Pass on the rest of the window. Each window of those runs gives (hash of its
    LENGTH bytes, id); it is repeated where a smaller id has it.
 
 Repeats inside one document need no pass between documents: they are found
@@ -28,7 +29,7 @@ where the document is, by the same two digits.
 Each pass is an aggregation with partial sums on the map side, so one passage in
 a third of all documents is one row for each map task; the joins back to
 documents are plain shuffles whose hot keys AQE can split. Hashes have 64 bits
-for anchors and 128 for surroundings and windows. What a pass finds is staged
+for anchors, 128 for anchors with surroundings and for windows. What a pass finds is staged
 in the shared folder, which ends lineage and lets shuffle files go.
 
 Nulls: a null text is empty; a null doc_id orders first. Rows that share a
@@ -161,22 +162,21 @@ def _digest(raw: memoryview) -> bytes:
     return xxhash.xxh3_128_digest(raw)
 
 
-def _anchor_rows(length: int, gram: int, surroundings: bool):
-    """For each run: (g, key, th, first, last) and, for the first pass, a hash of what its windows cover."""
+def _anchor_rows(length: int, gram: int, places: bool):
+    """For each run: (g, c, key[, th, run]), hashes of its anchor and of all bytes its windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = xxhash.xxh3_64_intdigest
         for cols, slab, starts, ends in _slabs(batches, ["key", "th"]):
             doc, begin, finish, g = runs(slab, starts, ends, length, gram)
-            key = np.asarray(cols["key"], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
-            if surroundings:
-                raw = memoryview(slab)
-                of = xxhash.xxh3_64_intdigest
-                c = np.fromiter((of(raw[a:z]) for a, z in zip(begin.tolist(), (finish + length).tolist(), strict=True)), np.uint64, len(begin))
-                yield pa.record_batch({"g": _signed(g), "key": key, "c": _signed(c)})
-            else:
-                th = np.asarray(cols["th"], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
-                at = starts[doc] if len(doc) else np.zeros(0, np.int64)
-                yield pa.record_batch({"g": _signed(g), "key": key, "th": th, "run": ((begin - at) << 7) | (finish - begin)})
+            if not len(doc):
+                continue
+            raw = memoryview(slab)
+            c = np.fromiter((of(raw[a:z]) for a, z in zip(begin.tolist(), (finish + length).tolist(), strict=True)), np.uint64, len(begin))
+            out = {"g": _signed(g), "c": _signed(c), "key": np.asarray(cols["key"], np.int64)[doc]}
+            if places:
+                out |= {"th": np.asarray(cols["th"], np.int64)[doc], "run": ((begin - starts[doc]) << 7) | (finish - begin)}
+            yield pa.record_batch(out)
 
     return run
 
@@ -306,20 +306,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text:
     long = d.where(F.octet_length("body") >= length)
 
     # pass 1: anchors that occur in two documents or more
-    rows = long.mapInArrow(_anchor_rows(length, gram, True), "g long, key long, c long")
+    rows = long.mapInArrow(_anchor_rows(length, gram, False), "g long, c long, key long")
     first = rows.groupBy("g").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.min("c").alias("c1"), F.max("c").alias("c2"))
     first = first.where("least < most").select("g", "least", (F.col("c1") != F.col("c2")).alias("mixed"))
     first = stage_table(first, "suffix-anchors")
     release(spark)
 
-    # runs with such an anchor, by document
-    rows = long.mapInArrow(_anchor_rows(length, gram, False), "g long, key long, th long, run long")
+    # pass 2: runs with such an anchor; whole: repeated, open: the first of its kind, but its windows may occur elsewhere
+    rows = long.mapInArrow(_anchor_rows(length, gram, True), "g long, c long, key long, th long, run long")
     hits = rows.join(first, "g").where(F.col("mixed") | (F.col("key") > F.col("least")))
-    by = hits.groupBy("key", "th").agg(F.collect_list(F.when(F.col("mixed"), F.col("run"))).alias("open"), F.collect_list(F.when(~F.col("mixed"), F.col("run"))).alias("whole"))
+    hits = stage_table(hits.select("g", "c", "key", "th", "run", "mixed"), "suffix-hits")
+    release(spark)
+    mixed = hits.where("mixed").select("g", "c", "key", "th", "run")
+    kinds = mixed.groupBy("g", "c").agg(F.min("key").alias("least"))
+    mixed = mixed.join(kinds, ["g", "c"]).select("key", "th", "run", (F.col("key") == F.col("least")).alias("open"))
+    by = hits.where("not mixed").select("key", "th", "run", F.lit(False).alias("open")).unionByName(mixed).groupBy("key", "th")
+    by = by.agg(F.collect_list(F.when(F.col("open"), F.col("run"))).alias("open"), F.collect_list(F.when(~F.col("open"), F.col("run"))).alias("whole"))
     by = stage_table(by, "suffix-runs")
     release(spark)
 
-    # pass 2: windows of the open runs
+    # pass 3: windows of the open runs
     windows = d.join(by.where(F.size("open") > 0).select("key", "th", "open"), ["key", "th"])
     windows = windows.mapInArrow(_window_rows(length), "w1 long, w2 long, key long, th long, at long")
     again = windows.groupBy("w1", "w2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("w1", "w2", "least")
