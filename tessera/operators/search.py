@@ -22,11 +22,15 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     document becomes one row of term counts and its length before any shuffle.
     """
     terms = list(dict.fromkeys(terms))
+
+    def is_term(term: str):
+        return lambda w: w == F.lit(term)
+
     toks = docs.select(F.col(key), word_tokens(F.col(text)).alias("toks"))
     counted = toks.select(
         key,
         F.size("toks").alias("len"),
-        F.array(*[F.size(F.filter("toks", lambda w, t=t: w == F.lit(t))) for t in terms]).alias("tfs"),
+        F.array(*[F.size(F.filter("toks", is_term(t))) for t in terms]).alias("tfs"),
     )
     stats = counted.agg(
         F.count("*").alias("n"),
