@@ -60,12 +60,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there.
 
-    Files stay until drop_staged(), since lazily evaluated results may need them.
+    narrow: the rows are few and short beside the texts that the number of
+    shuffle partitions is meant for, so an eighth as many files will do. Files
+    stay until drop_staged(), since lazily evaluated results may need them.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(1, shuffle_partitions(spark) // 8))
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,11 +15,11 @@ probability equal to the likeness.
 
 Banding: BANDS keys of ROWS registers each; a pair of likeness 0.8 shares one
 with probability over 0.999. Texts that are equal are one node from the start.
-Candidates are compared in rounds: in each bucket a pivot (the least node in a
-pseudo-random order that changes from round to round) is paired with every
-member not yet in its component, so a round makes no more pairs than members.
-Every pair is verified on whole texts. Rounds go on until one finds no new
-link, but at least MIN_ROUNDS; each round with links leaves fewer components.
+Candidates are compared in rounds: in each bucket PIVOTS pivots (the least nodes
+in pseudo-random orders that change from round to round) are paired with every
+member not yet in their component, so pairs are in proportion to members. Every
+pair is verified on whole texts. Rounds go on until one finds no new link; each
+round with links leaves fewer components.
 
 Components are made of verified links by alternating large-star and small-star
 steps: all in DataFrames, a logarithmic number of steps, hubs only in
@@ -46,7 +46,7 @@ from tessera.llm._common import id_of, key_of, release, stage_table, text_or_emp
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 7
-MIN_ROUNDS = 2
+PIVOTS = 2
 #: Bytes of text that are worked on at once.
 SLAB = 1 << 20
 
@@ -216,29 +216,30 @@ def _verify(n: int, threshold: float):
 
 def components(links: DataFrame, limit: int = 40) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the least node of its component."""
-    pairs = stage_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
+    pairs = stage_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components", narrow=True)
+    seen = None
     for _ in range(limit):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: each larger neighbour hangs on the least of the neighbourhood
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage_table(large, "components")
+        large = stage_table(large, "components", narrow=True)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: each smaller neighbour, and the node itself, hangs on the least of them
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = stage_table(small, "components")
-        same = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        pairs = small
-        if same:
+        pairs = stage_table(small, "components", narrow=True)
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
             break
+        seen = now
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def links(signed: DataFrame, docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, min_rounds: int = MIN_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(verified links (a, b, likeness), components (node, root)) of the nodes of signed (key, node, bands)."""
+def linked(signed: DataFrame, docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) for the nodes of signed (key, node, bands) that have a verified link."""
     spark = docs.sparkSession
     reps = signed.groupBy("node").agg(F.min(F.struct("key", "bands"))["bands"].alias("bands"))
     members = reps.select("node", F.explode("bands").alias("band"))
@@ -249,35 +250,29 @@ def links(signed: DataFrame, docs: DataFrame, n: int = SHINGLE, threshold: float
     # one row for each node; equal nodes have equal texts
     texts = stage_table(texts.groupBy("node").agg(F.first("body").alias("body")), "near-texts")
     release(spark)
-    comps = None
-    every = tried = None
+    comps = tried = None
     for turn in count():
-        here = members
-        if comps is not None:
-            here = members.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            here = members.withColumn("root", F.col("node"))
-        # a pseudo-random order of nodes, which the band's own bits choose among four; an exclusive or can be undone
-        salt = F.xxhash64(F.col("band").bitwiseAND(F.lit(3)), F.lit(turn))
-        pivots = here.groupBy("band").agg(F.min(F.struct(F.col("node").bitwiseXOR(salt).alias("o"), F.col("root").alias("pivot_root"))).alias("p"))
-        pivots = pivots.select("band", F.col("p.o").bitwiseXOR(salt).alias("pivot"), "p.pivot_root")
-        pairs = here.join(pivots, "band").where("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        here = members.withColumn("root", F.col("node")) if comps is None else members.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # pivots: least nodes in pseudo-random orders, which the band's own bits choose among four; an exclusive or can be undone
+        salts = [F.xxhash64(F.col("band").bitwiseAND(F.lit(3)), F.lit(PIVOTS * turn + i)) for i in range(PIVOTS)]
+        least = [F.min(F.struct(F.col("node").bitwiseXOR(salt).alias("o"), F.col("root").alias("r"))).alias(f"p{i}") for i, salt in enumerate(salts)]
+        chosen = F.array(*[F.struct(F.col(f"p{i}.o").bitwiseXOR(salt).alias("pivot"), F.col(f"p{i}.r").alias("r")) for i, salt in enumerate(salts)])
+        pivots = here.groupBy("band").agg(*least).select("band", F.explode(F.array_distinct(chosen)).alias("p"))
+        pairs = here.join(pivots, "band").where("root <> p.r").select(F.least("node", "p.pivot").alias("a"), F.greatest("node", "p.pivot").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage_table(pairs, "near-pairs")
+        pairs = stage_table(pairs, "near-pairs", narrow=True)
         tried = pairs if tried is None else tried.unionByName(pairs)
         one = pairs.join(texts.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
         two = one.join(texts.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
         new = stage_table(two.select("a", "b", "body_a", "body_b").mapInArrow(_verify(n, threshold), "a long, b long, likeness double"), "near-links")
         none = new.isEmpty()
-        every = new if every is None else every.unionByName(new)
         if not none or comps is None:
-            stars = every.select("a", "b") if comps is None else new.select("a", "b").unionByName(comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            stars = new.select("a", "b") if comps is None else new.select("a", "b").unionByName(comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
             comps = components(stars)
         release(spark)
-        if none and turn + 1 >= min_rounds:
-            break
-    return every, comps
+        if none:
+            return comps
 
 
 def sign(docs: DataFrame, n: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -292,7 +287,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, n_b
     """
     d = docs.select(key_of(F.col("doc_id")).alias("key"), text_or_empty(F.col("text")).alias("text"))
     signed = stage_table(sign(d, n, n_bands, rows), "near-signed")
-    _, comps = links(signed, d, n, threshold)
+    comps = linked(signed, d, n, threshold)
     # copies are counted before anything is joined, so a large group of them is one row
     nodes = signed.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("copies")).join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = stage_table(nodes, "near-nodes")
