@@ -11,3 +11,55 @@ def word_tokens(text: Column) -> Column:
         F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), 0),
         lambda w: F.octet_length(w) >= 2,
     )
+
+STOPWORDS = ("the", "and", "for", "self", "def", "return", "import", "from", "class", "let", "var", "const", "fn", "pub", "if", "else", "in", "of", "to", "is")
+
+
+def split_identifier(name: Column) -> Column:
+    """Words of an identifier, lower case: snake and camel boundaries, acronyms kept; a single-letter prefix stays on."""
+    s = F.regexp_replace(name, r"(\p{Ll}|\p{N})(\p{Lu})", "$1 $2")
+    s = F.regexp_replace(s, r"(\p{Lu}{2,})(\p{Lu}\p{Ll})", "$1 $2")
+    return F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def code_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """Words of all identifiers of 2 bytes or more that are no stopwords, with repetitions."""
+    parts = F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), 0), split_identifier))
+    return F.filter(parts, lambda w: (F.octet_length(w) >= 2) & ~w.isin(*stopwords))
+
+
+def names_match(candidate: Column, target: Column) -> Column:
+    """Equal, or equal in the last segment after . or ::, either way round."""
+    last = lambda c: F.element_at(F.split(c, r"\.|::"), -1)
+    return (candidate == target) | (last(candidate) == target) | (candidate == last(target))
+
+
+def escape_cell(c: Column) -> Column:
+    """Backslash, tab, CR and LF escaped for a tab-separated cell."""
+    for raw, out in (("\\", "\\\\"), ("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n")):
+        c = F.replace(c, F.lit(raw), F.lit(out))
+    return c
+
+
+def naming_style(c: Column) -> Column:
+    """screaming, snake, pascal, camel, kebab, lower or other."""
+    return (
+        F.when(c.rlike(r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$|^[A-Z]{2,}[0-9]*$"), "screaming").when(c.rlike(r"^[a-z0-9]+(_[a-z0-9]+)+$"), "snake")
+        .when(c.rlike(r"^[A-Z][A-Za-z0-9]*$"), "pascal").when(c.rlike(r"^[a-z]+[a-z0-9]*([A-Z][a-z0-9]*)+$"), "camel")
+        .when(c.rlike(r"^[a-z0-9]+(-[a-z0-9]+)+$"), "kebab").when(c.rlike(r"^[a-z][a-z0-9]*$"), "lower").otherwise("other")
+    )
+
+
+def glob_to_regex(pattern: str) -> str:
+    """A path glob as a regular expression: ** crosses folders, * and ? do not."""
+    out, i = "", 0
+    while i < len(pattern):
+        if pattern.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif pattern.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            c = pattern[i]
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c, "\\" + c if c in ".^$+{}[]()|\\" else c)
+            i += 1
+    return f"^{out}$"

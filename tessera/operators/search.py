@@ -47,3 +47,62 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     raw = sum((part(i) for i in range(1, len(terms))), part(0))
     share = F.size(F.filter("tfs", lambda x: x > 0)) / F.lit(float(len(terms)))
     return joined.select(key, F.when(share < 0.5, raw * share).otherwise(raw).alias("score")).where("score > 0")
+
+
+def dot(a: Column, b: Column) -> Column:
+    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine in doubles; 0 where a length is below 1e-6."""
+    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
+    return F.when((na < 1e-6) | (nb < 1e-6), 0.0).otherwise(dot(a, b) / (na * nb))
+
+
+def l2_normalise(v: Column) -> Column:
+    """Unit length; a zero vector stays as it is."""
+    n = F.sqrt(dot(v, v))
+    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
+def nearest(vectors: DataFrame, query: DataFrame, k: int, threshold: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, score): the k vectors most like the query's one row, the threshold applied after the cut to k."""
+    one = F.broadcast(query.select(F.col(vector).alias("__q")).limit(1))
+    out = vectors.crossJoin(one).select(key, cosine(F.col(vector), F.col("__q")).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return out if threshold is None else out.where(F.col("score") >= threshold)
+
+
+def ranked(hits: DataFrame, key: str) -> DataFrame:
+    """(key, rank) from 1, by score and key; hits are a top-k list."""
+    from pyspark.sql import Window
+
+    return hits.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"))
+
+
+def fuse(left: DataFrame, right: DataFrame, key: str, k: float = 60.0, how: str = "full") -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists: (key, score, side)."""
+    a, b = left.withColumnRenamed("rank", "r1"), right.withColumnRenamed("rank", "r2")
+    part = lambda r: F.coalesce(1.0 / (F.lit(k) + F.col(r)), F.lit(0.0))
+    side = F.when(F.col("r1").isNull(), "right").when(F.col("r2").isNull(), "left").otherwise("both")
+    return a.join(b, key, how).select(key, (part("r1") + part("r2")).alias("score"), side.alias("side"))
+
+
+def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no from 1, line)."""
+    out = docs.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("p", "line"))
+    return out.select(key, (F.col("p") + 1).alias("line_no"), "line")
+
+
+def grep(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no, line) of lines that match."""
+    return lines(docs, key, text).where(F.col("line").rlike(pattern))
+
+
+def grep_context(docs: DataFrame, pattern: str, around: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Matching lines with their neighbours joined by newlines, built inside each document's own array."""
+    arr = docs.select(F.col(key), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("ls"))
+    hits = arr.select(key, "ls", F.posexplode("ls").alias("p", "line")).where(F.col("line").rlike(pattern))
+    first = F.greatest(F.col("p") - around, F.lit(0))
+    ctx = F.slice("ls", first + 1, F.least(F.col("p") + around, F.size("ls") - 1) - first + 1)
+    return hits.select(key, (F.col("p") + 1).alias("line_no"), "line", F.array_join(ctx, "\n").alias("context"))

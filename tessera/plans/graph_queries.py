@@ -169,12 +169,11 @@ def graph_lcom4(spark, sf_dir):
     return graph.lcom4(trade(spark, sf_dir).select(F.col("dst").alias("cls"), F.col("l_suppkey").alias("method"), F.col("src").alias("field")))
 
 
-@query("graph_edge_diff", f"""WITH {TRADE_SQL}, a AS (SELECT DISTINCT src, dst FROM trade WHERE l_partkey % 2 = 0), b AS (SELECT DISTINCT src, dst FROM trade WHERE l_partkey % 2 = 1)
-SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, CASE WHEN a.src IS NULL THEN 'right' WHEN b.src IS NULL THEN 'left' ELSE 'both' END AS side FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst""")
+@query("graph_edge_diff", f"""WITH {G_SQL} SELECT coalesce(a.src, b.dst) AS src, coalesce(a.dst, b.src) AS dst, CASE WHEN a.src IS NULL THEN 'right' WHEN b.src IS NULL THEN 'left' ELSE 'both' END AS side FROM g a FULL JOIN g b ON a.src = b.dst AND a.dst = b.src""")
 def graph_edge_diff(spark, sf_dir):
-    """The graphs of even and of odd parts compared."""
-    t = trade(spark, sf_dir)
-    return graph.edge_diff(t.where("l_partkey % 2 = 0"), t.where("l_partkey % 2 = 1"))
+    """The graph compared with its reverse."""
+    e = g(spark, sf_dir)
+    return graph.edge_diff(e, e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 @query("edge_precision_recall", """WITH p AS (SELECT quality = 1 AS truth, n_chars >= 500 AS guess FROM labels JOIN documents USING (doc_id)),

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from tessera.plans import graph_queries, search_queries  # noqa: E402,F401
+from tessera.plans import graph_queries, relation_queries, search_queries  # noqa: E402,F401

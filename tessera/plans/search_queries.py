@@ -11,7 +11,7 @@ from tessera.session import table
 TERMS = ["the", "and", "la", "tion", "und"]
 
 #: (doc_id, toks) of every document.
-TOKS_SQL = "toks AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), w -> strlen(w) >= 2) AS toks FROM documents)"
+TOKS_SQL = "toks AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda w: strlen(w) >= 2) AS toks FROM documents)"
 
 
 def bm25_sql(terms: list[str], tail: str) -> str:
@@ -20,7 +20,7 @@ def bm25_sql(terms: list[str], tail: str) -> str:
 WITH {TOKS_SQL},
  q(term) AS (VALUES {values}),
  st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM toks),
- tf AS (SELECT doc_id, len(toks) AS dl, term, len(list_filter(toks, w -> w = term)) AS tf FROM toks, q),
+ tf AS (SELECT doc_id, len(toks) AS dl, term, len(list_filter(toks, lambda w: w = term)) AS tf FROM toks, q),
  df AS (SELECT term, sum((tf > 0)::INT) AS df FROM tf GROUP BY term),
  s AS (SELECT doc_id, sum(CASE WHEN tf > 0 THEN ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END) AS raw,
    sum((tf > 0)::INT) / {float(len(terms))} AS share FROM tf JOIN df USING (term), st GROUP BY doc_id),
@@ -37,3 +37,139 @@ def bm25_topk(spark, sf_dir):
         .limit(20)
         .select("doc_id", F.round("score", 6).alias("score"))
     )
+
+
+COS_SQL = "cs AS (SELECT e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
+
+
+@query("cosine_topk", f"WITH {COS_SQL} SELECT vec_id, round(score, 6) AS score FROM cs ORDER BY cs.score DESC, vec_id LIMIT 20")
+def cosine_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return search.nearest(e, e.where("vec_id = 0"), 20).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_search_threshold", f"WITH {COS_SQL}, k AS (SELECT * FROM cs ORDER BY score DESC, vec_id LIMIT 20) SELECT vec_id, round(score, 6) AS score FROM k WHERE score >= 0.3")
+def vector_search_threshold(spark, sf_dir):
+    """The cut to k comes before the threshold."""
+    e = table(spark, sf_dir, "embeddings")
+    return search.nearest(e, e.where("vec_id = 0"), 20, 0.3).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("l2_norm_check", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) < 1e-4 AS is_unit, 1.0 AS norm_after FROM embeddings")
+def l2_norm_check(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    unit = search.l2_normalise(F.col("embedding"))
+    norm = F.sqrt(search.dot(F.col("embedding"), F.col("embedding")))
+    e = e.select("vec_id", F.round(norm, 5).alias("norm"), (F.abs(norm - 1) < 1e-4).alias("is_unit"), unit.alias("u"))
+    return e.select("vec_id", "norm", "is_unit", F.round(F.sqrt(search.dot(F.col("u"), F.col("u"))), 5).alias("norm_after"))
+
+
+RRF_SQL = bm25_sql(TERMS, f""", {COS_SQL}, a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored QUALIFY r <= 50),
+ b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM cs QUALIFY r <= 50),
+ f AS (SELECT coalesce(a.id, b.id) AS id, coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) AS score, CASE WHEN a.id IS NULL THEN 'right' WHEN b.id IS NULL THEN 'left' ELSE 'both' END AS side FROM a FULL JOIN b ON a.id = b.id)
+SELECT id, round(score, 6) AS score, side FROM f ORDER BY f.score DESC, id LIMIT 30""")
+
+
+@query("rrf_hybrid", RRF_SQL)
+def rrf_hybrid(spark, sf_dir):
+    """Keyword and vector ranks fused."""
+    e = table(spark, sf_dir, "embeddings")
+    a = search.bm25(table(spark, sf_dir, "documents"), TERMS).withColumnRenamed("doc_id", "id").orderBy(F.desc("score"), "id").limit(50)
+    b = search.nearest(e, e.where("vec_id = 0"), 50).withColumnRenamed("vec_id", "id")
+    f = search.fuse(search.ranked(a, "id"), search.ranked(b, "id"), "id")
+    return f.orderBy(F.desc("score"), "id").limit(30).select("id", F.round("score", 6).alias("score"), "side")
+
+
+AND_SQL = bm25_sql(TERMS, """, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored QUALIFY r <= 200),
+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT doc_id, count(*) AS score FROM l WHERE regexp_matches(line, '[Tt]oken|http') GROUP BY 1),
+ b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM m QUALIFY r <= 200)
+SELECT doc_id, round(1.0 / (60 + a.r) + 1.0 / (60 + b.r), 6) AS score FROM a JOIN b USING (doc_id)""")
+
+
+@query("bm25_and_regex", AND_SQL)
+def bm25_and_regex(spark, sf_dir):
+    """Documents in both the keyword and the pattern list."""
+    docs = table(spark, sf_dir, "documents")
+    a = search.bm25(docs, TERMS).orderBy(F.desc("score"), "doc_id").limit(200)
+    b = search.grep(docs, "[Tt]oken|http").groupBy("doc_id").agg(F.count("*").alias("score")).orderBy(F.desc("score"), "doc_id").limit(200)
+    return search.fuse(search.ranked(a, "doc_id"), search.ranked(b, "doc_id"), "doc_id", how="inner").select("doc_id", F.round("score", 6).alias("score"))
+
+
+LINES_SQL = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"
+
+
+@query("regex_line_search", f"WITH {LINES_SQL} SELECT doc_id, line_no::INT AS line_no, line FROM l WHERE regexp_matches(line, '[Tt]oken|http|[0-9]{{5}}')")
+def regex_line_search(spark, sf_dir):
+    return search.grep(table(spark, sf_dir, "documents"), "[Tt]oken|http|[0-9]{5}")
+
+
+@query("regex_doc_score", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS score FROM l WHERE regexp_matches(line, '[Tt]oken|http|[0-9]{{5}}') GROUP BY doc_id ORDER BY doc_id LIMIT 50")
+def regex_doc_score(spark, sf_dir):
+    """Matching lines of a document, the first 50 documents in order."""
+    hits = search.grep(table(spark, sf_dir, "documents"), "[Tt]oken|http|[0-9]{5}")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("score")).orderBy("doc_id").limit(50)
+
+
+@query("line_context", f"""WITH {LINES_SQL}, x AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM l)
+SELECT doc_id, line_no::INT AS line_no, line, context FROM x WHERE regexp_matches(line, '[Tt]oken|http')""")
+def line_context(spark, sf_dir):
+    return search.grep_context(table(spark, sf_dir, "documents"), "[Tt]oken|http", 1)
+
+
+@query("identifier_counts", f"WITH {TOKS_SQL} SELECT tok, count(*) AS n FROM (SELECT unnest(toks) AS tok FROM toks) GROUP BY tok ORDER BY n DESC, tok LIMIT 100")
+def identifier_counts(spark, sf_dir):
+    """The 100 commonest tokens."""
+    toks = search.postings(table(spark, sf_dir, "documents")).groupBy(F.col("term").alias("tok")).agg(F.sum("tf").alias("n"))
+    return toks.orderBy(F.desc("n"), "tok").limit(100)
+
+
+@query("refcount_rescue", f"WITH {TOKS_SQL}, c AS (SELECT tok, count(*) AS n FROM (SELECT unnest(toks) AS tok FROM toks) GROUP BY tok) SELECT tok, n FROM c WHERE n < CASE WHEN strlen(tok) < 3 THEN 5 ELSE 2 END")
+def refcount_rescue(spark, sf_dir):
+    """Tokens that too few mentions leave unused: below 2, or 5 for names under 3 bytes."""
+    toks = search.postings(table(spark, sf_dir, "documents")).groupBy(F.col("term").alias("tok")).agg(F.sum("tf").alias("n"))
+    return toks.where(F.col("n") < F.when(F.octet_length("tok") < 3, 5).otherwise(2))
+
+
+@query("bm25_statistics", f"WITH {TOKS_SQL}, d AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM toks) SELECT term, count(*) AS df, (SELECT count(*) FROM toks) AS n, round((SELECT avg(len(toks)) FROM toks), 6) AS avgdl FROM d GROUP BY term ORDER BY df DESC, term LIMIT 100")
+def bm25_statistics(spark, sf_dir):
+    """Document frequencies of the 100 most spread terms, with the corpus's size and mean length."""
+    docs = table(spark, sf_dir, "documents")
+    from tessera.functions.text import word_tokens
+
+    stats = docs.agg(F.count("*").alias("n"), F.round(F.avg(F.size(word_tokens(F.col("text")))), 6).alias("avgdl"))
+    top = search.postings(docs).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(100)
+    return top.crossJoin(F.broadcast(stats))  # one row
+
+
+@query("name_boost", """SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'part 7' THEN 5.0 WHEN contains(lower(p_name), 'part 7') OR contains(lower(p_name), '7') THEN 2.0 ELSE 1.0 END * CASE WHEN contains(lower(p_type), 'test') THEN 0.5 ELSE 1.0 END AS boost FROM part""")
+def name_boost(spark, sf_dir):
+    """Exact names count five times, names that hold the query twice, test paths half."""
+    name = F.lower("p_name")
+    b = F.when(name == "part 7", 5.0).when(name.contains("part 7") | name.contains("7"), 2.0).otherwise(1.0)
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", (b * F.when(F.lower("p_type").contains("test"), 0.5).otherwise(1.0)).alias("boost"))
+
+
+@query("fuzzy_suggestions", "SELECT n_name, levenshtein(n_name, 'NATION_1X') AS distance FROM nation WHERE levenshtein(n_name, 'NATION_1X') <= 6 ORDER BY distance, n_name LIMIT 5")
+def fuzzy_suggestions(spark, sf_dir):
+    d = F.levenshtein("n_name", F.lit("NATION_1X"))
+    return table(spark, sf_dir, "nation").select("n_name", d.cast("long").alias("distance")).where("distance <= 6").orderBy("distance", "n_name").limit(5)
+
+
+@query("line_counts", f"""WITH {LINES_SQL} SELECT doc_id, count(*) AS n_lines, sum((trim(line, ' ' || chr(9) || chr(13)) = '')::INT)::BIGINT AS blank,
+ sum((regexp_matches(line, '^[ \\t]*(#|//|--)'))::INT)::BIGINT AS comment FROM l GROUP BY doc_id""")
+def line_counts(spark, sf_dir):
+    """Blank and comment lines of each document."""
+    ls = F.split(F.coalesce("text", F.lit("")), "\n")
+    count = lambda p: F.size(F.filter(ls, lambda x: x.rlike(p))).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(ls).cast("long").alias("n_lines"), count(r"^[ \t\r]*$").alias("blank"), count(r"^[ \t]*(#|//|--)").alias("comment"))
+
+
+@query("naming_styles", f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_-]+')) AS tok FROM documents)
+SELECT CASE WHEN regexp_matches(tok, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$|^[A-Z]{{2,}}[0-9]*$') THEN 'screaming' WHEN regexp_matches(tok, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 'snake' WHEN regexp_matches(tok, '^[A-Z][A-Za-z0-9]*$') THEN 'pascal'
+ WHEN regexp_matches(tok, '^[a-z]+[a-z0-9]*([A-Z][a-z0-9]*)+$') THEN 'camel' WHEN regexp_matches(tok, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN 'kebab' WHEN regexp_matches(tok, '^[a-z][a-z0-9]*$') THEN 'lower' ELSE 'other' END AS style, count(*) AS n FROM t GROUP BY 1""")
+def naming_styles(spark, sf_dir):
+    """Distinct identifiers by naming convention."""
+    from tessera.functions.text import naming_style
+
+    toks = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]+"), 0)).alias("tok")).distinct()
+    return toks.groupBy(naming_style(F.col("tok")).alias("style")).agg(F.count("*").alias("n"))
