@@ -41,7 +41,7 @@ def affected_semi(spark, sf_dir):
     return relations.affected(table(spark, sf_dir, "customer"), changed, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("enclosing_interval", """WITH e AS (SELECT event_id, event_type, epoch(ts)::BIGINT AS t FROM events), iv AS (SELECT DISTINCT t // 3600 * 3600 AS lo, t // 3600 * 3600 + 3599 AS hi, 'hour' AS name FROM e
+@query("enclosing_interval", """WITH e AS (SELECT event_id, event_type, epoch_us(ts) // 1000000 AS t FROM events), iv AS (SELECT DISTINCT t // 3600 * 3600 AS lo, t // 3600 * 3600 + 3599 AS hi, 'hour' AS name FROM e
  UNION SELECT DISTINCT t // 86400 * 86400, t // 86400 * 86400 + 86399, 'day' FROM e UNION SELECT DISTINCT t // 600 * 600, t // 600 * 600 + 599, 'purchase' FROM e WHERE event_type = 'purchase')
 SELECT event_id, t, name, lo, hi FROM e JOIN iv ON t BETWEEN lo AND hi QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY hi - lo, lo, name) = 1""")
 def enclosing_interval(spark, sf_dir):
