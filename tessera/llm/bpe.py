@@ -3,9 +3,9 @@
 Texts are dealt by hashed id into chunks of about CHUNK_DOCS documents, the
 only time that they move. Then
 
-1. each chunk lists its distinct pre-tokens ("words") in order of first
-   occurrence and sends them, by hash, to buckets: one row for each chunk and
-   bucket, its words end to end. A word that occurs often in a chunk is sent
+1. each chunk lists its distinct pre-tokens ("words") and sends them, by hash,
+   to buckets: one row for each chunk and bucket, its words in order, end to
+   end and compressed. A word that occurs often in a chunk is sent
    once, so frequent words make no hot bucket;
 2. each bucket encodes its distinct words, every one once in the whole corpus,
    and sends each chunk the ids of its words, in the order they came in;
@@ -38,11 +38,13 @@ import pyarrow as pa
 import regex
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm._common import id_of, key_of, shuffle_partitions, text_or_empty
 
-CHUNK_DOCS = 2000
+CHUNK_DOCS = 4000
+ZSTD_LEVEL = 3
 
 
 def rank_table(path: str) -> dict[bytes, int]:
@@ -91,6 +93,19 @@ def _buckets(words: list[bytes], n: int) -> np.ndarray:
     return (np.fromiter((of(w) for w in words), np.uint64, len(words)) % np.uint64(n)).astype(np.int64)
 
 
+def _ordered(numbers: dict[str, int], n_buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words by number, their numbers in order of bucket and word, and the buckets in that order."""
+    words = [w.encode("utf-8", "surrogatepass") for w in numbers]
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    bucket = _buckets(words, n_buckets)[order]
+    by = np.argsort(bucket, kind="stable")
+    return words, order[by], bucket[by]
+
+
+def _id_type(n_ranks: int) -> type:
+    return np.uint16 if n_ranks <= 1 << 16 else np.uint32
+
+
 def _send_words(pattern: str, n_buckets: int):
     def run(t: pa.Table) -> pa.Table:
         numbers: dict[str, int] = {}
@@ -98,17 +113,16 @@ def _send_words(pattern: str, n_buckets: int):
         for _, text in _in_order(t):
             for w in dict.fromkeys(pre_tokens(text, *both)):
                 numbers.setdefault(w, len(numbers))
-        words = [w.encode("utf-8", "surrogatepass") for w in numbers]
-        bucket = _buckets(words, n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        words, order, bucket = _ordered(numbers, n_buckets)
+        cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        pack = zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress
         out = {"chunk": [], "bucket": [], "sizes": [], "words": []}
         for b in np.flatnonzero(np.diff(cut)).tolist():
             some = [words[i] for i in order[cut[b] : cut[b + 1]].tolist()]
             out["chunk"].append(t["chunk"][0].as_py())
             out["bucket"].append(b)
-            out["sizes"].append(np.array([len(w) for w in some], np.uint32).tobytes())
-            out["words"].append(b"".join(some))
+            out["sizes"].append(pack(np.array([len(w) for w in some], np.uint32).tobytes()))
+            out["words"].append(pack(b"".join(some)))
         return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("sizes", pa.binary()), ("words", pa.binary())]))
 
     return run
@@ -117,20 +131,24 @@ def _send_words(pattern: str, n_buckets: int):
 def _encode_bucket(ranks: dict[bytes, int], pattern: str):
     def run(t: pa.Table) -> pa.Table:
         encoder = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        kind = _id_type(len(ranks) and max(ranks.values()) + 1)
+        width = np.dtype(kind).itemsize
+        pack, unpack = zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress, zstandard.ZstdDecompressor().decompress
         known: dict[bytes, bytes] = {}
         out = {"chunk": t["chunk"], "bucket": t["bucket"], "counts": [], "ids": []}
         for sizes, raw in zip(t["sizes"].to_pylist(), t["words"].to_pylist(), strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64).tolist()
+            ends = np.cumsum(np.frombuffer(unpack(sizes), np.uint32), dtype=np.int64).tolist()
+            raw = unpack(raw)
             parts, at = [], 0
             for end in ends:
                 w = raw[at:end]
                 ids = known.get(w)
                 if ids is None:
-                    ids = known[w] = np.array(encoder.encode_ordinary(w.decode("utf-8", "replace")), np.uint32).tobytes()
+                    ids = known[w] = np.array(encoder.encode_ordinary(w.decode("utf-8", "replace")), kind).tobytes()
                 parts.append(ids)
                 at = end
-            out["counts"].append(np.array([len(p) >> 2 for p in parts], np.uint32).tobytes())
-            out["ids"].append(b"".join(parts))
+            out["counts"].append(pack(np.array([len(p) // width for p in parts], np.uint32).tobytes()))
+            out["ids"].append(pack(b"".join(parts)))
         out["counts"], out["ids"] = pa.array(out["counts"], pa.binary()), pa.array(out["ids"], pa.binary())
         return pa.table(out)
 
@@ -143,12 +161,12 @@ def _put_together(pattern: str, n_buckets: int, table: list[bytes]):
     def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
         rows = _in_order(docs)
         numbers, texts = _vocabulary(rows, pattern)
-        words = [w.encode("utf-8", "surrogatepass") for w in numbers]
-        order = np.argsort(_buckets(words, n_buckets), kind="stable")
-        del words, numbers
+        _, order, _ = _ordered(numbers, n_buckets)
+        del numbers
+        unpack = zstandard.ZstdDecompressor().decompress
         by = sorted(zip(coded["bucket"].to_pylist(), coded["counts"].to_pylist(), coded["ids"].to_pylist(), strict=True))
-        counts = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(c, np.uint32) for _, c, _ in by]]).astype(np.int64)
-        ids = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(i, np.uint32) for *_, i in by]])
+        counts = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(unpack(c), np.uint32) for _, c, _ in by]]).astype(np.int64)
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(unpack(i), _id_type(len(table))) for *_, i in by]])
         if len(counts) != len(order):
             raise ValueError("a chunk's words and their ids do not match")
         # of each word, by its number: where its ids begin, and how many there are
