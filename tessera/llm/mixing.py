@@ -32,7 +32,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.llm._common import pick, stage_table, text_or_empty, words_of
+from tessera.llm._common import key_of, pick, stage_table, text_or_empty, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -118,7 +118,8 @@ def rates(sized: DataFrame, **how) -> DataFrame:
     cells = stage_table(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mixing-cells")
     solved = solve(cells, targets(sized, **how)).withColumnRenamed("source", "s")
     rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("full"), F.lit(MOST)).otherwise(_rate(F.col("lam"), F.col("size"), F.col("scale")))
-    return cells.join(solved, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", rate.alias("rate"), "source_size", "target")
+    # the last digits hang on the order in which partial sums met; reruns must agree
+    return cells.join(solved, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", F.round(rate, 12).alias("rate"), "source_size", "target")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -154,7 +155,7 @@ def apply(docs: DataFrame, **how) -> DataFrame:
     doc_id must tell documents apart; rows that share one are taken as one
     document and take its copies together.
     """
-    taken = mix(docs, **how).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    names = docs.columns
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    taken = mix(docs, **how).where("copies > 0").groupBy(key_of(F.col("doc_id")).alias("id")).agg(F.max("copies").alias("copies"))
+    # a document is one value here, so that its columns meet no others
+    whole = docs.select(key_of(docs["doc_id"]).alias("id"), F.struct(*docs.columns).alias("doc")).join(taken, "id")
+    return whole.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -110,4 +110,5 @@ def judge(counted: DataFrame) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their own columns, by (doc_id) of the verdicts."""
     kept = judge(counts(docs)).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "__kept_id"), docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    whole = docs.select(docs["doc_id"].alias("id"), F.struct(*docs.columns).alias("doc"))
+    return whole.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("doc.*")

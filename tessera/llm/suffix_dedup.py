@@ -353,8 +353,9 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """
     out = repeats(docs, length, gram, keep_text=True).select(F.col("key").alias("__key"), F.col("th").alias("__th"), F.col("kept").alias("__kept"))
     out = out.dropDuplicates(["__key", "__th"])
-    joined = docs.join(out, (key_of(docs["doc_id"]) == F.col("__key")) & (F.xxhash64(docs["text"]) == F.col("__th")))
-    new = {"text": F.when(docs["text"].isNotNull(), F.col("__kept"))}
+    # a document is one value here, so that its columns meet no others
+    whole = docs.select(key_of(docs["doc_id"]).alias("__key"), F.xxhash64(docs["text"]).alias("__th"), F.struct(*docs.columns).alias("doc")).join(out, ["__key", "__th"])
+    new = {"text": F.when(F.col("doc.text").isNotNull(), F.col("__kept"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+    return whole.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
