@@ -15,11 +15,18 @@ probability equal to the likeness.
 
 Banding: BANDS keys of ROWS registers each; a pair of likeness 0.8 shares one
 with probability over 0.999. Texts that are equal are one node from the start.
-Candidates are compared in rounds: in each bucket PIVOTS pivots (the least nodes
-in pseudo-random orders that change from round to round) are paired with every
-member not yet in their component, so pairs are in proportion to members. Every
-pair is verified on whole texts. Rounds go on until one finds no new link; each
-round with links leaves fewer components.
+Candidates are compared in two passes. First, in each bucket PIVOTS pivots (the
+least nodes in pseudo-random orders) are paired with every other member, so
+pairs are in proportion to members, and each is verified on whole texts; what a
+copied text has brought into a bucket becomes one component here. Then every
+bucket that still holds several components is compared in full, but for pairs
+within one component: members of its largest component are dealt to blocks of
+bounded rows and bytes, those of the others likewise, and each pair of blocks
+with other components is one group of an Arrow function that emits links alone.
+Registers come first there: a pair whose registers agree more than five standard
+deviations too seldom is below the threshold; all others are verified. A
+bucket of k members in one component and r in others costs about k + r rows
+while r is within a block, r * r / BLOCK_ROWS beyond it.
 
 Components are made of verified links by alternating large-star and small-star
 steps: all in DataFrames, a logarithmic number of steps, hubs only in
@@ -35,7 +42,6 @@ results. Memory is linear in the longest text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +53,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 7
 PIVOTS = 2
+#: Rows and bytes of text of a block of a bucket's members.
+BLOCK_ROWS, BLOCK_BYTES = 500, 2 << 20
 #: Bytes of text that are worked on at once.
 SLAB = 1 << 20
 
@@ -187,7 +195,10 @@ def _sign(n: int, n_bands: int, rows: int):
             has = np.zeros(len(held), bool)
             has[doc] = True
             lists = [k if ok else [] for k, ok in zip(keys.view(np.int64).tolist(), has.tolist(), strict=True)]
-            yield pa.record_batch({"key": pa.array([r[1] for r in held], pa.int64()), "node": pa.array([r[2] for r in held], pa.int64()), "bands": pa.array(lists, pa.list_(pa.int64()))})
+            yield pa.record_batch({
+                "key": pa.array([r[1] for r in held], pa.int64()), "node": pa.array([r[2] for r in held], pa.int64()),
+                "size": pa.array([len(r[0]) for r in held], pa.int64()), "bands": pa.array(lists, pa.list_(pa.int64())),
+            })
 
     return run
 
@@ -214,6 +225,42 @@ def _verify(n: int, threshold: float):
     return run
 
 
+def _compare(n: int, n_bands: int, rows: int, threshold: float):
+    """Links between the roots of a group's rows of side 0 and side 1; within side 1 too, where the group is marked own."""
+    m = n_bands * rows
+    least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / m)
+
+    def run(t: pa.Table) -> pa.Table:
+        order = np.lexsort((t["node"].to_numpy(), t["side"].to_numpy()))
+        t = t.take(pa.array(order))
+        root, side = t["root"].to_pylist(), t["side"].to_numpy()
+        doc, shingle, weight = shingles(t["body"].to_pylist(), n)
+        sig = signatures(doc, shingle, weight, len(root), m).astype(np.uint32)
+        cut = np.searchsorted(doc, np.arange(len(root) + 1))
+        bag = [(shingle[a:z], weight[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        to = {r: r for r in root}
+
+        def top(r: int) -> int:
+            while to[r] != r:
+                to[r] = r = to[to[r]]
+            return r
+
+        links = []
+        right = np.flatnonzero(side == 1)
+        first = [(i, right) for i in np.flatnonzero(side == 0).tolist()]
+        if t["own"][0].as_py():
+            first += [(i, right[k + 1 :]) for k, i in enumerate(right.tolist())]
+        for i, others in first:
+            for j in others[(sig[others] == sig[i]).mean(axis=1) >= least].tolist() if len(others) else ():
+                a, b = top(root[i]), top(root[j])
+                if a != b and likeness(bag[i], bag[j]) >= threshold - 1e-9:
+                    to[max(a, b)] = min(a, b)
+                    links.append((root[i], root[j]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return run
+
+
 def components(links: DataFrame, limit: int = 40) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the least node of its component."""
     pairs = stage_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components", narrow=True)
@@ -238,46 +285,63 @@ def components(links: DataFrame, limit: int = 40) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def linked(signed: DataFrame, docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) for the nodes of signed (key, node, bands) that have a verified link."""
+def _rest(here: DataFrame, texts: DataFrame, compare) -> DataFrame:
+    """Links (a, b) between roots, from all pairs of a bucket whose members (band, node, size, root) differ in root."""
+    parts = here.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.bit_xor("node").alias("x"))
+    most = F.max(F.struct("n", "root", "s"))
+    open_ones = parts.groupBy("band").agg(F.count("*").alias("parts"), most.alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_xor("x").alias("x")).where("parts > 1")
+    # of buckets with the same members, one
+    open_ones = open_ones.groupBy("n", "x").agg(F.min(F.struct("band", "top", "s")).alias("o")).select("o.band", "o.top", (F.col("n") - F.col("o.top.n")).alias("n"), (F.col("o.s") - F.col("o.top.s")).alias("s"))
+    blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / BLOCK_ROWS), F.ceil(F.col(s) / BLOCK_BYTES)).cast("int")
+    open_ones = open_ones.select("band", F.col("top.root").alias("top"), blocks("top.n", "top.s").alias("nl"), blocks("n", "s").alias("nr"))
+    rows = here.join(open_ones, "band")
+    left, i = F.col("root") == F.col("top"), lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    cells = F.when(left, F.transform(upto("nr"), lambda j: cell(0, i("nl"), j, F.lit(0)))).otherwise(F.concat(
+        F.transform(upto("nl"), lambda k: cell(0, k, i("nr"), F.lit(1))),
+        F.transform(F.filter(upto("nr"), lambda j: j != i("nr")), lambda j: cell(1, F.least(i("nr"), j), F.greatest(i("nr"), j), i("nr") > j)),
+    ))
+    rows = rows.select("band", "node", "root", F.explode(cells).alias("c")).select("band", "node", "root", "c.*")
+    rows = rows.join(texts, "node").withColumn("own", F.expr("kind = 0 and i = 0"))
+    return rows.groupBy("band", "kind", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def linked(signed: DataFrame, docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, root) for the nodes of signed (key, node, size, bands) that have a verified link."""
     spark = docs.sparkSession
-    reps = signed.groupBy("node").agg(F.min(F.struct("key", "bands"))["bands"].alias("bands"))
-    members = reps.select("node", F.explode("bands").alias("band"))
-    crowded = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+    reps = signed.groupBy("node").agg(F.min(F.struct("key", "size", "bands")).alias("r"))
+    members = reps.select("node", "r.size", F.explode("r.bands").alias("band"))
+    crowded = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = stage_table(members.join(crowded, "band"), "near-members")
     wanted = members.select("node").distinct()
     texts = docs.select(F.xxhash64("text").alias("node"), F.encode("text", "UTF-8").alias("body")).join(wanted, "node", "left_semi")
     # one row for each node; equal nodes have equal texts
     texts = stage_table(texts.groupBy("node").agg(F.first("body").alias("body")), "near-texts")
     release(spark)
-    comps = tried = None
-    for turn in count():
-        here = members.withColumn("root", F.col("node")) if comps is None else members.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # pivots: least nodes in pseudo-random orders, which the band's own bits choose among four; an exclusive or can be undone
-        salts = [F.xxhash64(F.col("band").bitwiseAND(F.lit(3)), F.lit(PIVOTS * turn + i)) for i in range(PIVOTS)]
-        least = [F.min(F.struct(F.col("node").bitwiseXOR(salt).alias("o"), F.col("root").alias("r"))).alias(f"p{i}") for i, salt in enumerate(salts)]
-        chosen = F.array(*[F.struct(F.col(f"p{i}.o").bitwiseXOR(salt).alias("pivot"), F.col(f"p{i}.r").alias("r")) for i, salt in enumerate(salts)])
-        pivots = here.groupBy("band").agg(*least).select("band", F.explode(F.array_distinct(chosen)).alias("p"))
-        pairs = here.join(pivots, "band").where("root <> p.r").select(F.least("node", "p.pivot").alias("a"), F.greatest("node", "p.pivot").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage_table(pairs, "near-pairs", narrow=True)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        one = pairs.join(texts.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
-        two = one.join(texts.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
-        new = stage_table(two.select("a", "b", "body_a", "body_b").mapInArrow(_verify(n, threshold), "a long, b long, likeness double"), "near-links")
-        none = new.isEmpty()
-        if not none or comps is None:
-            stars = new.select("a", "b") if comps is None else new.select("a", "b").unionByName(comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            comps = components(stars)
-        release(spark)
-        if none:
-            return comps
+    # pivots: least nodes in pseudo-random orders, which the band's own bits choose among four; an exclusive or can be undone
+    salts = [F.xxhash64(F.col("band").bitwiseAND(F.lit(3)), F.lit(i)) for i in range(PIVOTS)]
+    least = [F.min(F.col("node").bitwiseXOR(salt)).alias(f"p{i}") for i, salt in enumerate(salts)]
+    chosen = F.array(*[F.col(f"p{i}").bitwiseXOR(salt) for i, salt in enumerate(salts)])
+    pivots = members.groupBy("band").agg(*least).select("band", F.explode(F.array_distinct(chosen)).alias("pivot"))
+    pairs = members.join(pivots, "band").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
+    links = stage_table(two.select("a", "b", "body_a", "body_b").mapInArrow(_verify(n, threshold), "a long, b long, likeness double"), "near-links")
+    comps = components(links.select("a", "b"))
+    release(spark)
+    here = members.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = stage_table(_rest(stage_table(here, "near-rooted"), texts, _compare(n, n_bands, rows, threshold)), "near-more")
+    if more.isEmpty():
+        return comps
+    up = components(more).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    release(spark)
+    return comps.join(up, F.col("root") == F.col("was"), "full").select(F.coalesce("node", "was").alias("node"), F.coalesce("now", "root").alias("root"))
 
 
 def sign(docs: DataFrame, n: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, node, bands): a row for each document."""
-    return docs.select("key", F.xxhash64("text").alias("node"), F.encode("text", "UTF-8").alias("body")).mapInArrow(_sign(n, n_bands, rows), "key long, node long, bands array<long>")
+    """(key, node, size, bands): a row for each document; size is that of the text in bytes."""
+    return docs.select("key", F.xxhash64("text").alias("node"), F.encode("text", "UTF-8").alias("body")).mapInArrow(_sign(n, n_bands, rows), "key long, node long, size long, bands array<long>")
 
 
 def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -287,7 +351,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, n_b
     """
     d = docs.select(key_of(F.col("doc_id")).alias("key"), text_or_empty(F.col("text")).alias("text"))
     signed = stage_table(sign(d, n, n_bands, rows), "near-signed")
-    comps = linked(signed, d, n, threshold)
+    comps = linked(signed, d, n, threshold, n_bands, rows)
     # copies are counted before anything is joined, so a large group of them is one row
     nodes = signed.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("copies")).join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = stage_table(nodes, "near-nodes")
@@ -303,5 +367,6 @@ def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, n_b
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, in its own columns; of repeated rows, one."""
     kept = classes(docs, **how).where("keep").select(key_of(F.col("doc_id")).alias("__key"), F.col("node").alias("__node")).distinct()
-    named = docs.withColumns({"__key": key_of(docs["doc_id"]), "__node": F.xxhash64(text_or_empty(docs["text"]))})
-    return named.join(kept, ["__key", "__node"], "left_semi").dropDuplicates(["__key", "__node"]).select(*docs.columns)
+    # a document is one value here, so that its columns meet no others
+    named = docs.select(key_of(docs["doc_id"]).alias("__key"), F.xxhash64(text_or_empty(docs["text"])).alias("__node"), F.struct(*docs.columns).alias("doc"))
+    return named.join(kept, ["__key", "__node"], "left_semi").dropDuplicates(["__key", "__node"]).select("doc.*")
