@@ -19,17 +19,21 @@ windows share their anchor, so that a pass handles a run of windows at a time.
 2. Runs with a repeated anchor. If its surroundings are the same everywhere,
    the whole run is repeated wherever the id is not the least. The others are
    grouped by anchor and surroundings: a run is repeated as a whole if a smaller
-   id has an equal one; the first of its kind goes on to the last pass.
-3. Pass on the rest of the window. Each window of those runs gives (hash of its
-   LENGTH bytes, id); it is repeated where a smaller id has it.
+   id has an equal one; the first of its kind stays open.
+3. Pass on the rest of the window. Open runs go to their anchor, with the bytes
+   that their windows cover, once and not once for each window; there windows
+   are told apart by offset to the anchor and hash. An anchor with more than
+   KINDS open runs would be a large group: each window of those goes by itself
+   as (hash of its LENGTH bytes, id), and is repeated where a smaller id has it.
 
 Repeats inside one document need no pass between documents: they are found
 where the document is, by the same two digits.
 
-Each pass is an aggregation with partial sums on the map side, so one passage in
+Passes are aggregations with partial sums on the map side, so one passage in
 a third of all documents is one row for each map task; the joins back to
 documents are plain shuffles whose hot keys AQE can split. Hashes have 64 bits
-for anchors, 128 for anchors with surroundings and for windows. What a pass finds is staged
+for anchors, 128 for anchors with surroundings, for windows with their anchor
+and for windows by themselves. What a pass finds is staged
 in the shared folder, which ends lineage and lets shuffle files go.
 
 Nulls: a null text is empty; a null doc_id orders first. Rows that share a
@@ -56,6 +60,8 @@ GRAM = 24
 SLAB = 2 << 20
 #: Windows in a batch.
 WINDOWS = 50_000
+#: Open runs of an anchor that are compared in one group at most.
+KINDS = 5_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,12 +107,12 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def runs(slab: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of windows that share an anchor, in texts laid end to end.
 
-    Returns (document's number, first window, last window, anchor's hash);
-    places are those of the slab.
+    Returns (document's number, first window, last window, anchor's hash,
+    anchor's place); places are those of the slab.
     """
     empty = np.zeros(0, np.int64)
     if len(slab) < length:
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), empty
     h = _gram_hashes(slab, gram)
     w = length - gram + 1
     keys = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(slab), dtype=np.uint64)
@@ -128,7 +134,7 @@ def runs(slab: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gr
     finish = np.flatnonzero(last)
     doc = np.searchsorted(starts, begin, side="right") - 1
     # empty texts share their start with the next one; the last of equals is the one with bytes
-    return doc, begin, finish, h[anchors[begin]]
+    return doc, begin, finish, h[anchors[begin]], anchors[begin]
 
 
 def _slabs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
@@ -168,14 +174,14 @@ def _anchor_rows(length: int, gram: int, places: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = xxhash.xxh3_64_intdigest
         for cols, slab, starts, ends in _slabs(batches, ["key", "th"]):
-            doc, begin, finish, g = runs(slab, starts, ends, length, gram)
+            doc, begin, finish, g, anchor = runs(slab, starts, ends, length, gram)
             if not len(doc):
                 continue
             raw = memoryview(slab)
             c = np.fromiter((of(raw[a:z]) for a, z in zip(begin.tolist(), (finish + length).tolist(), strict=True)), np.uint64, len(begin))
             out = {"g": _signed(g), "c": _signed(c), "key": np.asarray(cols["key"], np.int64)[doc]}
             if places:
-                out |= {"th": np.asarray(cols["th"], np.int64)[doc], "run": ((begin - starts[doc]) << 7) | (finish - begin)}
+                out |= {"th": np.asarray(cols["th"], np.int64)[doc], "run": _packed(begin - starts[doc], finish - begin, anchor - begin)}
             yield pa.record_batch(out)
 
     return run
@@ -210,22 +216,93 @@ def _window_rows(length: int):
     return run
 
 
+def _packed(first: np.ndarray, more: np.ndarray, anchor: np.ndarray | int = 0) -> np.ndarray:
+    """A run of windows as one number: its first window, the anchor's place from there, and how many follow."""
+    return (first << 14) | (anchor << 7) | more
+
+
 def _windows_of(packed: list[int] | None) -> np.ndarray:
     """The windows of packed runs, in order."""
     if not packed:
         return np.zeros(0, np.int64)
     p = np.sort(np.asarray(packed, np.int64))
-    first, n = p >> 7, (p & 127) + 1
+    first, n = p >> 14, (p & 127) + 1
     total = int(n.sum())
     skip = np.repeat(np.cumsum(n) - n, n)
     return np.repeat(first, n) + np.arange(total) - skip
 
 
+def _context_rows(length: int):
+    """(g, key, th, run, bytes) of the open runs of each document: the bytes that their windows cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("th", pa.int64()), ("run", pa.int64()), ("bytes", pa.binary())])
+        for batch in batches:
+            out = {c: [] for c in kind.names}
+            for body, key, th, todo in zip(*[batch.column(c).to_pylist() for c in ("body", "key", "th", "near")], strict=True):
+                for o in todo:
+                    first = o["run"] >> 14
+                    out["bytes"].append(body[first : first + (o["run"] & 127) + length])
+                    out["g"].append(o["g"])
+                    out["run"].append(o["run"])
+                    out["key"].append(key)
+                    out["th"].append(th)
+                if len(out["g"]) >= 20_000:
+                    yield pa.record_batch(out, schema=kind)
+                    out = {c: [] for c in kind.names}
+            yield pa.record_batch(out, schema=kind)
+
+    return run
+
+
+def _match_rows(length: int, rows: int = 4_000):
+    """(key, th, run) of windows that a smaller id has too, from rows of _context_rows in order of g."""
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        g, key, th, run = (t[c].to_numpy() for c in ("g", "key", "th", "run"))
+        texts = t["bytes"].to_pylist()
+        h = _gram_hashes(np.frombuffer(b"".join(texts), np.uint8), length)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        n = (run & 127) + 1
+        row = np.repeat(np.arange(len(run)), n)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        h = h[np.repeat(np.cumsum(size) - size, n) + nth]
+        place = (np.cumsum(np.diff(g, prepend=g[:1]) != 0)[row] << 7) | (((run >> 7) & 127)[row] - nth)
+        order = np.lexsort((key[row], h, place))
+        new = np.ones(len(order), bool)
+        new[1:] = (place[order][1:] != place[order][:-1]) | (h[order][1:] != h[order][:-1])
+        least = key[row][order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        hit = np.sort(order[key[row][order] > least])
+        begins = np.ones(len(hit), bool)
+        begins[1:] = (hit[1:] != hit[:-1] + 1) | (row[hit][1:] != row[hit][:-1])
+        at = np.flatnonzero(begins)
+        many = np.diff(np.append(at, len(hit)))
+        r = row[hit[at]]
+        return pa.record_batch({"key": key[r], "th": th[r], "run": _packed((run >> 14)[r] + nth[hit[at]], many - 1)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < rows:
+                continue
+            t = pa.Table.from_batches(held)
+            g = t["g"].to_numpy()
+            whole = int(np.searchsorted(g, g[-1]))  # the last anchor's rows may go on
+            if whole:
+                yield found(t.slice(0, whole).combine_chunks())
+            held = t.slice(whole).to_batches()
+        if held and sum(map(len, held)):
+            yield found(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
 def own_repeats(body: bytes, length: int, gram: int) -> np.ndarray:
     """Windows of one text that start earlier in it too."""
     slab = np.frombuffer(body, np.uint8)
     one = np.array([0], np.int64)
-    _, begin, finish, g = runs(slab, one, np.array([len(slab)], np.int64), length, gram)
+    _, begin, finish, g, _ = runs(slab, one, np.array([len(slab)], np.int64), length, gram)
     return _own(body, begin, finish, g, length)
 
 
@@ -240,7 +317,7 @@ def _own(body, begin: np.ndarray, finish: np.ndarray, g: np.ndarray, length: int
     again = np.sort(order[twin])
     if not len(again):
         return np.zeros(0, np.int64)
-    at = _windows_of(((begin[again] << 7) | (finish[again] - begin[again])).tolist())
+    at = _windows_of(_packed(begin[again], finish[again] - begin[again]).tolist())
     raw = memoryview(body)
     seen: set[bytes] = set()
     out = []
@@ -259,8 +336,8 @@ def _finish(length: int, gram: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {"key": [], "th": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []} | ({"kept": []} if keep_text else {})
-            for body, key, th, whole, single in zip(*[batch.column(c).to_pylist() for c in ("body", "key", "th", "whole", "single")], strict=True):
-                at = [_windows_of(whole), np.asarray(single or [], np.int64)]
+            for body, key, th, found in zip(*[batch.column(c).to_pylist() for c in ("body", "key", "th", "runs")], strict=True):
+                at = [_windows_of(found)]
                 if len(body) > length:
                     at.append(own_repeats(body, length, gram))
                 edges = np.zeros(len(body) + 1, np.int32)
@@ -296,7 +373,7 @@ def _bodies(docs: DataFrame) -> DataFrame:
     return docs.select(key_of(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("th"), body.alias("body"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, kinds_limit: int = KINDS) -> DataFrame:
     """(key, th, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row for each document."""
     if not 0 < gram < length <= 128:
         raise ValueError("gram must be below length, and length at most 128")
@@ -319,29 +396,40 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text:
     release(spark)
     mixed = hits.where("mixed").select("g", "c", "key", "th", "run")
     kinds = mixed.groupBy("g", "c").agg(F.min("key").alias("least"))
-    mixed = mixed.join(kinds, ["g", "c"]).select("key", "th", "run", (F.col("key") == F.col("least")).alias("open"))
-    by = hits.where("not mixed").select("key", "th", "run", F.lit(False).alias("open")).unionByName(mixed).groupBy("key", "th")
-    by = by.agg(F.collect_list(F.when(F.col("open"), F.col("run"))).alias("open"), F.collect_list(F.when(~F.col("open"), F.col("run"))).alias("whole"))
-    by = stage_table(by, "suffix-runs")
+    # a later equal run of the same document is left to the search within documents
+    mixed = mixed.join(kinds, ["g", "c"]).groupBy("g", "c", "key", "th", "least").agg(F.min("run").alias("first"), F.collect_list("run").alias("runs"))
+    mixed = stage_table(mixed.select("g", "key", "th", "first", F.when(F.col("key") > F.col("least"), F.col("runs")).alias("runs")), "suffix-kinds")
+    release(spark)
+    whole = hits.where("not mixed").select("key", "th", "run").unionByName(mixed.select("key", "th", F.explode("runs").alias("run")))
+    opened = mixed.where("runs is null").select("g", "key", "th", F.col("first").alias("run"))
+    crowded = opened.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > kinds_limit).select("g", F.lit(True).alias("crowd"))
+    opened = opened.join(crowded, "g", "left")
+    by = opened.groupBy("key", "th").agg(F.collect_list(F.when(F.col("crowd").isNull(), F.struct("g", "run"))).alias("near"), F.collect_list(F.when(F.col("crowd"), F.col("run"))).alias("open"))
+    by = stage_table(by, "suffix-open")
     release(spark)
 
-    # pass 3: windows of the open runs
+    # pass 3: open runs by anchor; windows by themselves where an anchor has too many of them
+    contexts = d.join(by.where(F.size("near") > 0).select("key", "th", "near"), ["key", "th"])
+    contexts = contexts.mapInArrow(_context_rows(length), "g long, key long, th long, run long, bytes binary")
+    near = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_match_rows(length), "key long, th long, run long")
+    near = stage_table(near, "suffix-matched")
+    release(spark)
     windows = d.join(by.where(F.size("open") > 0).select("key", "th", "open"), ["key", "th"])
     windows = windows.mapInArrow(_window_rows(length), "w1 long, w2 long, key long, th long, at long")
     again = windows.groupBy("w1", "w2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("w1", "w2", "least")
-    single = windows.join(again, ["w1", "w2"]).where("key > least").groupBy("key", "th").agg(F.collect_list("at").alias("single"))
+    single = windows.join(again, ["w1", "w2"]).where("key > least").select("key", "th", F.shiftleft("at", 14).alias("run"))
     single = stage_table(single, "suffix-windows")
     release(spark)
 
-    found = by.select("key", "th", "whole").join(single, ["key", "th"], "full")
-    done = d.join(found, ["key", "th"], "left").select("key", "th", "body", "whole", "single")
+    found = whole.unionByName(near).unionByName(single).groupBy("key", "th").agg(F.collect_list("run").alias("runs"))
+    done = d.join(found, ["key", "th"], "left").select("key", "th", "body", "runs")
     kind = "key long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
     return done.mapInArrow(_finish(length, gram, keep_text), kind)
 
 
-def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kinds_limit: int = KINDS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each document."""
-    out = repeats(docs, length, gram)
+    out = repeats(docs, length, gram, kinds_limit=kinds_limit)
     return out.select(id_of(F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

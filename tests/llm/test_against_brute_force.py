@@ -202,10 +202,10 @@ def test_repeated_bytes(spark, small, length, gram):
     texts += [passage, "x" + passage, passage[: length - 1], passage[:length], passage[1 : length + 1] + "y", passage + passage, passage[length // 2 :] + passage[: length // 2], "a" * (3 * length), "ab" * length, "a" * length, "a" * (length + 1), "", None]
     texts += ["".join(rng.choice(texts[-20:]) or "" for _ in range(4)) for _ in range(20)]
     want = brute.repeated_bytes(list(enumerate(texts)), length)
-    got = suffix_dedup.report(frame(spark, texts), length, gram).collect()
-    for r in got:
-        n, gone, spans, kept = want[r["doc_id"]]
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, gone, spans, brute.sha(kept)), r["doc_id"]
+    for limit in (suffix_dedup.KINDS, 3):
+        for r in suffix_dedup.report(frame(spark, texts), length, gram, limit).collect():
+            n, gone, spans, kept = want[r["doc_id"]]
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, gone, spans, brute.sha(kept)), r["doc_id"]
     if length == 100:
         for r in suffix_dedup.strip(frame(spark, texts)).collect():
             kept = want[r["doc_id"]][3]
