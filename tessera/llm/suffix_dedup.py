@@ -363,22 +363,29 @@ def _finish(length: int, gram: int, keep_text: bool):
                         out["kept"].append(text[np.repeat(parts, sizes)].tobytes().decode("utf-8", "replace"))
                     else:
                         out["kept"].append("")
-            yield pa.record_batch(out, schema=pa.schema([(c, pa.string() if c in ("kept_sha256", "kept") else pa.int64()) for c in out]))
+            made = pa.record_batch(out, schema=pa.schema([(c, pa.string() if c in ("kept_sha256", "kept") else pa.int64()) for c in out]))
+            yield made.append_column("doc", batch.column("doc")) if keep_text else made
 
     return run
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
     body = F.encode(text_or_empty(F.col("text")), "UTF-8")
-    return docs.select(key_of(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("th"), body.alias("body"))
+    whole = F.struct(*docs.columns).dropFields("text") if len(docs.columns) > 1 else F.struct("doc_id")
+    return docs.select(key_of(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("th"), body.alias("body"), F.struct(F.col("text").isNull().alias("none"), whole.alias("rest")).alias("doc"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, kinds_limit: int = KINDS) -> DataFrame:
-    """(key, th, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row for each document."""
+    """(key, th, n_bytes, n_removed, n_spans, kept_sha256[, kept, doc]), one row for each document.
+
+    doc: struct(none, rest), whether the text is null and the other columns, so
+    that a text that was cut needs no join to find them again.
+    """
     if not 0 < gram < length <= 128:
         raise ValueError("gram must be below length, and length at most 128")
     spark = docs.sparkSession
-    d = _bodies(docs)
+    every = _bodies(docs)
+    d = every.drop("doc")
     # a text too short for a window leaves before Python sees it
     long = d.where(F.octet_length("body") >= length)
 
@@ -396,12 +403,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text:
     release(spark)
     mixed = hits.where("mixed").select("g", "c", "key", "th", "run")
     kinds = mixed.groupBy("g", "c").agg(F.min("key").alias("least"))
-    # a later equal run of the same document is left to the search within documents
-    mixed = mixed.join(kinds, ["g", "c"]).groupBy("g", "c", "key", "th", "least").agg(F.min("run").alias("first"), F.collect_list("run").alias("runs"))
-    mixed = stage_table(mixed.select("g", "key", "th", "first", F.when(F.col("key") > F.col("least"), F.col("runs")).alias("runs")), "suffix-kinds")
+    # staged before anything is grouped: a join alone can split its hot keys
+    mixed = mixed.join(kinds, ["g", "c"]).select("g", "c", "key", "th", "run", (F.col("key") == F.col("least")).alias("open"))
+    mixed = stage_table(mixed, "suffix-kinds")
     release(spark)
-    whole = hits.where("not mixed").select("key", "th", "run").unionByName(mixed.select("key", "th", F.explode("runs").alias("run")))
-    opened = mixed.where("runs is null").select("g", "key", "th", F.col("first").alias("run"))
+    whole = hits.where("not mixed").select("key", "th", "run").unionByName(mixed.where("not open").select("key", "th", "run"))
+    # a later equal run of the same document is left to the search within documents
+    opened = mixed.where("open").groupBy("g", "c", "key", "th").agg(F.min("run").alias("run")).select("g", "key", "th", "run")
     crowded = opened.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > kinds_limit).select("g", F.lit(True).alias("crowd"))
     opened = opened.join(crowded, "g", "left")
     by = opened.groupBy("key", "th").agg(F.collect_list(F.when(F.col("crowd").isNull(), F.struct("g", "run"))).alias("near"), F.collect_list(F.when(F.col("crowd"), F.col("run"))).alias("open"))
@@ -422,8 +430,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text:
     release(spark)
 
     found = whole.unionByName(near).unionByName(single).groupBy("key", "th").agg(F.collect_list("run").alias("runs"))
-    done = d.join(found, ["key", "th"], "left").select("key", "th", "body", "runs")
-    kind = "key long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
+    done = (every if keep_text else d).join(found, ["key", "th"], "left").select("key", "th", "body", "runs", *["doc"] * keep_text)
+    kind = "key long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (f", kept string, doc {every.schema['doc'].dataType.simpleString()}" if keep_text else "")
     return done.mapInArrow(_finish(length, gram, keep_text), kind)
 
 
@@ -439,11 +447,8 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     A code point goes only if all its bytes are repeated, so texts stay valid.
     n_chars, where there is one, follows the text.
     """
-    out = repeats(docs, length, gram, keep_text=True).select(F.col("key").alias("__key"), F.col("th").alias("__th"), F.col("kept").alias("__kept"))
-    out = out.dropDuplicates(["__key", "__th"])
-    # a document is one value here, so that its columns meet no others
-    whole = docs.select(key_of(docs["doc_id"]).alias("__key"), F.xxhash64(docs["text"]).alias("__th"), F.struct(*docs.columns).alias("doc")).join(out, ["__key", "__th"])
-    new = {"text": F.when(F.col("doc.text").isNotNull(), F.col("__kept"))}
+    out = repeats(docs, length, gram, keep_text=True)
+    new = {"text": F.when(~F.col("doc.none"), F.col("kept"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
-    return whole.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col("doc.rest")[c].alias(c) for c in docs.columns])
