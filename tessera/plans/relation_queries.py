@@ -96,6 +96,36 @@ def pairwise_similarity(spark, sf_dir):
     return j.select(F.col("p_partkey").alias("a"), F.col("q").alias("b"), F.round("score", 6).alias("score"))
 
 
+def similar_parts(p):
+    """(a, b, score) of all parts of score 0.7 or more, the reference's threshold; sizes and prices are positive.
+
+    A score of 0.7 needs an equal brand, or else size, type and price all equal (0.3 + 0.2 + 0.2). With an equal
+    brand and another type it needs sizes of a ratio of 2/3 at least, whose logarithms lie in the same bucket or in
+    neighbouring ones. So each of the three disjoint cases has an equi-join that loses no pair.
+    """
+    p = p.select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice", F.floor(F.log("p_size") / F.log(F.lit(1.51))).alias("k"))
+    a, b = (p.select(*[F.col(c).alias(f"{x}_{c.removeprefix('p_')}") for c in p.columns]) for x in "ab")
+    same = lambda *cols: [F.col(f"a_{c}") == F.col(f"b_{c}") for c in cols]
+    near = lambda c: 1 - F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) / F.greatest(f"a_{c}", f"b_{c}")
+    one = lambda c: (F.coalesce(*same(c), F.lit(False))).cast("int")
+    ordered = F.col("a_partkey") < F.col("b_partkey")
+    around = b.withColumn("b_k", F.explode(F.array(*[F.col("b_k") + i for i in (-1, 0, 1)])))
+    pairs = [
+        a.join(b, same("brand", "type")),
+        a.join(around, same("brand", "k")).where((one("type") == 0)),
+        a.join(b, same("type", "size", "retailprice")).where(one("brand") == 0),
+    ]
+    score = 0.3 * near("size") + 0.2 * one("type") + 0.3 * one("brand") + 0.2 * near("retailprice")
+    found = [x.where(ordered).select(F.col("a_partkey").alias("a"), F.col("b_partkey").alias("b"), score.alias("score")).where("score >= 0.7D") for x in pairs]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("pairwise_similarity_all")
+def pairwise_similarity_all(spark, sf_dir):
+    """Parts alike in size, type, brand and price at the reference's default threshold; pairwise_similarity has those of 0.97."""
+    return similar_parts(table(spark, sf_dir, "part")).withColumn("score", F.round("score", 6))
+
+
 @query("structural_delta", "WITH o AS (SELECT doc_id AS k, md5(text) AS h FROM documents WHERE lang <> 'de'), n AS (SELECT doc_id AS k, md5(replace(text, 'token', 'TOKEN')) AS h FROM documents WHERE n_chars >= 500) SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.h IS NULL THEN 'add' WHEN n.h IS NULL THEN 'drop' WHEN o.h <> n.h THEN 'update' ELSE 'keep' END AS action FROM o FULL JOIN n ON o.k = n.k")
 def structural_delta(spark, sf_dir):
     """Two generations compared, one without German texts, one edited and without short ones."""

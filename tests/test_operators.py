@@ -68,6 +68,32 @@ def test_bigrams(spark, sorted_rows):
     assert sorted_rows(mining.bigrams(s, "k", ["i"], "x")) == [("A", "B", 2, 1.0), ("B", "A", 1, 1.0)]
 
 
+def part_score(a, b):
+    near = lambda x, y: 1 - abs(x - y) / max(x, y)
+    return 0.3 * near(a[3], b[3]) + 0.2 * (a[2] == b[2]) + 0.3 * (a[1] == b[1]) + 0.2 * near(a[4], b[4])
+
+
+def test_similar_parts_by_brute_force(spark):
+    from tessera.plans import registry
+
+    cols = ["p_partkey", "p_brand", "p_type", "p_size", "p_retailprice"]
+    parts = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select(*cols).collect()]
+    want = {(a[0], b[0]): round(s, 6) for a in parts for b in parts if a[0] < b[0] and (s := part_score(a, b)) >= 0.7}
+    got = {(r["a"], r["b"]): r["score"] for r in registry.QUERIES["pairwise_similarity_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(want) == 297 and set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_similar_parts_at_the_edges(spark):
+    from tessera.plans.relation_queries import similar_parts
+
+    # another brand with all else equal; sizes of a ratio of 2/3; another type; null brands
+    rows = [(1, "x", "t", 6, 10.0), (2, "y", "t", 6, 10.0), (3, "x", "u", 4, 10.0), (4, "x", "u", 9, 10.0), (5, "y", "t", 6, 10.5), (6, None, "t", 6, 10.0), (7, "x", None, 6, 10.0)]
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and part_score(a, b[:1] + ("?" if a[1] is None else b[1],) + b[2:]) >= 0.7)
+    d = spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double")
+    assert sorted((r["a"], r["b"]) for r in similar_parts(d).collect()) == want
+    assert (1, 2) in want and (1, 3) in want and (1, 4) in want and (1, 6) in want and (2, 5) in want
+
+
 def test_near_clones(spark, sorted_rows):
     d = spark.createDataFrame([(1, ["x", "x", "y"]), (2, ["x", "z", "z"]), (3, ["x", "x", "y"]), (4, [])], "id int, tokens array<string>")
     assert sorted_rows(relations.near_clones(d, 0.3)) == [(1, 2, pytest.approx(1 / 3)), (1, 3, 1.0), (2, 3, pytest.approx(1 / 3))]
