@@ -17,6 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
+from collections.abc import Iterator
+from importlib import resources
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,10 +39,11 @@ _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPR
 _BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _BSD_1 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_NUMBERS = (("1. ", "2. ", "3. "), ("* ", "* ", "* "), ("a. ", "b. ", "c. "))
 _ISC = """PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
 #: (licence, family, kind, text); kind: text for whole licences, notice for a line that names one.
-KNOWN = (
+_FIRST = (
     ("MIT", "permissive", "text", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _AS_IS),
     ("BSD-2-Clause", "permissive", "text", "BSD 2-Clause License\n\n" + _BSD_1 + "\n\n" + _BSD_END),
     ("BSD-3-Clause", "permissive", "text", "BSD 3-Clause License\n\n" + _BSD_1 + " " + _BSD_3 + "\n\n" + _BSD_END),
@@ -64,6 +69,124 @@ KNOWN = (
 )
 
 
+#: Licence, its family, names in prose, SPDX identifiers. Whole texts that are too long for this module lie in TEXTS.
+NAMES = (
+    ("MIT", "permissive", ("MIT License", "MIT"), ("MIT",)),
+    ("BSD-2-Clause", "permissive", ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"), ("BSD-2-Clause",)),
+    ("BSD-3-Clause", "permissive", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"), ("BSD-3-Clause",)),
+    ("ISC", "permissive", ("ISC License",), ("ISC",)),
+    ("0BSD", "permissive", ("BSD Zero Clause License", "Zero-Clause BSD License"), ("0BSD",)),
+    ("Zlib", "permissive", ("zlib License",), ("Zlib",)),
+    ("WTFPL", "permissive", ("WTFPL",), ("WTFPL",)),
+    ("Apache-2.0", "permissive", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"), ("Apache-2.0",)),
+    ("Unlicense", "public domain", ("Unlicense",), ("Unlicense",)),
+    ("GPL-1.0", "copyleft", ("GNU General Public License, version 1", "GNU General Public License v1.0"), ("GPL-1.0", "GPL-1.0-only", "GPL-1.0-or-later", "GPL-1.0+")),
+    ("GPL-2.0", "copyleft", ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2", "GPL-2.0"), ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0+")),
+    ("GPL-3.0", "copyleft", ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3", "GPL-3.0"), ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0+")),
+    ("LGPL-2.0", "copyleft", ("GNU Library General Public License, version 2", "GNU Library General Public License v2.0"), ("LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.0+")),
+    ("LGPL-2.1", "copyleft", ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL-2.1"), ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-2.1+")),
+    ("LGPL-3.0", "copyleft", ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3", "LGPL-3.0"), ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-3.0+")),
+    ("AGPL-3.0", "copyleft", ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3", "AGPL-3.0"), ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL-3.0+")),
+    ("MPL-1.1", "copyleft", ("Mozilla Public License, version 1.1", "Mozilla Public License 1.1", "MPL 1.1"), ("MPL-1.1",)),
+    ("MPL-2.0", "copyleft", ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"), ("MPL-2.0", "MPL-2.0-no-copyleft-exception")),
+    ("EPL-1.0", "copyleft", ("Eclipse Public License, version 1.0", "Eclipse Public License 1.0", "Eclipse Public License v1.0", "EPL 1.0"), ("EPL-1.0",)),
+    ("EPL-2.0", "copyleft", ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0", "EPL 2.0"), ("EPL-2.0",)),
+    ("CC-BY-4.0", "permissive", ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"), ("CC-BY-4.0",)),
+    ("CC-BY-SA-4.0", "copyleft", ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"), ("CC-BY-SA-4.0",)),
+    ("CC-BY-NC-4.0", "non-commercial", ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"), ("CC-BY-NC-4.0",)),
+    ("CC0-1.0", "public domain", ("CC0 1.0", "CC0 1.0 Universal"), ("CC0-1.0",)),
+)
+#: Headings of short licences; each may also have none.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License", "The BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "BSD 0-Clause License", "0BSD"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense", "The Unlicense (Unlicense)"),
+}
+TEXTS = (
+    "AGPL-3.0", "Apache-2.0", "Apache-2.0_spdx", "CC-BY-SA-4.0", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-2.0_spdx", "GPL-3.0", "GPL-3.0_spdx",
+    "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0",
+)
+#: Line lengths at which texts are broken: a break before the word copyright makes the form another one.
+WIDTHS = (66, 68, 70, 72, 74, 75, 76, 77, 78, 79, 80)
+
+
+def _wrapped(text: str, widths=WIDTHS) -> Iterator[str]:
+    """The text as it is, with each paragraph on one line, and broken at usual widths; copyright lines stay lines."""
+    yield text
+    lines = re.sub(r"(?mi)^([^\S\n]*(?:copyright [(\[\d©]|\(c\)|©|all rights reserved)[^\n]*)$", r"\n\1\n", text)
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n[^\S\n]*\n", lines) if p.strip()]
+    yield "\n\n".join(paragraphs)
+    for w in widths:
+        yield "\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in paragraphs)
+
+
+def _bodies(name: str, text: str) -> Iterator[str]:
+    """A short licence's text without its heading, in its usual wordings."""
+    if name.startswith("BSD"):
+        middle, parts = ("holder", "owner", "holders"), _BSD_1
+        for numbers, holder in product(_NUMBERS, ("COPYRIGHT HOLDER", "COPYRIGHT OWNER", "COPYRIGHT HOLDERS", "AUTHORS", "AUTHOR")):
+            first = parts.replace(" 1. ", f"\n\n{numbers[0]}").replace(" 2. ", f"\n\n{numbers[1]}")
+            end = _BSD_END.replace("COPYRIGHT HOLDER OR", f"{holder} OR")
+            if name == "BSD-2-Clause":
+                yield f"{first}\n\n{end}"
+            else:
+                for x in (*(f"copyright {m}" for m in middle), "author", "University"):
+                    yield f"{first}\n\n{_BSD_3.replace('3. ', numbers[2]).replace('copyright holder', x)}\n\n{end}"
+        return
+    head, _, rest = text.partition("\n\n")
+    body = rest if head in TITLES.get(name, ()) else text
+    yield body
+    if name == "MIT":
+        yield body.replace("this permission notice shall", "this permission notice (including the next paragraph) shall")
+    if name in ("ISC", "0BSD"):
+        yield body.replace("and/or distribute", "and distribute")
+    if name == "Unlicense":
+        yield body.rpartition("\n\n")[0]
+        yield body.replace("https://unlicense.org/", "https://unlicense.org")
+    if name == "Zlib":
+        yield re.sub(r"(?m)^\d\. ", "* ", body)
+
+
+def _long(text: str) -> Iterator[str]:
+    """A long licence's text with its heading and without, with what follows its terms and without, with earlier addresses."""
+    whole = [text, re.split(r"(?i)(?<=end of terms and conditions)", text)[0]]
+    for x in whole:
+        yield x
+        yield re.sub(r"\A\s*(?:[^\n]*\S[^\n]*\n)+\s*", "", x, count=1)
+        for old in ("59 Temple Place, Suite 330, Boston, MA  02111-1307  USA", "59 Temple Place - Suite 330, Boston, MA  02111-1307  USA", "675 Mass Ave, Cambridge, MA 02139, USA"):
+            if (moved := re.sub(r"51 Franklin St(?:reet)?,\s+Fifth\s+Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA", old, x)) != x:
+                yield moved
+
+
+def _known() -> Iterator[tuple[str, str, str, str]]:
+    """Every form of every known text and notice; the first ones are those of _FIRST."""
+    yield from _FIRST
+    for name, family, kind, text in _FIRST:
+        if kind == "text" and name != "Apache-2.0":
+            bodies = {canonical_text(x): x for body in _bodies(name, text) for x in _wrapped(body)}
+            for body, title in product(bodies.values(), ("", *TITLES.get(name, ()))):
+                yield name, family, kind, f"{title}\n\n{body}" if title else body
+    families = {name: family for name, family, *_ in NAMES}
+    for file in TEXTS:
+        name = file.removesuffix("_spdx")
+        text = resources.files("tessera.llm").joinpath("license_texts", f"{file}.txt").read_text("utf-8")
+        for form in _long(text):
+            yield from ((name, families[name], "text", x) for x in _wrapped(form, (72, 76, 79)))
+    for name, family, prose, spdx in NAMES:
+        for x in spdx:
+            yield name, family, "notice", f"SPDX-License-Identifier: {x}"
+        for x, the, how in product(prose, ("", "the "), ("", "This work is ", "This project is ", "This software is ", "This file is ")):
+            for verb in ("Licensed", "Released"):
+                yield name, family, "notice", f"{how}{verb} under {the}{x}."
+                if name.split("-")[0] in ("GPL", "LGPL", "AGPL"):
+                    yield name, family, "notice", f"{how}{verb} under {the}{x} or later."
+                    yield name, family, "notice", f"{how}{verb} under {the}{x} or any later version."
+
+
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     for old, new in SPELLINGS:
@@ -79,13 +202,25 @@ def canonical_text(text: str) -> str:
     return re.sub(r"[\W_]+", " ", out).strip()
 
 
+def _first_of_each(known) -> dict[str, tuple[str, str, str, str]]:
+    found: dict[str, tuple[str, str, str, str]] = {}
+    for row in known:
+        found.setdefault(canonical_text(row[3]), tuple(row))
+    return found
+
+
+_FORMS = _first_of_each(_known())
+#: (licence, family, kind, text), one for each canonical form.
+KNOWN = tuple(_FORMS.values())
+
+
+def _forms(known) -> dict[str, tuple[str, str, str, str]]:
+    return _FORMS if known is KNOWN else _first_of_each(known)
+
+
 def registry(known=KNOWN) -> list[tuple[str, str, str, str]]:
     """(digest, licence, family, kind), one for each canonical text."""
-    found: dict[str, tuple[str, str, str, str]] = {}
-    for name, family, kind, text in known:
-        digest = hashlib.sha256(canonical_text(text).encode()).hexdigest()
-        found.setdefault(digest, (digest, name, family, kind))
-    return sorted(found.values())
+    return sorted((hashlib.sha256(form.encode()).hexdigest(), *row[:3]) for form, row in _forms(known).items())
 
 
 def registry_frame(spark: SparkSession, known=KNOWN) -> DataFrame:
@@ -105,16 +240,17 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     spark = docs.sparkSession
     rows = registry(known)
     known_table = registry_frame(spark, known)
-    # lines whose digest can match: a line's canonical form is never longer than the longest known one
-    longest = max((len(canonical_text(t)) for *_, t in known), default=0)
+    # lines whose digest can match: a line's canonical form is as long as a known one
+    lengths = sorted({len(form) for form in _forms(known)} - {0})
     d = pick(docs, doc_id="doc_id", text="text").withColumn("text", text_or_empty(F.col("text")))
     canon = F.transform(F.split("text", "\n"), canonical)
-    found = F.transform(F.filter(canon, lambda c: (F.length(c) > 0) & (F.length(c) <= longest)), lambda c: F.sha2(c, 256))
-    digests = F.array(*[F.lit(r[0]) for r in rows]) if rows else F.array().cast("array<string>")
-    d = d.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest"), F.filter(found, lambda h: F.array_contains(digests, h)).alias("hits"))
+    found = F.transform(F.filter(canon, lambda c: F.length(c).isin(lengths)), lambda c: F.sha2(c, 256))
+    # one parsed expression and one literal a map: a column object for each of thousands of entries takes minutes
+    digests = ", ".join(f"'{r[0]}'" for r in rows) or "null"
+    d = d.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest"), found.alias("found"))
+    d = d.select("doc_id", "text_digest", F.expr(f"filter(found, h -> coalesce(h in ({digests}), false))").alias("hits"))
     d = d.join(F.broadcast(known_table.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))), "text_digest", "left")
-    name = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
-    family = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[2])])
+    name, family = (F.str_to_map(F.lit(",".join(f"{r[0]}:{r[k]}" for r in rows)), F.lit(","), F.lit(":")) for k in (1, 2))
     every = F.when(F.col("text_license").isNotNull(), F.array_union("hits", F.array("text_digest"))).otherwise(F.col("hits"))
     listed = lambda m: F.array_join(F.sort_array(F.array_distinct(F.transform(every, lambda h: F.element_at(m, h)))), ",")
     return d.select("doc_id", "text_digest", "text_license", listed(name).alias("licenses"), listed(family).alias("families"), F.size("hits").cast("long").alias("n_notices"))

@@ -51,6 +51,22 @@ def test_licences_in_other_spellings(spark):
     assert got[4][1:] == ("MIT", 1) and got[3][1] == ""
 
 
+def test_licences_in_whole_texts_and_under_other_headings(spark):
+    from pathlib import Path
+
+    at = Path(licenses.__file__).parent / "license_texts"
+    full = {n: (at / f"{n}.txt").read_text() for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0", "CC-BY-SA-4.0")}
+    mit = licenses.KNOWN[0][3].partition("\n\n")[2]
+    bsd = next(x[3] for x in licenses.KNOWN if x[0] == "BSD-3-Clause").partition("\n\n")[2].replace("HOLDER OR", "OWNER OR")
+    bullets = bsd.replace(" 1. ", "\n\n* ").replace(" 2. ", "\n* ").replace(" 3. ", "\n* ")
+    notices = {"SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "// SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0", "SPDX-License-Identifier: EPL-2.0": "EPL-2.0", "Licensed under the Mozilla Public License 2.0.": "MPL-2.0", "This project is licensed under the GNU General Public License v2.0.": "GPL-2.0"}
+    texts = [*full.values(), full["GPL-2.0"].replace("\n", "\r\n"), mit, "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + mit, "Copyright (c) 2020, A\nAll rights reserved.\n\n" + bsd, bullets, mit + " and more words"]
+    want = [*full, "GPL-2.0", "MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", None]
+    got = licenses.scan(frame(spark, [*texts, *[f"prose\n{x}\nprose" for x in notices]])).orderBy("doc_id").collect()
+    assert [r["text_license"] for r in got[: len(want)]] == want
+    assert [(r["licenses"], r["n_notices"]) for r in got[len(want) :]] == [(x, 1) for x in notices.values()]
+
+
 # 2
 
 
