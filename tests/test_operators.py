@@ -94,6 +94,21 @@ def test_similar_parts_at_the_edges(spark):
     assert (1, 2) in want and (1, 3) in want and (1, 4) in want and (1, 6) in want and (2, 5) in want
 
 
+def test_type3_clones_by_brute_force(spark):
+    import re
+    from collections import Counter
+
+    from tessera.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    bags = {r[0]: Counter(re.findall("[a-z0-9]+", (r[1] or "").lower())) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    size = {k: sum(b.values()) for k, b in bags.items()}
+    dice = {(a, b): 2.0 * sum((bags[a] & bags[b]).values()) / (size[a] + size[b]) for a in bags for b in bags if a < b and size[a] + size[b]}
+    want = {k: round(v, 6) for k, v in dice.items() if v >= 0.7}
+    got = {(r["a"], r["b"]): r["dice"] for r in registry.QUERIES["clones_type3_all"](spark, sf).collect()}
+    assert len(want) == 27 and set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_near_clones(spark, sorted_rows):
     d = spark.createDataFrame([(1, ["x", "x", "y"]), (2, ["x", "z", "z"]), (3, ["x", "x", "y"]), (4, [])], "id int, tokens array<string>")
     assert sorted_rows(relations.near_clones(d, 0.3)) == [(1, 2, pytest.approx(1 / 3)), (1, 3, 1.0), (2, 3, pytest.approx(1 / 3))]
