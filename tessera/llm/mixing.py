@@ -43,9 +43,9 @@ SALT_ROWS = 5000
 OFFSETS = 64
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, *keep: Column) -> DataFrame:
     d = pick(docs, doc_id="doc_id", source="source", text="text")
-    return d.select("doc_id", "source", F.size(words_of(text_or_empty(F.col("text")))).cast("long").alias("size"))
+    return d.select("doc_id", "source", F.size(words_of(text_or_empty(F.col("text")))).cast("long").alias("size"), *keep)
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -122,9 +122,10 @@ def rates(sized: DataFrame, **how) -> DataFrame:
     return cells.join(solved, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", F.round(rate, 12).alias("rate"), "source_size", "target")
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, size, source, source_size, target, rate, copies, taken), one row for each document."""
-    sized = stage_table(sizes(docs), "mixing-sizes")
+def mix(docs: DataFrame, keep: tuple[Column, ...] = (), **how) -> DataFrame:
+    """(doc_id, size, source, source_size, target, rate, copies, taken), one row for each document, and further columns to keep."""
+    sized = stage_table(sizes(docs, *keep), "mixing-sizes")
+    kept = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     before = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     cells = rates(sized, **how)
     cells = cells.withColumn("part", F.col("rate") - F.floor("rate")).withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("part")).over(before), F.lit(0.0)))
@@ -146,16 +147,26 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     nth = F.col("skip") + F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("h", "doc_id"))
     at = lambda k: F.floor(F.col("start") + k * F.col("part") + F.col("u"))
     rows = rows.withColumn("nth", nth).withColumn("copies", (F.floor("rate") + at(F.col("nth")) - at(F.col("nth") - 1)).cast("int"))
-    return rows.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *kept)
 
 
 def apply(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, in its own columns.
 
-    doc_id must tell documents apart; rows that share one are taken as one
-    document and take its copies together.
+    mix() decides for rows; they are found again by id, source and digest of
+    the text. Rows equal in these have the same rate, so their counts differ
+    by one at most: the sum is dealt out evenly among them, by number.
     """
-    taken = mix(docs, **how).where("copies > 0").groupBy(key_of(F.col("doc_id")).alias("id")).agg(F.max("copies").alias("copies"))
+    text = F.md5(text_or_empty(F.col("text")))
+    keys = {"id": key_of(F.col("doc_id")), "no_source": F.col("source").isNull(), "src": F.coalesce("source", F.lit(""))}
+    taken = mix(docs, keep=(text.alias("digest"),), **how).select(*[c.alias(k) for k, c in keys.items()], "digest", "copies")
+    taken = taken.groupBy(*keys, "digest").agg(F.sum("copies").alias("total"), F.count("*").alias("equals")).where("total > 0")
+    taken = stage_table(taken, "mixing-taken")
     # a document is one value here, so that its columns meet no others
-    whole = docs.select(key_of(docs["doc_id"]).alias("id"), F.struct(*docs.columns).alias("doc")).join(taken, "id")
-    return whole.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    whole = docs.select(*[c.alias(k) for k, c in keys.items()], text.alias("digest"), F.struct(*docs.columns).alias("doc"))
+    joined = lambda rows: whole.join(rows, [*keys, "digest"])
+    even = joined(taken.where("total % equals = 0")).select("doc", F.expr("total div equals").alias("copies"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "digest").orderBy("digest"))
+    uneven = joined(taken.where("total % equals > 0")).withColumn("nth", nth)
+    uneven = uneven.select("doc", F.expr("total * nth div equals - total * (nth - 1) div equals").alias("copies")).where("copies > 0")
+    return even.unionByName(uneven).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")

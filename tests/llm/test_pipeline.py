@@ -71,6 +71,27 @@ def test_the_mix(ran):
     assert {tuple(r) for r in ran[4]} <= {tuple(r) for r in ran[3]}
 
 
+def test_the_mix_of_rows_that_share_an_id(spark):
+    from tessera.llm import mixing
+
+    source = lambda i: ("a", "b", None)[i % 3]
+    rows = [(None if i % 2 else 7, " ".join([f"w{i}"] * (1 + i)), "en", source(i), i) for i in range(60)]
+    rows += [(None, "the same row " * 5, "en", "a", -1)] * 9 + [(None, "the same row " * 5, "en", "b", -1)] * 4
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want, sizes, taken, most = Counter(), Counter(), Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["source"], r["size"]] += r["copies"]
+    for _, text, _, s, _ in rows:
+        sizes[s] += len(text.split())
+        most[s] = max(most[s], len(text.split()))
+    out = mixing.apply(docs).collect()
+    got = Counter((r["source"], len(r["text"].split())) for r in out)
+    for (s, n), k in got.items():
+        taken[s] += n * k
+    assert got == +want and {tuple(r) for r in out} <= set(rows)
+    assert all(abs(taken[s] - x) <= most[s] for s, x in brute.mixing_targets(sizes).items())
+
+
 def test_tokens(ran):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
