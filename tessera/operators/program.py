@@ -496,9 +496,44 @@ def flows(files: DataFrame) -> DataFrame:
 
 
 def dependences(flow_facts: DataFrame) -> DataFrame:
-    """The program dependence graph (path, func, src, dst, kind) by lines."""
+    """The program dependence graph (path, func, src, dst, kind, name) by lines; name: the variable of data dependences."""
     d = flow_facts.where(F.col("kind").isin("def_use", "control"))
-    return d.select("path", "func", F.col("line").alias("src"), F.col("other").alias("dst"), F.when(F.col("kind") == "control", "control").otherwise("data").alias("kind"))
+    return d.select("path", "func", F.col("line").alias("src"), F.col("other").alias("dst"), F.when(F.col("kind") == "control", "control").otherwise("data").alias("kind"), "name")
+
+
+def slices(flow_facts: DataFrame, starts: DataFrame, variable: str | None = None) -> DataFrame:
+    """(path, func, start, direction, line): the lines of each slice, by traversal of the dependence graph.
+
+    starts: (path, func, start, direction), direction forward or backward. Data
+    dependences of other variables than the given one are not followed, control
+    dependences always are. A start outside its function has an empty slice. Line 0, where
+    a function's parameters enter, is no line of the source and is left out.
+    """
+    lines = flow_facts.select("path", "func", F.explode(F.array("line", "other")).alias("start")).where("start is not null").distinct()
+    starts = starts.select("path", "func", F.col("start").cast("int").alias("start"), "direction").distinct().join(lines, ["path", "func", "start"], "left_semi")
+    edges = dependences(flow_facts)
+    if variable is not None:
+        edges = edges.where((F.col("kind") == "control") | (F.col("name") == variable))
+    edges = edges.groupBy("path", "func").agg(F.collect_set(F.struct("src", "dst")).alias("edges"))
+    kind = "path string, func string, start int, direction string, line int"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, func, start, direction, pairs in frame[["path", "func", "start", "direction", "edges"]].itertuples(index=False, name=None):
+                after = defaultdict(set)
+                for e in pairs if pairs is not None else ():
+                    a, b = (e["src"], e["dst"]) if direction == "forward" else (e["dst"], e["src"])
+                    after[a].add(b)
+                seen, todo = {start}, [start]
+                while todo:
+                    new = after[todo.pop()] - seen
+                    seen |= new
+                    todo += new
+                out += [(path, func, start, direction, line) for line in sorted(seen) if line > 0]
+            yield pd.DataFrame(out, columns=["path", "func", "start", "direction", "line"])
+
+    return starts.join(edges, ["path", "func"], "left").mapInPandas(run, kind)
 
 
 def line_counts(files: DataFrame) -> DataFrame:

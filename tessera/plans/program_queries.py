@@ -73,9 +73,15 @@ def code_dataflow(spark, sf_dir):
 
 @query("code_slice")
 def code_slice(spark, sf_dir):
-    """For each function the dependences that a forward slice from its first line would follow."""
-    pdg = program.dependences(program.flows(own_files(spark)))
-    return pdg.groupBy("path", "func", "kind").agg(F.count("*").alias("n"), F.min("src").alias("first_line"), F.max("dst").alias("last_line"))
+    """For each function the forward slice from its first line and the backward slice from its last: dependences inside, by kind."""
+    flows = program.flows(own_files(spark))
+    pdg = program.dependences(flows)
+    ends = flows.where("line > 0").groupBy("path", "func").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    starts = ends.select("path", "func", F.col("first").alias("start"), F.lit("forward").alias("direction")).unionByName(ends.select("path", "func", F.col("last").alias("start"), F.lit("backward").alias("direction")))
+    found = program.slices(flows, starts)
+    ahead = F.when(F.col("direction") == "forward", F.col("src")).otherwise(F.col("dst"))
+    inside = found.join(pdg, ["path", "func"]).where(ahead == F.col("line"))
+    return inside.groupBy("path", "func", "direction", "kind").agg(F.count("*").alias("n"), F.min("src").alias("first_line"), F.max("dst").alias("last_line"))
 
 
 @query("code_inheritance")

@@ -210,6 +210,16 @@ def test_program(spark):
     assert taint == [("ShellExec:cmd", 21, 22)]
 
 
+def test_slices_go_both_ways_and_leave_out_what_is_outside(spark, sorted_rows):
+    code = "def f(a, b):\n    x = a + 1\n    y = b + 1\n    if x > 2:\n        z = x\n    w = y\n    return w\n"
+    flows = program.flows(spark.createDataFrame([("p.py", code)], "path string, content string"))
+    starts = spark.createDataFrame([("p.py", "f", n, d) for n, d in ((2, "forward"), (7, "backward"), (5, "backward"), (99, "forward"))], "path string, func string, start int, direction string")
+    lines = lambda **how: {(s, d): {r[4] for r in got if (r[2], r[3]) == (s, d)} for got in [sorted_rows(program.slices(flows, starts, **how))] for _, _, s, d, _ in got}
+    every, of_x = lines(), lines(variable="x")
+    assert every[2, "forward"] == {2, 4, 5} and every[7, "backward"] - {1} == {3, 6, 7} and every[5, "backward"] - {1} == {2, 4, 5}
+    assert of_x[2, "forward"] == {2, 4, 5} and of_x[7, "backward"] - {1} == {7} and (99, "forward") not in every
+
+
 def test_complexity():
     import ast
 
