@@ -1,16 +1,18 @@
 """Licence scans by digest: bring a text to one canonical form, hash it, look the hash up.
 
-Canonical form: lower case; lines that only state a copyright or that all
-rights are reserved go; equivalent spellings become one; every other sign than
-a letter or digit becomes a blank; blanks are merged. The sha256 of that form
-is looked up among the digests of known licences (a broadcast hash join: the
-registry is a constant of this module, and registry_frame() refuses more than
-MAX_REGISTRY entries). Whole texts are looked up, and each line by itself, so
-that a notice inside a document is found as well.
+Canonical form: lower case; lines that state a copyright, by its year or sign,
+and the words that all rights are reserved go; equivalent spellings become one;
+every other sign than a letter or digit becomes a blank; blanks are merged, so
+that line breaks make no difference. The sha256 of that form meets the digests
+of known licences in a hash join (broadcast: the registry is a constant of this
+module, and registry_frame() refuses more than MAX_REGISTRY entries). Whole
+texts are looked up, and each line by itself in the same join, so that a notice
+inside a document is found as well.
 
 Nulls: a null text is empty and matches nothing. Repeated rows give equal
-rows. An empty table gives an empty result. Ties: a text is one digest, a
-digest one licence; several notices in a text are listed in sorted order.
+rows, one for each. Very long texts are digested where they lie. An empty table
+gives an empty result. Ties: a text is one digest, a digest one licence; several
+notices in a text are listed in sorted order. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 import re
 import textwrap
 from collections.abc import Iterator
+from functools import cache
 from importlib import resources
 from itertools import product
 
@@ -27,12 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tessera.llm._common import pick, text_or_empty
 
 MAX_REGISTRY = 10_000
-#: Spelling, the one it becomes. Applied in this order, to lower-case text.
+#: Spelling, the one it becomes. Applied in this order, to canonical words; a hyphen is a blank there, so that words may be broken at it.
 SPELLINGS = (
     ("licence", "license"), ("organisation", "organization"), ("authoris", "authoriz"), ("merchantibility", "merchantability"),
-    ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("https://", "http://"), ("&", " and "),
+    ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("https ", "http "),
 )
-COPYRIGHT_LINE = r"(?m)^[^\S\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+_BLANK = r"[\t\x0B\f\r ]*"
+_STATES = rf"(?:copyright{_BLANK}(?:\(c\)|©|[\[<{{(]?(?:[0-9]{{4}}|year|yyyy))|(?:\(c\)|©){_BLANK}[\[<{{(]?(?:[0-9]{{4}}|year|yyyy))"
+#: A line that states a copyright, with its year or sign (prose that begins with the word stays), and the reservation of rights wherever it stands.
+COPYRIGHT_LINE = rf"(?m)^{_BLANK}{_STATES}[^\n]*$|all[\t\x0B\f\r\n ]+rights[\t\x0B\f\r\n ]+reserved"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -110,18 +116,20 @@ TEXTS = (
     "AGPL-3.0", "Apache-2.0", "Apache-2.0_spdx", "CC-BY-SA-4.0", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-2.0_spdx", "GPL-3.0", "GPL-3.0_spdx",
     "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0",
 )
-#: Line lengths at which texts are broken: a break before the word copyright makes the form another one.
-WIDTHS = (66, 68, 70, 72, 74, 75, 76, 77, 78, 79, 80)
+#: Line lengths at which texts may be broken. Only paragraphs that state a copyright have other forms then.
+WIDTHS = range(60, 101)
 
 
-def _wrapped(text: str, widths=WIDTHS) -> Iterator[str]:
-    """The text as it is, with each paragraph on one line, and broken at usual widths; copyright lines stay lines."""
+def _wrapped(text: str) -> Iterator[str]:
+    """The text as it is, with each paragraph on one line, and broken at all WIDTHS; copyright lines stay lines, or are broken too."""
     yield text
-    lines = re.sub(r"(?mi)^([^\S\n]*(?:copyright [(\[\d©]|\(c\)|©|all rights reserved)[^\n]*)$", r"\n\1\n", text)
-    paragraphs = [" ".join(p.split()) for p in re.split(r"\n[^\S\n]*\n", lines) if p.strip()]
-    yield "\n\n".join(paragraphs)
-    for w in widths:
-        yield "\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in paragraphs)
+    alone = re.sub(rf"(?mi)^({_BLANK}{_STATES}[^\n]*)$", r"\n\1\n", text)
+    for x, merged in ((alone, True), (text, True), (text, False)):
+        paragraphs = [" ".join(p.split()) if merged else p for p in re.split(r"\n[^\S\n]*\n", x) if p.strip()]
+        yield "\n\n".join(paragraphs)
+        forms = {p: [textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for w in WIDTHS] for p in paragraphs if re.search(rf"(?i){_STATES}", p)}
+        for i in range(len(WIDTHS) if forms else 0):
+            yield "\n\n".join(forms[p][i] if p in forms else p for p in paragraphs)
 
 
 def _bodies(name: str, text: str) -> Iterator[str]:
@@ -175,7 +183,7 @@ def _known() -> Iterator[tuple[str, str, str, str]]:
         name = file.removesuffix("_spdx")
         text = resources.files("tessera.llm").joinpath("license_texts", f"{file}.txt").read_text("utf-8")
         for form in _long(text):
-            yield from ((name, families[name], "text", x) for x in _wrapped(form, (72, 76, 79)))
+            yield from ((name, families[name], "text", x) for x in _wrapped(form))
     for name, family, prose, spdx in NAMES:
         for x in spdx:
             yield name, family, "notice", f"SPDX-License-Identifier: {x}"
@@ -188,24 +196,27 @@ def _known() -> Iterator[tuple[str, str, str, str]]:
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    out = F.replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), F.lit("&"), F.lit(" and "))
+    out = F.regexp_replace(out, NOT_WORD, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, NOT_WORD, " "))
+    return F.trim(out)
 
 
 def canonical_text(text: str) -> str:
     """The same form of one string, for the registry on the driver."""
-    out = re.sub(COPYRIGHT_LINE, " ", text.lower())
+    out = re.sub(r"[\W_]+", " ", re.sub(COPYRIGHT_LINE, " ", text.lower()).replace("&", " and "))
     for old, new in SPELLINGS:
         out = out.replace(old, new)
-    return re.sub(r"[\W_]+", " ", out).strip()
+    return out.strip()
 
 
 def _first_of_each(known) -> dict[str, tuple[str, str, str, str]]:
+    """By canonical form; paragraphs, which most forms share, are brought to theirs once."""
+    part = cache(canonical_text)
     found: dict[str, tuple[str, str, str, str]] = {}
     for row in known:
-        found.setdefault(canonical_text(row[3]), tuple(row))
+        found.setdefault(" ".join(filter(None, map(part, re.split(r"\n\n", row[3])))), tuple(row))
     return found
 
 
@@ -237,33 +248,33 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     families: those of the text or of any line of it, sorted and joined by
     commas (empty: none). n_notices: lines that match.
     """
-    spark = docs.sparkSession
-    rows = registry(known)
-    known_table = registry_frame(spark, known)
     # lines whose digest can match: a line's canonical form is as long as a known one
     lengths = sorted({len(form) for form in _forms(known)} - {0})
     d = pick(docs, doc_id="doc_id", text="text").withColumn("text", text_or_empty(F.col("text")))
     canon = F.transform(F.split("text", "\n"), canonical)
     found = F.transform(F.filter(canon, lambda c: F.length(c).isin(lengths)), lambda c: F.sha2(c, 256))
-    # one parsed expression and one literal a map: a column object for each of thousands of entries takes minutes
-    digests = ", ".join(f"'{r[0]}'" for r in rows) or "null"
     d = d.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest"), found.alias("found"))
-    d = d.select("doc_id", "text_digest", F.expr(f"filter(found, h -> coalesce(h in ({digests}), false))").alias("hits"))
-    d = d.join(F.broadcast(known_table.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))), "text_digest", "left")
-    name, family = (F.str_to_map(F.lit(",".join(f"{r[0]}:{r[k]}" for r in rows)), F.lit(","), F.lit(":")) for k in (1, 2))
-    every = F.when(F.col("text_license").isNotNull(), F.array_union("hits", F.array("text_digest"))).otherwise(F.col("hits"))
-    listed = lambda m: F.array_join(F.sort_array(F.array_distinct(F.transform(every, lambda h: F.element_at(m, h)))), ",")
-    return d.select("doc_id", "text_digest", "text_license", listed(name).alias("licenses"), listed(family).alias("families"), F.size("hits").cast("long").alias("n_notices"))
+    # the whole text's digest and those of its lines meet the registry in one hash join
+    d = d.select("doc_id", "text_digest", F.md5(F.array_join("found", "").cast("binary")).alias("lines"), F.posexplode(F.concat(F.array("text_digest"), "found")).alias("at", "digest"))
+    d = d.join(F.broadcast(registry_frame(docs.sparkSession, known)), "digest", "left")
+    listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    # rows that are equal in id and digests are counted, and become as many again
+    rows = d.groupBy("doc_id", "text_digest", "lines").agg(
+        F.sum((F.col("at") == 0).cast("long")).alias("copies"), F.max(F.when(F.col("at") == 0, F.col("license"))).alias("text_license"),
+        listed("license").alias("licenses"), listed("family").alias("families"), F.sum(((F.col("at") > 0) & F.col("license").isNotNull()).cast("long")).alias("hits"),
+    )
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select("doc_id", "text_digest", "text_license", "licenses", "families", F.expr("hits div copies").alias("n_notices"))
 
 
 def oracle_sql(known=KNOWN) -> str:
     """The same rows in DuckDB's SQL."""
 
     def canon(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '(?m)^[\\t\\x0B\\f\\r ]*(?:copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')"
+        out = f"regexp_replace(replace(regexp_replace(lower({x}), '{COPYRIGHT_LINE}', ' ', 'g'), '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
         for old, new in SPELLINGS:
             out = f"replace({out}, '{old}', '{new}')"
-        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        return f"trim({out})"
 
     values = ", ".join(str(r) for r in registry(known))
     return f"""
