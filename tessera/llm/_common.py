@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -82,10 +83,24 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    import gc
+def collapsed(d: DataFrame, most: int, name: str) -> DataFrame:
+    """Rows (key, text) with copies: where more than most rows are equal in both, one stands for them, with their number.
+
+    Others keep copies 1, so that texts need no shuffle to be compared; only
+    their digests are counted. Few rows or none are replaced, as a rule.
+    """
+    same = ["key", "digest"]
+    named = d.select("key", "text", F.unhex(F.md5("text")).alias("digest"))
+    many = stage_table(named.groupBy(*same).agg(F.count("*").alias("copies")).where(F.col("copies") > most), name, narrow=True)
+    one = F.lit(1).cast("long").alias("copies")
+    if many.isEmpty():
+        return d.select("key", "text", one)
+    first = named.join(many, same, "left_semi").groupBy(*same).agg(F.first("text").alias("text")).join(many, same)
+    return named.join(many, same, "left_anti").select("key", "text", one).unionByName(first.select("key", "text", "copies"))
 
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more: its cleaner acts when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

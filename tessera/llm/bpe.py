@@ -1,7 +1,9 @@
 """Byte-level BPE: encode each distinct word once, join the ids back, decode by the token-byte table.
 
-Texts are dealt by hashed id into chunks of about CHUNK_DOCS documents, the
-only time that they move. Then
+Texts are dealt by hashed id and text into chunks of about CHUNK_BYTES bytes, the
+only time that they move. Rows that are equal in id and text, where there are
+more than REPEATS of them, go as one row with their number, so that no chunk
+receives a row's copies. Then
 
 1. each chunk lists its distinct pre-tokens ("words") and sends them, by hash,
    to buckets: one row for each chunk and bucket, its words in order, end to
@@ -23,8 +25,9 @@ others by `regex`; both take exactly the characters of Unicode's White_Space
 property as blanks.
 
 Nulls: a null text is empty; a null doc_id comes back as null. Empty texts have no
-ids. Repeated rows give equal rows. Empty tables give empty results. A chunk
-holds the texts of about CHUNK_DOCS documents in memory, and at least one.
+ids. Repeated rows give equal rows, one for each. Empty tables give empty results.
+Further columns are not read. A chunk is in memory as a whole: about CHUNK_BYTES
+of text, or a single longer text.
 """
 
 from __future__ import annotations
@@ -41,9 +44,10 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm._common import id_of, key_of, shuffle_partitions, text_or_empty
+from tessera.llm._common import collapsed, id_of, key_of, shuffle_partitions, text_or_empty
 
-CHUNK_DOCS = 4000
+CHUNK_BYTES = 8 << 20
+REPEATS = 1000
 ZSTD_LEVEL = 3
 
 
@@ -73,8 +77,8 @@ def pre_tokens(text: str, narrow: re.Pattern, wide: regex.Pattern) -> list[str]:
 
 
 def _in_order(t: pa.Table) -> list[tuple]:
-    """(key, text) of a chunk, in an order that both its readers find."""
-    return sorted(zip(t["key"].to_pylist(), t["text"].to_pylist(), strict=True))
+    """(key, text, copies) of a chunk, in an order that both its readers find."""
+    return sorted(zip(t["key"].to_pylist(), t["text"].to_pylist(), t["copies"].to_pylist(), strict=True))
 
 
 def _vocabulary(rows: list[tuple], pattern: str) -> tuple[dict[str, int], list[np.ndarray]]:
@@ -82,7 +86,7 @@ def _vocabulary(rows: list[tuple], pattern: str) -> tuple[dict[str, int], list[n
     numbers: dict[str, int] = {}
     texts = []
     both = patterns(pattern)
-    for _, text in rows:
+    for _, text, _ in rows:
         words = pre_tokens(text, *both)
         texts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
     return numbers, texts
@@ -110,7 +114,7 @@ def _send_words(pattern: str, n_buckets: int):
     def run(t: pa.Table) -> pa.Table:
         numbers: dict[str, int] = {}
         both = patterns(pattern)
-        for _, text in _in_order(t):
+        for _, text, _ in _in_order(t):
             for w in dict.fromkeys(pre_tokens(text, *both)):
                 numbers.setdefault(w, len(numbers))
         words, order, bucket = _ordered(numbers, n_buckets)
@@ -156,7 +160,7 @@ def _encode_bucket(ranks: dict[bytes, int], pattern: str):
 
 
 def _put_together(pattern: str, n_buckets: int, table: list[bytes]):
-    kind = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    kind = pa.schema([("key", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(docs: pa.Table, coded: pa.Table) -> pa.Table:
         rows = _in_order(docs)
@@ -173,11 +177,12 @@ def _put_together(pattern: str, n_buckets: int, table: list[bytes]):
         begin, many = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         begin[order], many[order] = np.cumsum(counts) - counts, counts
         out = {c: [] for c in kind.names}
-        for (key, _), at in zip(rows, texts, strict=True):
+        for (key, _, copies), at in zip(rows, texts, strict=True):
             n = many[at]
             total = int(n.sum())
             own = ids[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(total)]
             out["key"].append(key)
+            out["copies"].append(copies)
             out["n_tokens"].append(total)
             out["ids_sha256"].append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decode(own.tolist(), table)).hexdigest())
@@ -198,10 +203,12 @@ def byte_table(ranks: dict[bytes, int]) -> list[bytes]:
     return table
 
 
-def _chunks(docs: DataFrame, chunk_docs: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-docs.count() // chunk_docs))
-    d = docs.select(key_of(F.col("doc_id")).alias("key"), text_or_empty(F.col("text")).alias("text"))
-    return d.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("long")), n
+def _chunks(docs: DataFrame, chunk_bytes: int, repeats: int) -> tuple[DataFrame, int]:
+    """(key, text, copies, chunk) and the number of chunks; copies is over 1 only for rows that occur more than repeats times."""
+    once = collapsed(docs.select(key_of(F.col("doc_id")).alias("key"), text_or_empty(F.col("text")).alias("text")), repeats, "bpe-repeats")
+    total = once.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(1, -(-total // chunk_bytes))
+    return once.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("long")), n
 
 
 def _coded(d: DataFrame, n_chunks: int, ranks: dict[bytes, int], pattern: str) -> tuple[DataFrame, int]:
@@ -211,11 +218,12 @@ def _coded(d: DataFrame, n_chunks: int, ranks: dict[bytes, int], pattern: str) -
     return sent.groupBy("bucket").applyInArrow(_encode_bucket(ranks, pattern), "chunk long, bucket long, counts binary, ids binary"), n_buckets
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, chunk_bytes: int = CHUNK_BYTES, repeats: int = REPEATS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each document."""
     ranks = rank_table(path)
-    d, n = _chunks(docs, chunk_docs)
+    d, n = _chunks(docs, chunk_bytes, repeats)
     coded, n_buckets = _coded(d, n, ranks, pattern)
-    kind = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    kind = "key long, copies long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     out = d.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_put_together(pattern, n_buckets, byte_table(ranks)), kind)
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(id_of(F.col("key")).alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
