@@ -200,8 +200,12 @@ def _window_rows(length: int):
             key, th = (np.repeat(np.array([h[i] for h in held], np.int64), n) for i in (1, 2))
             return pa.record_batch({"w1": d[:, 0].copy(), "w2": d[:, 1].copy(), "key": key, "th": th, "at": np.concatenate([h[3] for h in held])})
 
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for body, key, th, todo in zip(*[batch.column(c).to_pylist() for c in ("body", "key", "th", "open")], strict=True):
+                if (key, th) in seen:  # a row that is repeated
+                    continue
+                seen.add((key, th))
                 at, raw = _windows_of(todo), memoryview(body)
                 for i in range(0, len(at), WINDOWS):
                     some = at[i : i + WINDOWS]
@@ -237,9 +241,13 @@ def _context_rows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("g", pa.int64()), ("key", pa.int64()), ("th", pa.int64()), ("run", pa.int64()), ("bytes", pa.binary())])
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             out = {c: [] for c in kind.names}
             for body, key, th, todo in zip(*[batch.column(c).to_pylist() for c in ("body", "key", "th", "near")], strict=True):
+                if (key, th) in seen:  # a row that is repeated
+                    continue
+                seen.add((key, th))
                 for o in todo:
                     first = o["run"] >> 14
                     out["bytes"].append(body[first : first + (o["run"] & 127) + length])
@@ -255,24 +263,56 @@ def _context_rows(length: int):
     return run
 
 
+def equal_windows(slab: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window of length bytes: windows of one group have the same if all their bytes are equal, -1 if they are alone.
+
+    A radix sort by digits of eight bytes, depth limited: each pass orders what
+    is left by group and digit, and goes on with groups of two or more alone.
+    Digits are taken from both ends inwards, since the middle, where windows of
+    one group share their anchor, tells them apart last.
+    """
+    out = np.full(len(at), -1, np.int64)
+    width = min(8, length)
+    if len(slab) < width or not len(at):
+        return out
+    digits = np.ndarray(len(slab) - 7, np.uint64, slab, strides=(1,)) if width == 8 else sum(slab[i : len(slab) - width + 1 + i].astype(np.uint64) << np.uint64(8 * i) for i in range(width))
+    ends = [*range(0, length - width, width), length - width]
+    half = (len(ends) + 1) // 2
+    inwards = [d for pair in zip(ends[:half], ends[::-1][:half], strict=True) for d in pair][: len(ends)]
+    live = np.arange(len(at))
+    for d in inwards:
+        x = digits[at[live] + d]
+        order = np.lexsort((x, group))
+        live, x, group = live[order], x[order], group[order]
+        new = np.ones(len(live), bool)
+        new[1:] = (group[1:] != group[:-1]) | (x[1:] != x[:-1])
+        number = np.cumsum(new) - 1
+        several = np.bincount(number, minlength=1)[number] > 1 if len(live) else new
+        live, group = live[several], number[several]
+        if not len(live):
+            break
+    out[live] = group
+    return out
+
+
 def _match_rows(length: int, rows: int = 4_000):
     """(key, th, run) of windows that a smaller id has too, from rows of _context_rows in order of g."""
 
     def found(t: pa.Table) -> pa.RecordBatch:
         g, key, th, run = (t[c].to_numpy() for c in ("g", "key", "th", "run"))
         texts = t["bytes"].to_pylist()
-        h = _gram_hashes(np.frombuffer(b"".join(texts), np.uint8), length)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         n = (run & 127) + 1
         row = np.repeat(np.arange(len(run)), n)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        h = h[np.repeat(np.cumsum(size) - size, n) + nth]
+        at = np.repeat(np.cumsum(size) - size, n) + nth
         place = (np.cumsum(np.diff(g, prepend=g[:1]) != 0)[row] << 7) | (((run >> 7) & 127)[row] - nth)
-        order = np.lexsort((key[row], h, place))
-        new = np.ones(len(order), bool)
-        new[1:] = (place[order][1:] != place[order][:-1]) | (h[order][1:] != h[order][:-1])
-        least = key[row][order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        hit = np.sort(order[key[row][order] > least])
+        same = equal_windows(np.frombuffer(b"".join(texts), np.uint8), at, place, length)
+        several = np.flatnonzero(same >= 0)
+        order = several[np.argsort(same[several], kind="stable")]
+        new = np.diff(same[order], prepend=-1) != 0
+        least = np.minimum.reduceat(key[row[order]], np.flatnonzero(new))[np.cumsum(new) - 1] if len(order) else key[:0]
+        hit = np.sort(order[key[row[order]] > least])
         begins = np.ones(len(hit), bool)
         begins[1:] = (hit[1:] != hit[:-1] + 1) | (row[hit][1:] != row[hit][:-1])
         at = np.flatnonzero(begins)
@@ -402,8 +442,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text:
     hits = stage_table(hits.select("g", "c", "key", "th", "run", "mixed"), "suffix-hits")
     release(spark)
     mixed = hits.where("mixed").select("g", "c", "key", "th", "run")
-    kinds = mixed.groupBy("g", "c").agg(F.min("key").alias("least"))
-    # staged before anything is grouped: a join alone can split its hot keys
+    # kinds are staged before they are joined, and the join before anything is grouped: a join of two tables can split its hot keys
+    kinds = stage_table(mixed.groupBy("g", "c").agg(F.min("key").alias("least")), "suffix-least")
+    release(spark)
     mixed = mixed.join(kinds, ["g", "c"]).select("g", "c", "key", "th", "run", (F.col("key") == F.col("least")).alias("open"))
     mixed = stage_table(mixed, "suffix-kinds")
     release(spark)
@@ -412,7 +453,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text:
     opened = mixed.where("open").groupBy("g", "c", "key", "th").agg(F.min("run").alias("run")).select("g", "key", "th", "run")
     crowded = opened.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > kinds_limit).select("g", F.lit(True).alias("crowd"))
     opened = opened.join(crowded, "g", "left")
-    by = opened.groupBy("key", "th").agg(F.collect_list(F.when(F.col("crowd").isNull(), F.struct("g", "run"))).alias("near"), F.collect_list(F.when(F.col("crowd"), F.col("run"))).alias("open"))
+    by = opened.groupBy("key", "th").agg(F.collect_set(F.when(F.col("crowd").isNull(), F.struct("g", "run"))).alias("near"), F.collect_set(F.when(F.col("crowd"), F.col("run"))).alias("open"))
     by = stage_table(by, "suffix-open")
     release(spark)
 
@@ -429,7 +470,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text:
     single = stage_table(single, "suffix-windows")
     release(spark)
 
-    found = whole.unionByName(near).unionByName(single).groupBy("key", "th").agg(F.collect_list("run").alias("runs"))
+    # sets: a row that occurs a million times has its runs once
+    found = whole.unionByName(near).unionByName(single).groupBy("key", "th").agg(F.collect_set("run").alias("runs"))
     done = (every if keep_text else d).join(found, ["key", "th"], "left").select("key", "th", "body", "runs", *["doc"] * keep_text)
     kind = "key long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (f", kept string, doc {every.schema['doc'].dataType.simpleString()}" if keep_text else "")
     return done.mapInArrow(_finish(length, gram, keep_text), kind)
