@@ -14,25 +14,34 @@ carries everything that the dual needs. A source whose target is twice its size
 takes two copies of all. Steps are damped by a bracket that always holds the
 root, so they cannot run away; they end when every source is within TOLERANCE.
 
-Rates become copies by systematic rounding in order of size: a document gets
-one more copy where the running sum of fractional parts passes a whole number.
-In each source that keeps the sum of taken words within one largest document of
-the target; of OFFSETS starting points of that sum each source takes the one
-that comes nearest. The running sum is made of three parts, each small: of the
-(source, size) cells before, of the salts before within the cell, and of the
-rows before within the salt; a cell of many equal rows is dealt to as many
-salts as it needs, so no task sees a large cell.
+Rates become copies cell by cell, a cell being the rows of one source and size.
+Sources take their cells in order of size; a cell's rows bring floor(rate)
+copies each, and so many of them one more as whole numbers lie between the
+running sums of fractional parts before and after the cell. That keeps a
+source's taken words within one largest document of its target; of OFFSETS
+starting points of the sum each source takes the one that comes nearest. Which
+rows of a cell take the further copy falls by hash of id and text: those up to
+the cell's cut. So a row's copies follow from the row itself and its cell alone,
+and texts are decided upon where they lie: cells are joined to them, by
+broadcast while there are at most BROADCAST_CELLS of them, else by a shuffle.
+
+No task sees a large cell: a cut is looked for among ranges of hashes first, with
+rows that are equal in hash and id counted once, and then within one range.
+Only where a cut falls among equal rows are these numbered, in as many parts as
+they need.
 
 Nulls: a null text has size 0; a null source is a source of its own, the last.
 Documents of size 0 take nothing. Repeated rows are documents of their own. A
-source without words has the target 0. An empty table gives an empty result.
+source without words has the target 0. Very long texts are counted where they
+lie. An empty table gives an empty result. Further columns come through
+apply() whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.llm._common import key_of, pick, stage_table, text_or_empty, words_of
+from tessera.llm._common import key_of, stage_table, text_or_empty, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -41,11 +50,15 @@ TOLERANCE = 1e-9
 STEPS = 60
 SALT_ROWS = 5000
 OFFSETS = 64
+#: Cells (of some 100 bytes) that are sent to every executor at most.
+BROADCAST_CELLS = 200_000
 
 
-def sizes(docs: DataFrame, *keep: Column) -> DataFrame:
-    d = pick(docs, doc_id="doc_id", source="source", text="text")
-    return d.select("doc_id", "source", F.size(words_of(text_or_empty(F.col("text")))).cast("long").alias("size"), *keep)
+def _keyed(docs: DataFrame, *keep: Column) -> DataFrame:
+    """(doc_id, source, size, o) and what is to be kept; o orders the rows of a cell: hash, id, second hash."""
+    text, key = text_or_empty(docs["text"]), key_of(docs["doc_id"])
+    order = F.struct(F.shiftrightunsigned(F.xxhash64(key, text), 1).alias("h"), key.alias("key"), F.xxhash64(text, key).alias("h2"))
+    return docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.size(words_of(text)).cast("long").alias("size"), order.alias("o"), *keep)
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -122,51 +135,80 @@ def rates(sized: DataFrame, **how) -> DataFrame:
     return cells.join(solved, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", F.round(rate, 12).alias("rate"), "source_size", "target")
 
 
-def mix(docs: DataFrame, keep: tuple[Column, ...] = (), **how) -> DataFrame:
-    """(doc_id, size, source, source_size, target, rate, copies, taken), one row for each document, and further columns to keep."""
-    sized = stage_table(sizes(docs, *keep), "mixing-sizes")
-    kept = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
+def _cut(sized: DataFrame, cells: DataFrame) -> DataFrame:
+    """(source, size, cut, some, equals): of cells of which some rows take a further copy, the last such row.
+
+    cells: (source, size, n, extra). equals rows are equal to the cut in order,
+    of which some take the copy.
+    """
+    open_ones = cells.where("extra > 0 and extra < n").select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "n", "extra")
+    same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))
+    rows = sized.groupBy("source", "size", "o").agg(F.count("*").alias("m")).join(open_ones, same).drop("c_source", "c_size")
+    # ranges of hashes in order, so many that each has some SALT_ROWS rows
+    rows = rows.withColumn("range", F.floor(F.col("o.h") / F.lit(2.0**63) * F.ceil(F.col("n") / SALT_ROWS)))
+    rows = stage_table(rows, "mixing-open")
+    before = Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("source", "size", "range", "extra").agg(F.sum("m").alias("many")).withColumn("skip", F.coalesce(F.sum("many").over(before), F.lit(0)))
+    ranges = ranges.where("skip < extra and extra <= skip + many")
+    ranges = ranges.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("range").alias("c_range"), "skip")
+    rows = rows.join(ranges, same & (F.col("range") == F.col("c_range")))
+    within = F.col("skip") + F.sum("m").over(Window.partitionBy("source", "size").orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", within).where("upto - m < extra and extra <= upto")
+    return rows.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("o").alias("cut"), (F.col("extra") - F.col("upto") + F.col("m")).alias("some"), F.col("m").alias("equals"))
+
+
+def plan(sized: DataFrame, **how) -> DataFrame:
+    """(source, size, n, rate, source_size, target, base, extra, cut, some, equals): for every cell, how its rows are taken."""
     before = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     cells = rates(sized, **how)
     cells = cells.withColumn("part", F.col("rate") - F.floor("rate")).withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("part")).over(before), F.lit(0.0)))
+    cells = stage_table(cells, "mixing-rates", narrow=True)
     # of OFFSETS equal places for the rounding to begin, each source takes the one that comes nearest its target
     begins = F.array(*[F.lit((i + 0.5) / OFFSETS) for i in range(OFFSETS)])
-    ends = lambda k, u: F.floor(F.col("start") + k * F.col("part") + u)
-    tried = cells.select("source", "target", (F.floor("rate") * F.col("n") * F.col("size")).alias("sure"), "start", "part", "n", "size", F.explode(begins).alias("u"))
-    tried = tried.groupBy("source", "target", "u").agg(F.sum(F.col("sure") + F.col("size") * (ends(F.col("n"), F.col("u")) - ends(F.lit(0), F.col("u")))).alias("got"))
+    extra = lambda u: (F.floor(F.col("start") + F.col("n") * F.col("part") + u) - F.floor(F.col("start") + u))
+    tried = cells.select("*", F.explode(begins).alias("u"))
+    tried = tried.groupBy("source", "target", "u").agg(F.sum(F.col("size") * (F.floor("rate") * F.col("n") + extra(F.col("u")))).alias("got"))
     begin = tried.groupBy("source").agg(F.min(F.struct(F.abs(F.col("got") - F.col("target")).alias("off"), F.col("u").alias("u")))["u"].alias("u")).withColumnRenamed("source", "u_source")
-    cells = cells.join(begin, F.col("source").eqNullSafe(F.col("u_source"))).drop("u_source")
+    cells = cells.join(begin, F.col("source").eqNullSafe(F.col("u_source")))
+    cells = cells.select("source", "size", "n", "rate", "source_size", "target", F.floor("rate").alias("base"), extra(F.col("u")).alias("extra"))
+    cells = stage_table(cells, "mixing-extra", narrow=True)
+    cells = cells.join(_cut(sized, cells), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")), "left")
+    return stage_table(cells.drop("c_source", "c_size"), "mixing-plan", narrow=True)
+
+
+def _decided(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows (source, size, o, ...) with copies and what the plan says of their cell."""
+    few = cells.count() <= BROADCAST_CELLS
+    ties = cells.where("some < equals")
     cells = cells.withColumnsRenamed({"source": "c_source", "size": "c_size"})
-    rows = sized.join(cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))).drop("c_source", "c_size")
-    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod("h", F.ceil(F.col("n") / SALT_ROWS)))
-    salts = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("m"))
-    earlier = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    salts = salts.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("salt").alias("c_salt"), F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("skip"))
-    rows = rows.join(salts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("salt") == F.col("c_salt")))
-    rows = rows.repartition("source", "size", "salt")
-    nth = F.col("skip") + F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("h", "doc_id"))
-    at = lambda k: F.floor(F.col("start") + k * F.col("part") + F.col("u"))
-    rows = rows.withColumn("nth", nth).withColumn("copies", (F.floor("rate") + at(F.col("nth")) - at(F.col("nth") - 1)).cast("int"))
-    return rows.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *kept)
+    same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))
+    rows = rows.join(F.broadcast(cells) if few else cells, same).drop("c_source", "c_size")
+    one_more = F.when(F.col("cut").isNull(), F.col("extra") > 0).otherwise((F.col("o") < F.col("cut")) | ((F.col("o") == F.col("cut")) & (F.col("some") == F.col("equals"))))
+    sure = rows.withColumn("copies", (F.col("base") + one_more.cast("int")).cast("int"))
+    if ties.isEmpty():
+        return sure
+    # a cut among equal rows: these are numbered; parts are written with them, so that they stay
+    at_cut = F.coalesce((F.col("o") == F.col("cut")) & (F.col("some") < F.col("equals")), F.lit(False))
+    tied = stage_table(rows.where(at_cut).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("equals") / SALT_ROWS))), "mixing-ties")
+    cell = ["source", "size", "salt"]
+    before = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    skips = tied.groupBy(*cell).agg(F.count("*").alias("many")).select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("salt").alias("c_salt"), F.coalesce(F.sum("many").over(before), F.lit(0)).alias("skip"))
+    tied = tied.join(skips, same & (F.col("salt") == F.col("c_salt")))
+    number = F.col("skip") + F.row_number().over(Window.partitionBy(*cell).orderBy("salt"))
+    tied = tied.withColumn("copies", (F.col("base") + (number <= F.col("some")).cast("int")).cast("int"))
+    return sure.where(~at_cut).unionByName(tied.select(*sure.columns))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, size, source, source_size, target, rate, copies, taken), one row for each document."""
+    sized = stage_table(_keyed(docs), "mixing-sizes")
+    rows = _decided(sized, plan(sized, **how))
+    return rows.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, in its own columns.
-
-    mix() decides for rows; they are found again by id, source and digest of
-    the text. Rows equal in these have the same rate, so their counts differ
-    by one at most: the sum is dealt out evenly among them, by number.
-    """
-    text = F.md5(text_or_empty(F.col("text")))
-    keys = {"id": key_of(F.col("doc_id")), "no_source": F.col("source").isNull(), "src": F.coalesce("source", F.lit(""))}
-    taken = mix(docs, keep=(text.alias("digest"),), **how).select(*[c.alias(k) for k, c in keys.items()], "digest", "copies")
-    taken = taken.groupBy(*keys, "digest").agg(F.sum("copies").alias("total"), F.count("*").alias("equals")).where("total > 0")
-    taken = stage_table(taken, "mixing-taken")
+    """The mix itself: each document as often as it is taken, in its own columns."""
+    cells = plan(stage_table(_keyed(docs), "mixing-sizes"), **how)
     # a document is one value here, so that its columns meet no others
-    whole = docs.select(*[c.alias(k) for k, c in keys.items()], text.alias("digest"), F.struct(*docs.columns).alias("doc"))
-    joined = lambda rows: whole.join(rows, [*keys, "digest"])
-    even = joined(taken.where("total % equals = 0")).select("doc", F.expr("total div equals").alias("copies"))
-    nth = F.row_number().over(Window.partitionBy(*keys, "digest").orderBy("digest"))
-    uneven = joined(taken.where("total % equals > 0")).withColumn("nth", nth)
-    uneven = uneven.select("doc", F.expr("total * nth div equals - total * (nth - 1) div equals").alias("copies")).where("copies > 0")
-    return even.unionByName(uneven).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
+    rows = _decided(_keyed(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc")), cells)
+    return rows.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
