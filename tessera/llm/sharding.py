@@ -16,13 +16,15 @@ The placement goes back level by level as a join on (block, column), a table of
 one row for each block and shard. A group larger than total / shards cannot be
 divided, by contract; its shard is then larger than the others.
 
-slot numbers a shard's rows from 0: rows are ordered by (bucket, id) with
-buckets of about SLOT_ROWS rows by hashed id, and counts of earlier buckets are
-added, so no task sorts a whole shard.
+slot numbers a shard's rows from 0: rows are ordered by (bucket, id, digest) with
+buckets of about SLOT_ROWS rows by hashed id and digest, and counts of earlier
+buckets are added, so no task sorts a whole shard.
 
 Nulls: a null text is empty (size OVERHEAD); a null doc_id is a document like
-others. Repeated rows are documents of their own. An empty table gives an empty
-result. Ties in size fall by digest.
+others. Repeated rows are documents of their own; they are counted before they
+move and numbered one after the other. Very long texts are read once, for size
+and digest. An empty table gives an empty result. Ties in size fall by digest.
+Further columns are not read.
 """
 
 from __future__ import annotations
@@ -172,10 +174,14 @@ def shards(docs: DataFrame, k: int = 40, block: int = BLOCK) -> DataFrame:
     placed = assign(groups, k, block).withColumnRenamed("digest", "g_digest")
     n = d.count()
     buckets = max(1, -(-n // (k * SLOT_ROWS)))
-    rows = d.join(placed, F.col("digest") == F.col("g_digest")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("m"))
+    # rows equal in id and text are one row with their number until they get their slots, so that an id in many rows fills no task
+    rows = d.groupBy("doc_id", "digest", "size", "text_crc32").agg(F.count("*").alias("m"))
+    rows = rows.join(placed, F.col("digest") == F.col("g_digest")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)))
+    rows = stage_table(rows.drop("g_digest"), "shard-rows")
+    counts = rows.groupBy("shard", "bucket").agg(F.sum("m").alias("many"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    skips = counts.select("shard", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("skip"))
+    skips = counts.select("shard", "bucket", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("skip"))
     rows = rows.join(skips, ["shard", "bucket"]).repartition("shard", "bucket")
-    nth = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")) - 1
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("skip") + nth).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    upto = F.sum("m").over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "digest").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("first", F.col("skip") + upto - F.col("m")).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
