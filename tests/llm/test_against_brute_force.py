@@ -4,8 +4,11 @@ import base64
 import heapq
 import math
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -52,8 +55,6 @@ def test_licences_in_other_spellings(spark):
 
 
 def test_licences_in_whole_texts_and_under_other_headings(spark):
-    from pathlib import Path
-
     at = Path(licenses.__file__).parent / "license_texts"
     full = {n: (at / f"{n}.txt").read_text() for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0", "CC-BY-SA-4.0")}
     mit = licenses.KNOWN[0][3].partition("\n\n")[2]
@@ -67,6 +68,17 @@ def test_licences_in_whole_texts_and_under_other_headings(spark):
     assert [(r["licenses"], r["n_notices"]) for r in got[len(want) :]] == [(x, 1) for x in notices.values()]
 
 
+def test_licences_however_they_are_wrapped():
+    at = Path(licenses.__file__).parent / "license_texts"
+    texts = [(r[0], r[3]) for r in licenses._FIRST if r[2] == "text"] + [(f.stem.removesuffix("_spdx"), f.read_text()) for f in at.glob("*.txt")]
+    known = {form: row[0] for form, row in licenses._FORMS.items()}
+    for name, text in texts:
+        for width in range(60, 101):
+            for hyphens in (True, False):
+                wrapped = "\n\n".join(textwrap.fill(p, width, break_on_hyphens=hyphens) for p in re.split(r"\n\s*\n", text))
+                assert known.get(licenses.canonical_text(wrapped)) == name, (name, width, hyphens)
+
+
 # 2
 
 
@@ -153,7 +165,7 @@ def test_tokens_of_the_library(spark, small):
     odd = ["<|endoftext|>", "a b c\x1c\x1d\x85d", "don't I'LL we've", "   \n\n  x \t", "日本語のテキスト ١٢٣ ²³½", "😀" * 50, "﻿x​y", "aaaa" * 3000, "\r\n\r\nz", "ªº µ ÿß", None]
     texts = [r["text"] for r in rows] + odd
     e = encoder()
-    for chunk in (7, 4000):
+    for chunk in (50_000, bpe.CHUNK_BYTES):
         got = bpe.round_trip(frame(spark, texts), PATH, public_tokenizers.PATTERN, chunk).orderBy("doc_id").collect()
         for r, t in zip(got, texts, strict=True):
             ids = e.encode_ordinary(t or "")
@@ -162,6 +174,13 @@ def test_tokens_of_the_library(spark, small):
             assert r["decoded_sha256"] == brute.sha((t or "").encode())
 
 
+def test_tokens_of_rows_that_repeat(spark):
+    rows = [(1, "the same row again", "en", "s", None)] * 9 + [(None, None, "en", "s", None)] * 4 + [(i, f"row {i}", "en", "s", None) for i in range(2, 6)]
+    got = bpe.round_trip(spark.createDataFrame(rows, SCHEMA).repartition(3), PATH, public_tokenizers.PATTERN, repeats=2).collect()
+    e = encoder()
+    assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in got) == Counter((i, len(e.encode_ordinary(t or "")), brute.sha((t or "").encode())) for i, t, *_ in rows)
+
+
 # 5
 
 
@@ -233,9 +252,76 @@ def test_repeated_bytes(spark, small, length, gram):
                 assert len(kept) <= len(r["text"].encode()) <= len(kept) + 6 * want[r["doc_id"]][2]
 
 
+@pytest.mark.parametrize("length", [100, 24, 9, 8, 5])
+def test_digit_passes(length):
+    rng = np.random.default_rng(0)
+    slab = rng.integers(0, 2, 4000).astype(np.uint8)
+    slab[1000:1300] = slab[2000:2300]
+    at = np.sort(rng.choice(4000 - length - 8, 900, replace=False))
+    at, group = np.concatenate([at, at]), np.concatenate([rng.integers(0, 3, len(at)), rng.integers(0, 3, len(at))])
+    got = suffix_dedup.equal_windows(slab, at, group, length)
+    want = [(g, slab[a : a + length].tobytes()) for a, g in zip(at.tolist(), group.tolist(), strict=True)]
+    number, several = {}, Counter(want)
+    for w, n in zip(want, got.tolist(), strict=True):
+        assert (n == -1) == (several[w] == 1) and (n == -1 or number.setdefault(w, n) == n)
+    assert len(set(number.values())) == len(number)
+
+
+def test_repeated_bytes_of_rows_that_repeat(spark):
+    rng = random.Random(61)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, f"{word()} {passage} {word()}", "en", "s", None) for i in range(5)] + [(7, f"x {passage}", "en", "s", None)] * 6
+    want = brute.repeated_bytes([(i, t) for i, t, *_ in rows[:6]])
+    got = suffix_dedup.report(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert Counter((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got) == Counter((i, want[i][1], brute.sha(want[i][3])) for i, *_ in rows)
+
+
 # 7
 
 
+def simhash(spark, texts):
+    """{text: fingerprint} by votes counted one at a time; only single hashes are Spark's."""
+    words = {t: brute.words(t) for t in texts}
+    every = sorted({w for ws in words.values() for w in ws})
+    one = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h")).collect()} if every else {}
+    runs = {t: [tuple(one[w] for w in ws[i : i + 3]) for i in range(len(ws) - 2)] or ([tuple(one[w] for w in ws)] if ws else []) for t, ws in words.items()}
+    many = sorted({r for rs in runs.values() for r in rs})
+    frames = [(r,) for r in many]
+    hashed = {}
+    for r in spark.createDataFrame(frames, "r array<long>").select("r", F.when(F.size("r") == 3, F.xxhash64(*[F.get("r", i) for i in range(3)])).otherwise(F.xxhash64("r")).alias("h")).collect():
+        hashed[tuple(r["r"])] = r["h"] % 2**64
+    return {t: sum(1 << i for i in range(64) if sum(1 if hashed[r] >> i & 1 else -1 for r in rs) > 0) for t, rs in runs.items()}
+
+
+def test_fingerprints_of_a_whole_table(spark, small):
+    docs, rows = small
+    want = simhash(spark, {r["text"] for r in rows})
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_next(docs).collect()}
+    assert all(int(got[r["doc_id"]]["fingerprint"], 16) == want[r["text"]] for r in rows)
+    for r in rows:
+        near = sum((want[r["text"]] ^ want[o["text"]]).bit_count() <= 3 for o in rows) - 1
+        assert got[r["doc_id"]]["near_docs"] == (near if r["doc_id"] % 100 == 0 else None)
+
+
+def test_fingerprints_of_rows_that_share_an_id(spark):
+    """All rows have one id or none, some are repeated; each is followed by the next in order of id and hash of the text."""
+    rows = [(None, f"text {i} of many", "en", "s", None) for i in range(20)] + [(None, "one text again and again", "en", "s", None)] * 7 + [(300, f"late {i}", "en", "s", None) for i in range(6)] + [(300, "late again", "en", "s", None)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA)
+    h = {r["t"]: r["h"] for r in docs.select(F.col("text").alias("t"), F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((-1 if i is None else i), h[t], t) for i, t, *_ in rows)
+    want = Counter()
+    for k, (i, _, t) in enumerate(order):
+        n = len(t) // 4
+        want[None if i < 0 else i, brute.sha((t[: len(t) - n] + order[(k + 1) % len(order)][2][:n]).encode())] += 1
+    near = {t: sum(x == t for *_, x in order) for t in h}
+    for buckets, repeats in ((1, 1000), (8, 1000), (8, 2)):
+        got = fingerprints.compare_with_next(docs, buckets, repeats, asking=300).collect()
+        assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+        assert all((r["near_docs"] is None) == (r["doc_id"] is None) for r in got)
+        assert all(r["near_docs"] >= near["late again"] - 1 for r in got if r["doc_id"] == 300 and r["n_chars"] == 10)
+
+
 def test_fingerprints(spark, small):
     docs, rows = small
     rows = sorted((r["doc_id"], r["text"]) for r in rows)
@@ -330,6 +416,24 @@ def test_mixing(spark, small):
         assert not slopes or max(slopes) - min(slopes) <= 1e-6 * max(1e-3, max(map(abs, slopes)))
 
 
+def test_mixing_takes_exactly_as_planned(spark):
+    """Every cell gives floor(rate) copies of each row and the cell's further ones, also where many rows are equal."""
+    rows = [(None if i % 2 else 7, " ".join(["w"] * (1 + i % 9)), "en", "ab"[i % 2], None) for i in range(400)] + [(i, f"w w {i}", "en", "a", None) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs).collect()
+    cells, want = defaultdict(list), Counter()
+    for r in got:
+        cells[r["source"], r["size"]].append(r["copies"])
+        want[r["source"]] = r["target"]
+    assert len(got) == len(rows) and all(max(x) - min(x) <= 1 for x in cells.values())
+    assert any(max(x) != min(x) for x in cells.values())
+    for s, target in want.items():
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - target) <= 9
+    # apply() takes what mix() says
+    taken = Counter((r["source"], r["size"]) for r in got for _ in range(r["copies"]))
+    assert Counter((r["source"], len(r["text"].split())) for r in mixing.apply(docs).collect()) == taken
+
+
 # 10
 
 
@@ -353,7 +457,7 @@ def test_differencing_by_hand():
 @pytest.mark.parametrize("block", [20_000, 11])
 def test_shards(spark, small, block):
     docs, rows = small
-    docs = docs.unionByName(docs.where("doc_id < 20"))
+    docs = docs.unionByName(docs.where("doc_id < 20")).unionByName(docs.where("doc_id < 3"))
     k = 7
     got = sharding.shards(docs, k, block).collect()
     text = {r["doc_id"]: r["text"] for r in rows}
