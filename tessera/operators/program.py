@@ -401,10 +401,27 @@ SINKS = {"eval": "CodeEval", "exec": "CodeExec", "os.system": "ShellExec", "subp
 CLEANERS = ("int", "float", "shlex.quote", "html.escape")
 
 
+def exposed(x: ast.AST) -> Iterator[ast.AST]:
+    """The nodes under x, but for what a cleaner is called with."""
+    yield x
+    if not (isinstance(x, ast.Call) and dotted(x.func) in CLEANERS):
+        for c in ast.iter_child_nodes(x):
+            yield from exposed(c)
+
+
 def taints(flow: Flow) -> list[tuple[int, int, str, str]]:
-    """(source line, sink line, sink kind, name): values of sources that reach sinks without a cleaner."""
+    """(source line, sink line, sink kind, name): values of sources that reach sinks without a cleaner.
+
+    A source called inside a sink's own arguments is named by the source.
+    """
     n = len(flow.stmts)
-    calls = [[(dotted(x.func), x) for h in flow._head(s) for x in ast.walk(h) if isinstance(x, ast.Call)] for s in flow.stmts]
+    open_nodes = [[x for h in flow._head(s) for x in exposed(h)] for s in flow.stmts]
+    reads = [{x.id for x in nodes if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)} for nodes in open_nodes]
+    for i, s in enumerate(flow.stmts):
+        if isinstance(s, ast.AugAssign) and isinstance(s.target, ast.Name):
+            reads[i].add(s.target.id)
+    has_source = [any(isinstance(x, ast.Call) and dotted(x.func) in SOURCES for x in nodes) for nodes in open_nodes]
+    before: list[dict[str, set[int]]] = [{} for _ in range(n)]
     after: list[dict[str, set[int]]] = [{} for _ in range(n)]
     work = list(range(n))
     while work:
@@ -413,26 +430,24 @@ def taints(flow: Flow) -> list[tuple[int, int, str, str]]:
         for p in flow.pred[i]:
             for v, src in after[p].items():
                 into[v] |= src
-        found = set().union(*[into[v] for v in flow.uses[i] if v in into])
-        if any(c in SOURCES for c, _ in calls[i]):
-            found = found | {flow.line(i)}
-        if any(c in CLEANERS for c, _ in calls[i]):
-            found = set()
+        before[i] = into
+        found = set().union(*[into[v] for v in reads[i] if v in into], {flow.line(i)} if has_source[i] else ())
         new = {v: s for v, s in into.items() if v not in flow.defs[i]}
         if found:
             new |= {v: set(found) for v in flow.defs[i]}
         if new != after[i]:
             after[i] = new
             work += [x for x in flow.succ.get(i, ()) if x not in work]
-    out = []
+    out = set()
     for i in range(n):
-        for name, call in calls[i]:
-            if name in SINKS:
-                used = {x.id for a in call.args for x in ast.walk(a) if isinstance(x, ast.Name)}
-                for p in flow.pred[i]:
-                    for v in used & after[p].keys():
-                        out += [(s, flow.line(i), SINKS[name], v) for s in after[p][v]]
-    return sorted(set(out))
+        for call in (x for h in flow._head(flow.stmts[i]) for x in ast.walk(h) if isinstance(x, ast.Call) and dotted(x.func) in SINKS):
+            kind = SINKS[dotted(call.func)]
+            for x in (y for a in [*call.args, *[k.value for k in call.keywords]] for y in exposed(a)):
+                if isinstance(x, ast.Name):
+                    out |= {(s, flow.line(i), kind, x.id) for s in before[i].get(x.id, ())}
+                elif isinstance(x, ast.Call) and dotted(x.func) in SOURCES:
+                    out.add((flow.line(i), flow.line(i), kind, dotted(x.func)))
+    return sorted(out)
 
 
 def analyse(path: str, content: str) -> list[tuple]:

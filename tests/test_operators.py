@@ -125,12 +125,17 @@ def test_watcher_stream_is_the_batch(spark, tmp_path, sorted_rows):
     data = [("s", float(t), k) for t, k in zip([0, 1, 6, 7, 20], "abcda", strict=True)]
     d = spark.createDataFrame(data, "scope string, t double, key string")
     d.where("t < 6").coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    # a state with a timer asks for a batch without data again and again, so that "all available" never comes
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     s = watcher.batch_stream(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in/*"), flush_after_ms=600_000)
     q = s.writeStream.format("memory").queryName("watched").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
-    q.processAllAvailable()
-    d.where("t >= 6").coalesce(1).write.parquet(f"{tmp_path}/in/2")
-    q.processAllAvailable()
-    q.stop()
+    try:
+        q.processAllAvailable()
+        d.where("t >= 6").coalesce(1).write.parquet(f"{tmp_path}/in/2")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     whole = sorted_rows(watcher.batches(d))
     assert sorted_rows(spark.table("watched")) == [r for r in whole if r[1] < 20]
 
