@@ -50,6 +50,66 @@ def naming_style(c: Column) -> Column:
     )
 
 
+#: Words that lead to nothing in particular.
+NOISE = ("a", "an", "and", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "this", "to", "with", "self", "cls")
+#: Verbs that begin most documentation.
+VERBS = ("add", "adds", "check", "checks", "create", "creates", "get", "gets", "make", "makes", "return", "returns", "set", "sets")
+
+
+def triggers(name: Column, doc: Column) -> Column:
+    """Words of an identifier and of its documentation's first line, each once, noise and common verbs of the latter left out."""
+    said = F.filter(F.transform(F.split(F.trim(F.split(F.coalesce(doc, F.lit("")), "\n")[0]), r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", ""))), lambda w: ~w.isin(*VERBS))
+    return F.array_distinct(F.filter(F.concat(split_identifier(name), said), lambda w: (F.octet_length(w) >= 2) & ~w.isin(*NOISE)))
+
+
+def snippet(content: Column, terms: Column) -> Column:
+    """struct(first, last, text): the line that holds most of the terms, whatever their case, with its neighbours; of equals the first."""
+    ls = F.split(F.coalesce(content, F.lit("")), "\r?\n")
+    score = lambda line: F.size(F.filter(terms, lambda t: F.contains(F.lower(line), t)))
+    best = F.array_max(F.transform(ls, lambda line, i: F.struct(score(line).alias("s"), (-i).alias("i"))))
+    at = -best["i"]
+    first, last = F.greatest(at - 1, F.lit(0)) + 1, F.least(at + 2, F.size(ls))
+    return F.struct(first.alias("first"), last.alias("last"), F.array_join(F.slice(ls, first, last - first + 1), "\n").alias("text"))
+
+
+def strip_strings(line: Column) -> Column:
+    """String literals of one line become empty ones."""
+    return F.regexp_replace(F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', '""'), r"'(?:[^'\\]|\\.)*'", "''")
+
+
+def strip_comment(line: Column, mark: str = "#") -> Column:
+    """The line before a comment mark that stands outside string literals, without blanks at its end."""
+    m = "".join("\\" + c for c in mark)
+    code = F.regexp_extract(line, rf"""^((?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|(?!{m}).)*)""", 1)
+    return F.rtrim(code)
+
+
+def truncate_bytes(c: Column, most: int, at_end: bool = False) -> Column:
+    """As many whole characters from the start, or to the end, as fit into so many UTF-8 bytes."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    chars = F.reverse(chars) if at_end else chars
+    fits = F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit(0).alias("b")), lambda s, x: F.when(s["b"] + F.octet_length(x) <= most, F.struct((s["n"] + 1).alias("n"), (s["b"] + F.octet_length(x)).alias("b"))).otherwise(F.struct(s["n"].alias("n"), F.lit(most + 1).alias("b"))))["n"]
+    kept = F.slice(chars, 1, fits)
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.array_join(F.reverse(kept) if at_end else kept, ""))
+
+
+def rolling_hashes(tokens: Column, width: int) -> Column:
+    """A hash of each run of so many neighbouring tokens, in order; none where there are fewer."""
+    n = F.size(tokens) - width
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.slice(tokens, i + 1, width)))).otherwise(F.array().cast("array<bigint>"))
+
+
+#: Folders and names of generated files.
+GENERATED_FOLDERS = ("vendor", "node_modules", "__pycache__", "dist", "build", "target", "gen", "generated", ".gen", "third_party", "external")
+GENERATED_NAMES = (r"\.pb\.(go|ts|cc|h)$", r"_pb2(_grpc)?\.pyi?$", r"\.(generated|graphql|gen)\.[A-Za-z]+$", r"_generated\.[A-Za-z]+$", r"Generated\.[A-Za-z]+$", r"\.min\.(js|css)$")
+
+
+def is_generated(path: Column) -> Column:
+    """In a folder of generated or foreign code, or named like a generator's output."""
+    folders = "|".join(x.replace(".", r"\.") for x in GENERATED_FOLDERS)
+    return path.rlike(rf"(^|/)({folders})/") | path.rlike("|".join(GENERATED_NAMES))
+
+
 def glob_to_regex(pattern: str) -> str:
     """A path glob as a regular expression: ** crosses folders, * and ? do not."""
     out, i = "", 0

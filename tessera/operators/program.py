@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.operators import values
+
 FACTS = "path string, kind string, name string, owner string, detail string, line int, end_line int, params int, complexity int, cognitive int, nesting int"
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -92,6 +94,9 @@ def file_facts(path: str, content: str) -> list[tuple]:
                 n = len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg)
                 name = f"{owner}.{c.name}" if owner else c.name
                 row("method" if cls and owner == cls else "function", name, owner or None, f"({', '.join(p.arg for p in [*a.posonlyargs, *a.args, *a.kwonlyargs])})", c, n, cyclomatic(c), cognitive(c), nesting(c))
+                for p in [*a.posonlyargs, *a.args, *a.kwonlyargs]:
+                    if p.annotation is not None and dotted(p.annotation):
+                        row("typed", p.arg, name, dotted(p.annotation), p)
                 for d in c.decorator_list:
                     row("decorator", dotted(d.func if isinstance(d, ast.Call) else d), name, None, d)
                 doc = ast.get_docstring(c)
@@ -115,6 +120,10 @@ def file_facts(path: str, content: str) -> list[tuple]:
                 row("write" if isinstance(c.ctx, ast.Store) else "read", c.id, owner or None, None, c)
             elif isinstance(c, ast.Attribute) and dotted(c.value) == "self" and cls:
                 row("field", c.attr, owner, cls, c)
+            elif isinstance(c, ast.Attribute) and dotted(c.value):
+                row("attribute", c.attr, owner or None, dotted(c.value), c)
+            elif isinstance(c, ast.Assign) and owner and len(c.targets) == 1 and isinstance(c.targets[0], ast.Name) and isinstance(c.value, ast.Call) and dotted(c.value.func):
+                row("typed", c.targets[0].id, owner, dotted(c.value.func), c)
             elif isinstance(c, ast.Assign) and not owner and all(isinstance(t, ast.Name) and t.id.isupper() for t in c.targets):
                 row("constant", c.targets[0].id, None, None, c)
             elif isinstance(c, ast.Assert) or (isinstance(c, ast.Raise) and owner):
@@ -164,7 +173,9 @@ def call_edges(f: DataFrame) -> DataFrame:
 
     A bare name resolves to a definition of its file; self.x to a method of the
     caller's class; a name imported by "from m import x", or m.x after "import
-    m", to the definition in that module's file. Others stay unresolved.
+    m", to the definition in that module's file; v.x, where v is annotated as a
+    class or bound to one's instance in the same function, to the method of that
+    class or of the nearest of its bases. Others stay unresolved.
     """
     d = definitions(f).select(F.col("path").alias("dst_file"), F.col("name").alias("dst_func"))
     calls = f.where("kind = 'call' and owner is not null and name <> ''").select(F.col("path").alias("src_file"), F.col("owner").alias("src_func"), F.col("name").alias("target")).distinct()
@@ -180,7 +191,37 @@ def call_edges(f: DataFrame) -> DataFrame:
     whole = f.where("kind = 'import'").select(F.col("path").alias("src_file"), F.col("name").alias("module"), F.coalesce("detail", "name").alias("alias"))
     attr = calls.join(part.unionByName(whole), "src_file").where(F.col("target").startswith(F.concat(F.col("alias"), F.lit(".")))).join(m, "module")
     attr = attr.where(F.col("target") == F.concat_ws(".", "alias", "dst_func")).select("src_file", "src_func", "dst_file", "dst_func", F.lit("attr").alias("call_type"), "target")
-    return intra.unionByName(direct).unionByName(attr).drop("target").distinct()
+    return intra.unionByName(direct).unionByName(attr).drop("target").unionByName(_received(f, calls, d)).distinct()
+
+
+def _classes_by_name(f: DataFrame) -> DataFrame:
+    """(src_file, alias, c_file, cls): the classes that a name stands for in a file, its own before imported ones."""
+    c = f.where("kind = 'class'").select(F.col("path").alias("c_file"), F.col("name").alias("cls"))
+    own = c.select(F.col("c_file").alias("src_file"), F.col("cls").alias("alias"), "c_file", "cls", F.lit(0).alias("n"))
+    named = f.where("kind = 'import_from'").select(F.col("path").alias("src_file"), F.col("name").alias("module"), F.regexp_extract("detail", r"(\w+)$", 1).alias("alias"), F.regexp_extract("detail", r"^(\w+)", 1).alias("cls"))
+    far = named.join(c.withColumn("module", module_of(F.col("c_file"))), ["module", "cls"]).select("src_file", "alias", "c_file", "cls", F.lit(1).alias("n"))
+    best = own.unionByName(far).groupBy("src_file", "alias").agg(F.min(F.struct("n", "c_file", "cls")).alias("b"))
+    return best.select("src_file", "alias", "b.c_file", "b.cls")
+
+
+def _received(f: DataFrame, calls: DataFrame, d: DataFrame, most_bases: int = 8) -> DataFrame:
+    """Calls v.x on names of known class, looked up in the class and then in its bases, nearest first."""
+    names = _classes_by_name(f)
+    typed = f.where("kind = 'typed'").select(F.col("path").alias("src_file"), F.col("owner").alias("src_func"), F.col("name").alias("var"), F.col("detail").alias("alias")).distinct()
+    on = calls.where(F.col("target").rlike(r"^\w+\.\w+$") & ~F.col("target").startswith("self.")).select("src_file", "src_func", F.split("target", r"\.")[0].alias("var"), F.split("target", r"\.")[1].alias("method"))
+    at = on.join(typed, ["src_file", "src_func", "var"]).join(names, ["src_file", "alias"]).select("src_file", "src_func", "var", "method", "c_file", "cls")
+    bases = f.where("kind = 'base'").select(F.col("path").alias("src_file"), F.col("owner").alias("sub"), F.col("name").alias("alias")).join(names, ["src_file", "alias"])
+    bases = bases.select(F.col("src_file").alias("s_file"), "sub", F.col("c_file").alias("b_file"), F.col("cls").alias("b_cls"))
+    found = None
+    for _ in range(most_bases):
+        hit = at.join(d, (F.col("c_file") == F.col("dst_file")) & (F.concat_ws(".", "cls", "method") == F.col("dst_func")))
+        hit = hit.select("src_file", "src_func", "var", "method", "dst_file", "dst_func")
+        found = hit if found is None else found.unionByName(hit)
+        rest = at.join(hit.select("src_file", "src_func", "var", "method").distinct(), ["src_file", "src_func", "var", "method"], "left_anti")
+        at = rest.join(bases, (F.col("c_file") == F.col("s_file")) & (F.col("cls") == F.col("sub"))).select("src_file", "src_func", "var", "method", F.col("b_file").alias("c_file"), F.col("b_cls").alias("cls")).distinct()
+        if at.isEmpty():
+            break
+    return found.select("src_file", "src_func", "dst_file", "dst_func", F.lit("receiver").alias("call_type"))
 
 
 def code_smells(f: DataFrame, methods: int = 20, loc: int = 50, cc: int = 10, params: int = 5, depth: int = 4) -> DataFrame:
@@ -203,6 +244,7 @@ class Flow:
     """Statements of a function as nodes with successors, definitions and uses."""
 
     def __init__(self, fn: ast.AST):
+        self.fn = fn
         self.stmts: list[ast.AST | None] = [None]  # 0: entry, which defines the parameters
         self.succ: dict[int, set[int]] = defaultdict(set)
         a = fn.args
@@ -493,6 +535,30 @@ def analyse(path: str, content: str) -> list[tuple]:
             row("control", "", f.line(a), f.line(b))
         for a, b, kind, v in taints(f):
             row("taint", f"{kind}:{v}", a, b)
+        versions = values.Versions(f)
+        for i in range(len(f.stmts)):
+            for v, n in versions.uses[i].items():
+                row("ssa_use", f"{v}.{n}", f.line(i))
+            for v, n in versions.defs[i].items():
+                row("ssa_def", f"{v}.{n}", f.line(i))
+            for v, n in versions.phi[i].items():
+                row("ssa_phi", f"{v}.{n} = {', '.join(f'{v}.{x}' for x in sorted(set(versions.args[i, v].values())))}", f.line(i))
+        for a, b, x in values.value_numbers(f, versions):
+            row("redundant", x, a, b)
+        known, dead = values.constants(f, versions)
+        for line, v, x in known:
+            row("constant", f"{v} = {x}", line)
+        for line in dead:
+            row("never", "", line)
+        for line, v, x in values.narrowed(f):
+            row("narrowed", f"{v} {x}", line)
+        for kind, v, a, b in values.resources(f, dotted):
+            row(kind, v, a, b)
+        for kind, x, line in values.contracts(f):
+            row(kind, x, line)
+        if fn.name.startswith("test"):
+            for call, want, line in values.specs(fn):
+                row("spec", f"{call} -> {want}", line)
     return out
 
 
@@ -553,7 +619,7 @@ def slices(flow_facts: DataFrame, starts: DataFrame, variable: str | None = None
 
 def line_counts(files: DataFrame) -> DataFrame:
     """(path, code, comment, blank): blank first, then lines that start with # or lie in a block that a triple quote opens."""
-    ls = files.select("path", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    ls = files.select("path", F.posexplode(F.split(F.regexp_replace("content", r"\n\z", ""), "\n")).alias("n", "line"))
     t = F.trim(F.col("line"))
     marks = F.size(F.regexp_extract_all(t, F.lit("\"\"\"|'''"), 0))
     opens = F.when(t.rlike("^(\"\"\"|''')"), marks % 2).otherwise(0)

@@ -1,102 +1,16 @@
-"""Queries over source code (this package's own files) and over event streams replayed as tables."""
+"""Queries over event streams replayed as tables, over sinks and over stores."""
 
 from __future__ import annotations
 
-from pathlib import Path
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, functions as F
-
-import tessera
 from tessera.functions import scores
-from tessera.operators import graph, program
 from tessera.plans.registry import query
 from tessera.session import table
 from tessera.sources import sinks
 from tessera.streaming import watcher
 
 
-def own_files(spark) -> DataFrame:
-    """The package's own source, outside its corpus subpackage, as (path, content): the code corpus at hand."""
-    root = Path(tessera.__file__).parent
-    rows = [(f"tessera/{p.relative_to(root)}", p.read_text()) for p in sorted(root.rglob("*.py")) if "llm" not in p.parts]
-    return spark.createDataFrame(rows, "path string, content string")
-
-
-def _facts(spark) -> DataFrame:
-    return program.facts(own_files(spark))
-
-
-@query("code_definitions")
-def code_definitions(spark, sf_dir):
-    return program.definitions(_facts(spark))
-
-
-@query("code_imports")
-def code_imports(spark, sf_dir):
-    return program.imports(_facts(spark))
-
-
-@query("code_importers")
-def code_importers(spark, sf_dir):
-    return program.importers(_facts(spark), "tessera.plans")
-
-
-@query("code_call_graph")
-def code_call_graph(spark, sf_dir):
-    return program.call_edges(_facts(spark))
-
-
-@query("code_dead_functions")
-def code_dead_functions(spark, sf_dir):
-    """Functions that no resolved call reaches; entry points and dunders aside."""
-    f = _facts(spark)
-    called = program.call_edges(f).select(F.col("dst_file").alias("path"), F.col("dst_func").alias("name"))
-    d = program.definitions(f).where("kind = 'function' and not name rlike '(^|[.])(_|main|test)'").select("path", "name", "line")
-    return d.join(called, ["path", "name"], "left_anti")
-
-
-@query("code_smells")
-def code_smells(spark, sf_dir):
-    return program.code_smells(_facts(spark))
-
-
-@query("code_line_counts")
-def code_line_counts(spark, sf_dir):
-    return program.line_counts(own_files(spark))
-
-
-@query("code_dataflow")
-def code_dataflow(spark, sf_dir):
-    """Control flow, definitions and uses, liveness, dominators, joins, available expressions and taint."""
-    return program.flows(own_files(spark)).groupBy("path", "func", "kind").agg(F.count("*").alias("n"))
-
-
-@query("code_slice")
-def code_slice(spark, sf_dir):
-    """For each function the forward slice from its first line and the backward slice from its last: dependences inside, by kind."""
-    flows = program.flows(own_files(spark))
-    pdg = program.dependences(flows)
-    ends = flows.where("line > 0").groupBy("path", "func").agg(F.min("line").alias("first"), F.max("line").alias("last"))
-    starts = ends.select("path", "func", F.col("first").alias("start"), F.lit("forward").alias("direction")).unionByName(ends.select("path", "func", F.col("last").alias("start"), F.lit("backward").alias("direction")))
-    found = program.slices(flows, starts)
-    ahead = F.when(F.col("direction") == "forward", F.col("src")).otherwise(F.col("dst"))
-    inside = found.join(pdg, ["path", "func"]).where(ahead == F.col("line"))
-    return inside.groupBy("path", "func", "direction", "kind").agg(F.count("*").alias("n"), F.min("src").alias("first_line"), F.max("dst").alias("last_line"))
-
-
-@query("code_inheritance")
-def code_inheritance(spark, sf_dir):
-    f = _facts(spark).where("kind = 'base'")
-    return f.select("path", F.col("owner").alias("cls"), F.col("name").alias("base"))
-
-
-@query("code_hubs")
-def code_hubs(spark, sf_dir):
-    """Degrees of the call graph of this package."""
-    e = program.call_edges(_facts(spark)).select(F.concat_ws(":", "src_file", "src_func").alias("src"), F.concat_ws(":", "dst_file", "dst_func").alias("dst"))
-    return graph.degrees(graph.edge_set(e))
-
-
 @query("watcher_batches")
 def watcher_batches(spark, sf_dir):
     """Each user's events in windows of an hour that their first event opens."""

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from tessera.plans import diff_queries, graph_queries, program_queries, relation_queries, search_queries  # noqa: E402,F401
+from tessera.plans import code_queries, diff_queries, graph_queries, program_queries, relation_queries, search_queries  # noqa: E402,F401
