@@ -9,8 +9,10 @@ is dropped as long as the likelihood less PENALTY * ln(n) a language does not
 fall. The prediction is the largest proportion (of equals the first by code
 point), the score is that proportion.
 
-The model is one row of 2^BUCKET_BITS numbers a language, at most MAX_LANGUAGES
-of them, so its size is bounded and it can travel to executors with the code.
+With DENSE_LANGUAGES languages or fewer the model is one table of 2^BUCKET_BITS
+numbers a language, so its size is bounded and it can travel to executors with
+the code; with more it stays a distributed table that is joined to the grams of
+the texts, with the same results.
 Counting is an aggregation with partial sums in each task: of a hot language
 each task sends at most 2^BUCKET_BITS rows.
 
@@ -18,7 +20,7 @@ Nulls: a null text, or one without a letter, is "und" with score 0; rows with a
 null lang teach nothing; a null doc_id counts as empty text in the split. With
 nothing learned everything is "und". Repeated rows teach and are scored as often
 as they occur. Empty tables give empty results. Long texts cost time and memory
-in proportion to their length.
+in proportion to their length. Further columns are no inputs.
 """
 
 from __future__ import annotations
@@ -27,21 +29,24 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm._common import held_out, text_or_empty
+from tessera.llm._common import held_out, key_of, stage_table, text_or_empty
 
 BUCKET_BITS = 16
-MAX_LANGUAGES = 500
+DENSE_LANGUAGES = 500
+#: A proportion that EM has given up.
+NOTHING = 1e-6
 PSEUDO = 0.05
 PENALTY = 2.0
 STEPS = 25
 LEARN_MOD, LEARN_NOT = 4, 2
-#: Of a pipeline's stage: the least share of one language that a document must have.
-LEAST_SHARE = 0.5
+#: Of a pipeline's stage: the least share of a document's trigrams that must occur in the learned languages.
+LEAST_EXPLAINED = 0.5
 
 
 @cache
@@ -96,20 +101,34 @@ def _count(bits: int):
     return run
 
 
-def learn(docs: DataFrame, bits: int = BUCKET_BITS) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log probabilities of buckets by language) from all rows of (lang, text)."""
+class Model(NamedTuple):
+    """Languages in order, probabilities of buckets by language, and each language's probability of a bucket that it lacks."""
+
+    names: list[str]
+    table: np.ndarray
+    unseen: np.ndarray
+
+
+def _counts(docs: DataFrame, bits: int) -> DataFrame:
+    """(lang, bucket, n) from all rows of (lang, text)."""
     rows = docs.where("lang is not null").select("lang", text_or_empty(F.col("text")).alias("text"))
-    counts = rows.mapInArrow(_count(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    n_languages = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if n_languages > MAX_LANGUAGES:
-        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
-    found = counts.toArrow()
+    return rows.mapInArrow(_count(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def n_languages(docs: DataFrame, most: int) -> int:
+    """How many languages there are, most + 1 standing for more."""
+    return docs.where("lang is not null").select("lang").distinct().limit(most + 1).count()
+
+
+def learn(docs: DataFrame, bits: int = BUCKET_BITS) -> Model:
+    """The model of all rows of (lang, text), as one dense table."""
+    found = _counts(docs, bits).toArrow()
     names = sorted(set(found["lang"].to_pylist()))
     table = np.zeros((len(names), 1 << bits), np.float64)
     place = {x: i for i, x in enumerate(names)}
     table[[place[x] for x in found["lang"].to_pylist()], found["bucket"].to_numpy()] = found["n"].to_numpy()
-    total = table.sum(axis=1, keepdims=True)
-    return names, ((table + PSEUDO) / (total + PSEUDO * table.shape[1])).astype(np.float64)
+    total = table.sum(axis=1, keepdims=True) + PSEUDO * table.shape[1]
+    return Model(names, (table + PSEUDO) / total, PSEUDO / total[:, 0])
 
 
 def proportions(p: np.ndarray, n: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -129,12 +148,23 @@ def proportions(p: np.ndarray, n: np.ndarray, steps: int = STEPS) -> tuple[np.nd
 def infer(buckets: np.ndarray, table: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Proportions by language of one text, 0 for the languages outside the chosen set."""
     u, n = np.unique(buckets, return_counts=True)
-    p = table[:, u].T
-    n = n.astype(np.float64)
-    out = np.zeros(len(table))
-    chosen = np.arange(len(table))
+    return choose(table[:, u].T, n.astype(np.float64), penalty)
+
+
+def choose(p: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """The same from the probabilities of the text's grams (grams by languages) and how often each occurs.
+
+    Languages that EM leaves less than NOTHING go first, together: without them
+    the likelihood falls by less than the penalty of any one.
+    """
+    out = np.zeros(p.shape[1])
+    chosen = np.arange(p.shape[1])
+    cost = penalty * np.log(n.sum() + 1.0)
     pi, fit = proportions(p, n)
-    cost = penalty * np.log(len(buckets) + 1.0)
+    some = pi >= NOTHING
+    if not some.all():
+        chosen = chosen[some]
+        pi, fit = proportions(p[:, chosen], n)
     while len(chosen) > 1:
         drop = int(np.argmin(pi))
         rest = np.delete(np.arange(len(chosen)), drop)
@@ -146,49 +176,111 @@ def infer(buckets: np.ndarray, table: np.ndarray, penalty: float = PENALTY) -> n
     return out
 
 
-def _predict(names: list[str], table: np.ndarray, bits: int):
+def judged(names: list[str], unseen: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[str, float, float]:
+    """(language, its proportion, explained share) of one text, from its grams as for choose()."""
+    if not names or not len(n):
+        return "und", 0.0, 0.0
+    pi = choose(p, n)
+    k, chosen = int(np.argmax(pi)), pi > 0
+    known = (p[:, chosen] > unseen[chosen] * (1 + 1e-9)).any(axis=1)
+    return names[k], min(1.0, float(pi[k])), float(n @ known / n.sum())
+
+
+def _predict(model: Model, bits: int):
     packed = letter_bits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table(packed)
         for batch in batches:
-            lang, score = [], []
+            found = []
             for text in batch.column("text").to_pylist():
-                g = grams(text, letters, bits)
-                if not len(g) or not names:
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                pi = infer(g, table)
-                k = int(np.argmax(pi))
-                lang.append(names[k])
-                score.append(min(1.0, float(pi[k])))
-            rest = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*[c for c in batch.schema.names if c != "text"], "lang_pred", "score"])
+                u, n = np.unique(grams(text or "", letters, bits), return_counts=True)
+                found.append(judged(model.names, model.unseen, model.table[:, u].T, n.astype(np.float64)))
+            lang, score, explained = zip(*found) if found else ((), (), ())
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(explained, pa.float64())], [*rest, "lang_pred", "score", "explained"])
+
+    return run
+
+
+def _grams_of(bits: int):
+    """(key, th, bucket, n): a text's grams, with one row of bucket -1 for a text that has none."""
+    packed = letter_bits()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_table(packed)
+        for batch in batches:
+            for key, th, text in zip(*[batch.column(c).to_pylist() for c in ("key", "th", "text")], strict=True):
+                u, n = np.unique(grams(text, letters, bits), return_counts=True)
+                u, n = (u, n) if len(u) else (np.array([-1]), np.array([0]))
+                yield pa.record_batch({"key": np.full(len(u), key, np.int64), "th": np.full(len(u), th, np.int64), "bucket": u.astype(np.int32), "n": n.astype(np.int64)})
 
     return run
 
 
-def identify(docs: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), one row for each document."""
+def _judge_wide(rows: DataFrame, learnt: DataFrame, bits: int) -> DataFrame:
+    """(key, th, lang_pred, score, explained) for rows (key, th, text), with any number of languages.
+
+    The model stays a table, for each bucket the languages that have it; it meets
+    the grams of the texts in a join, and a text's own part of it is all that a
+    task holds. Only the languages' names and totals go with the code.
+    """
+    counts = stage_table(_counts(learnt, bits), "langid-counts")
+    totals = sorted((r["lang"], r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect())
+    names, total = [x for x, _ in totals], np.array([n for _, n in totals], np.float64) + PSEUDO * (1 << bits)
+    model = counts.groupBy("bucket").agg(F.collect_list(F.struct("lang", "n")).alias("has"))
+    texts = rows.dropDuplicates(["key", "th"]).mapInArrow(_grams_of(bits), "key long, th long, bucket int, n long")
+    place = {x: i for i, x in enumerate(names)}
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bucket")
+        n = t["n"].to_numpy().astype(np.float64)
+        out = ("und", 0.0, 0.0)
+        if n.sum():
+            p = np.tile(PSEUDO / total, (len(n), 1))
+            for i, hs in enumerate(t["has"].to_pylist()):
+                for h in hs or ():
+                    k = place[h["lang"]]
+                    p[i, k] = (h["n"] + PSEUDO) / total[k]
+            out = judged(names, PSEUDO / total, p, n)
+        return pa.table({"key": t["key"][:1], "th": t["th"][:1], "lang_pred": [out[0]], "score": [out[1]], "explained": [out[2]]})
+
+    return texts.join(model, "bucket", "left").groupBy("key", "th").applyInArrow(run, "key long, th long, lang_pred string, score double, explained double")
+
+
+def _with_keys(docs: DataFrame, *keep: Column) -> DataFrame:
+    return docs.select(key_of(docs["doc_id"]).alias("key"), F.xxhash64(text_or_empty(docs["text"])).alias("th"), text_or_empty(docs["text"]).alias("text"), *keep)
+
+
+def identify(docs: DataFrame, bits: int = BUCKET_BITS, dense: int = DENSE_LANGUAGES) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, explained), one row for each document."""
     d = docs.select("doc_id", "lang", "text").withColumn("held_out", held_out(F.col("doc_id"), LEARN_MOD, LEARN_NOT))
-    names, table = learn(d.where("not held_out"), bits)
-    rows = d.select("doc_id", "held_out", text_or_empty(F.col("text")).alias("text"))
-    kind = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
-    return rows.mapInArrow(_predict(names, table, bits), kind)
+    learnt = d.where("not held_out")
+    if n_languages(learnt, dense) > dense:
+        rows = _with_keys(d, d["doc_id"].alias("doc_id"), d["held_out"].alias("held_out"))
+        return rows.drop("text").join(_judge_wide(rows.select("key", "th", "text"), learnt, bits), ["key", "th"]).drop("key", "th")
+    kind = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, explained double"
+    return d.select("doc_id", "held_out", text_or_empty(F.col("text")).alias("text")).mapInArrow(_predict(learn(learnt, bits), bits), kind)
+
 
+def keep_known(docs: DataFrame, least: float = LEAST_EXPLAINED, bits: int = BUCKET_BITS, dense: int = DENSE_LANGUAGES) -> DataFrame:
+    """The documents, in their own columns, that the learned languages together explain.
 
-def keep_known(docs: DataFrame, least: float = LEAST_SHARE, bits: int = BUCKET_BITS) -> DataFrame:
-    """The documents, in their own columns, of which one learned language makes up at least that share."""
+    That is those with letters of which at least the share least of the trigrams
+    occurs in the languages of their own mixture, however many these are.
+    """
     d = docs.select("doc_id", "lang", "text").withColumn("held_out", held_out(F.col("doc_id"), LEARN_MOD, LEARN_NOT))
-    names, table = learn(d.where("not held_out"), bits)
-    predict = _predict(names, table, bits)
+    learnt = d.where("not held_out")
+    if n_languages(learnt, dense) > dense:
+        rows = _with_keys(docs, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+        known = _judge_wide(rows.select("key", "th", "text"), learnt, bits).where((F.col("lang_pred") != "und") & (F.col("explained") >= least))
+        return rows.join(known.select("key", "th"), ["key", "th"], "left_semi").select("doc.*")
+    predict = _predict(learn(learnt, bits), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text").to_pylist()
-            found = next(predict(iter([pa.record_batch({"text": pa.array([t or "" for t in text], pa.string())})])))
-            keep = [x != "und" and s >= least for x, s in zip(found["lang_pred"].to_pylist(), found["score"].to_pylist(), strict=True)]
+            found = next(predict(iter([pa.record_batch({"text": batch.column("text")})])))
+            keep = [x != "und" and e >= least for x, e in zip(found["lang_pred"].to_pylist(), found["explained"].to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
