@@ -83,20 +83,24 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def collapsed(d: DataFrame, most: int, name: str) -> DataFrame:
-    """Rows (key, text) with copies: where more than most rows are equal in both, one stands for them, with their number.
+def collapsed(d: DataFrame, most: int, name: str) -> tuple[DataFrame, bool]:
+    """Rows (key, text) and False; or (key, text, copies) and True if more than most rows are equal in both, of which one then stands for all.
 
-    Others keep copies 1, so that texts need no shuffle to be compared; only
-    their digests are counted. Few rows or none are replaced, as a rule.
+    Rows are counted by key first, which is all that there is to do where no
+    key is in so many; only the rows of such keys are told apart by digest.
     """
+    keys = stage_table(d.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"), name, narrow=True)
+    if keys.isEmpty():
+        return d.select("key", "text"), False
     same = ["key", "digest"]
     named = d.select("key", "text", F.unhex(F.md5("text")).alias("digest"))
-    many = stage_table(named.groupBy(*same).agg(F.count("*").alias("copies")).where(F.col("copies") > most), name, narrow=True)
-    one = F.lit(1).cast("long").alias("copies")
+    many = named.select(*same).join(keys, "key", "left_semi").groupBy(*same).agg(F.count("*").alias("copies")).where(F.col("copies") > most)
+    many = stage_table(many, name, narrow=True)
     if many.isEmpty():
-        return d.select("key", "text", one)
+        return d.select("key", "text"), False
     first = named.join(many, same, "left_semi").groupBy(*same).agg(F.first("text").alias("text")).join(many, same)
-    return named.join(many, same, "left_anti").select("key", "text", one).unionByName(first.select("key", "text", "copies"))
+    alone = named.join(many, same, "left_anti").select("key", "text", F.lit(1).cast("long").alias("copies"))
+    return alone.unionByName(first.select("key", "text", "copies")), True
 
 
 def release(spark: SparkSession) -> None:

@@ -78,7 +78,8 @@ def pre_tokens(text: str, narrow: re.Pattern, wide: regex.Pattern) -> list[str]:
 
 def _in_order(t: pa.Table) -> list[tuple]:
     """(key, text, copies) of a chunk, in an order that both its readers find."""
-    return sorted(zip(t["key"].to_pylist(), t["text"].to_pylist(), t["copies"].to_pylist(), strict=True))
+    copies = t["copies"].to_pylist() if "copies" in t.column_names else [1] * t.num_rows
+    return sorted(zip(t["key"].to_pylist(), t["text"].to_pylist(), copies, strict=True))
 
 
 def _vocabulary(rows: list[tuple], pattern: str) -> tuple[dict[str, int], list[np.ndarray]]:
@@ -204,11 +205,11 @@ def byte_table(ranks: dict[bytes, int]) -> list[bytes]:
 
 
 def _chunks(docs: DataFrame, chunk_bytes: int, repeats: int) -> tuple[DataFrame, int]:
-    """(key, text, copies, chunk) and the number of chunks; copies is over 1 only for rows that occur more than repeats times."""
-    once = collapsed(docs.select(key_of(F.col("doc_id")).alias("key"), text_or_empty(F.col("text")).alias("text")), repeats, "bpe-repeats")
-    total = once.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    """(key, text[, copies], chunk) and the number of chunks; copies is there if rows occur more than repeats times."""
+    d, _ = collapsed(docs.select(key_of(F.col("doc_id")).alias("key"), text_or_empty(F.col("text")).alias("text")), repeats, "bpe-repeats")
+    total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-total // chunk_bytes))
-    return once.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("long")), n
+    return d.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(n)).cast("long")), n
 
 
 def _coded(d: DataFrame, n_chunks: int, ranks: dict[bytes, int], pattern: str) -> tuple[DataFrame, int]:
@@ -225,5 +226,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk_bytes: int = CHUN
     coded, n_buckets = _coded(d, n, ranks, pattern)
     kind = "key long, copies long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     out = d.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_put_together(pattern, n_buckets, byte_table(ranks)), kind)
-    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    if "copies" in d.columns:
+        out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(id_of(F.col("key")).alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -124,7 +124,8 @@ def neighbours(docs: DataFrame, buckets: int | None = None, repeats: int = REPEA
     these but the last has itself as the next.
     """
     d = docs.select(key_of(F.col("doc_id")).alias("key"), text_or_empty(F.col("text")).alias("text"))
-    d = collapsed(d, repeats, "fingerprints-repeats").withColumn("th", F.xxhash64("text"))
+    d, counted = collapsed(d, repeats, "fingerprints-repeats")
+    d = (d if counted else d.withColumn("copies", F.lit(1).cast("long"))).withColumn("th", F.xxhash64("text"))
     d = in_buckets(d, "key", "th", buckets or 4 * shuffle_partitions(docs.sparkSession))
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("key", "th", "text"))).drop("th")
     return _after(d, "text", "next_text")
