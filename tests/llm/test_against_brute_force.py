@@ -141,7 +141,7 @@ def test_language_takes_the_text_alone(small):
 
 def test_mixture_shares(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    names, table = langid.learn(docs)
+    names, table, _ = langid.learn(docs)
     letters = langid.letter_table(langid.letter_bits())
     long = {k: docs.where((F.col("lang") == k) & (F.length("text") > 3000)).first()["text"][:3000] for k in ("en", "fr")}
     for share in (0.25, 0.5, 0.75):
@@ -152,6 +152,73 @@ def test_mixture_shares(spark):
     assert np.count_nonzero(langid.infer(langid.grams(long["fr"], letters), table)) == 1
 
 
+def test_mixtures_by_plain_loops(spark, small):
+    """The counts, the probabilities, EM and the elimination once more, one gram and one language at a time."""
+    docs, rows = small
+    docs = docs.where("length(text) < 3000")
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])[:60]
+    letters = langid.letter_table(langid.letter_bits())
+    bits = 12
+    counts = defaultdict(Counter)
+    for r in docs.collect():
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            counts[r["lang"]].update(langid.grams(r["text"] or "", letters, bits).tolist())
+    langs = sorted(counts)
+    total = {k: sum(counts[k].values()) + langid.PSEUDO * 2**bits for k in langs}
+    p = lambda k, g: (counts[k][g] + langid.PSEUDO) / total[k]
+
+    def em(grams, chosen):
+        pi = {k: 1 / len(chosen) for k in chosen}
+        for _ in range(langid.STEPS if len(chosen) > 1 else 0):
+            new = dict.fromkeys(chosen, 0.0)
+            for g, n in grams.items():
+                joint = {k: p(k, g) * pi[k] for k in chosen}
+                for k in chosen:
+                    new[k] += n * joint[k] / sum(joint.values()) / sum(grams.values())
+            moved = max(abs(new[k] - pi[k]) for k in chosen)
+            pi = new
+            if moved < 1e-4:
+                break
+        return pi, sum(n * math.log(sum(p(k, g) * pi[k] for k in chosen)) for g, n in grams.items())
+
+    got = {r["doc_id"]: r for r in langid.identify(docs, bits).collect()}
+    for r in rows:
+        grams = Counter(langid.grams(r["text"] or "", letters, bits).tolist())
+        if not grams:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        chosen = list(langs)
+        pi, fit = em(grams, chosen)
+        while len(chosen) > 1:  # every language goes by itself here, those that EM gave up too
+            rest = [k for k in chosen if k != min(chosen, key=lambda k: pi[k])]
+            new_pi, new_fit = em(grams, rest)
+            if new_fit + langid.PENALTY * math.log(sum(grams.values()) + 1) < fit:
+                break
+            chosen, pi, fit = rest, new_pi, new_fit
+        best = max(langs, key=lambda k: pi.get(k, 0))
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["score"] == pytest.approx(pi[best], abs=1e-6)
+        explained = sum(n for g, n in grams.items() if any(counts[k][g] for k in chosen)) / sum(grams.values())
+        assert got[r["doc_id"]]["explained"] == pytest.approx(explained)
+
+
+def test_any_number_of_languages(spark, small):
+    docs, _ = small
+    docs = docs.where("length(text) < 2000").unionByName(docs.where("doc_id < 5"))
+    one, other = (Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9), round(r["explained"], 9)) for r in langid.identify(docs, 12, dense).collect()) for dense in (500, 2))
+    assert one == other
+    one, other = (Counter(map(tuple, langid.keep_known(docs, bits=12, dense=dense).collect())) for dense in (500, 2))
+    assert one == other
+
+
+def test_stage_keeps_mixtures_and_drops_what_no_language_explains(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long = {k: docs.where((F.col("lang") == k) & (F.length("text") > 3000)).first()["text"] for k in ("en", "fr", "de")}
+    mixture = "\n".join(long[k][:n] for k, n in (("en", 1200), ("fr", 1000), ("de", 800)))
+    more = [(10**6, mixture, None, "s", 3000), (10**6 + 1, "zxqj vkkq wwpz qqxz " * 20, None, "s", 400), (10**6 + 2, "ελευθεροι γεννιουνται ολοι", None, "s", 26), (10**6 + 3, "1234 5678", None, "s", 9)]
+    kept = {r["doc_id"] for r in langid.keep_known(docs.unionByName(spark.createDataFrame(more, docs.schema))).where("doc_id >= 1000000").collect()}
+    assert kept == {10**6}
+
+
 # 4
 
 

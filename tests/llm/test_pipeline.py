@@ -34,7 +34,7 @@ def test_names_and_order():
 
 def test_language(spark, ran):
     docs = spark.createDataFrame(ran[0], SCHEMA)
-    keep = {r["doc_id"] for r in langid.identify(docs).where("lang_pred <> 'und' and score >= 0.5").collect()}
+    keep = {r["doc_id"] for r in langid.identify(docs).where("lang_pred <> 'und' and explained >= 0.5").collect()}
     assert Counter(map(tuple, ran[1])) == Counter(tuple(r) for r in ran[0] if r["doc_id"] in keep)
     assert len(ran[1]) > 0.9 * len(ran[0])
 
