@@ -15,27 +15,30 @@ from tessera.llm._common import read, stage_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one known language makes up at least half."""
+    """Documents that the learned languages together explain: half of their trigrams at least occur in their own mixture.
+
+    Null texts and texts without letters go; of repeated rows all stay or all go.
+    """
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one of smallest id."""
+    """One document of each class of near duplicates, the one of smallest id; null and empty texts are one class, equal rows too."""
     return near_dup.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 100 bytes or more that occur earlier."""
+    """All documents, without passages of 100 bytes or more that occur earlier; null texts stay null, long ones are read whole."""
     return suffix_dedup.strip(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
+    """Each document as often as its source's target asks for; texts without a word go, repeated rows count one by one."""
     return mixing.apply(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document of the mix."""
+    """Token counts and digests of each document of the mix, a row for every row; a null text has no tokens."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
