@@ -111,6 +111,102 @@ def test_quality_takes_the_text_alone(spark, small):
     assert {r["doc_id"]: r["score"] for r in quality_gam.classify(docs, turned).collect()} == plain
 
 
+def plain_fit(x, y, bins, coarse_bins, rounds, pair_rounds, n_pairs):
+    """Cyclic boosting one row, one bin and one cut at a time: a function that scores a row."""
+    q = quality_gam
+    m, n = len(x[0]), len(y)
+    base = math.log(sum(y) / (n - sum(y)))
+
+    def cuts_of(j, parts):
+        v = sorted(r[j] for r in x)
+        return sorted({v[math.floor((n - 1) * i / parts + 1e-9)] for i in range(1, parts)})
+
+    place = lambda cuts, v: sum(c <= v for c in cuts)
+    cuts, coarse = [cuts_of(j, bins) for j in range(m)], [cuts_of(j, coarse_bins) for j in range(m)]
+    tables = [[0.0] * (len(c) + 1) for c in cuts]
+    grids = {}
+    raw = lambda r: base + sum(t[place(c, v)] for t, c, v in zip(tables, cuts, r)) + sum(g[place(coarse[a], r[a])][place(coarse[b], r[b])] for (a, b), g in grids.items())
+    value = lambda rows: sum(g for g, _ in rows) / (sum(h for _, h in rows) + q.RIDGE)
+    part = lambda rows: sum(g for g, _ in rows) ** 2 / (sum(h for _, h in rows) + q.RIDGE)
+
+    def cut(cells):
+        best, at = 0.0, 1
+        for k in range(1, len(cells)):
+            left, right = sum(cells[:k], []), sum(cells[k:], [])
+            gain = 0.0 if min(len(left), len(right)) < q.LEAST_LEAF else part(left) + part(right) - part(left + right)
+            if gain > best + 1e-12:
+                best, at = gain, k
+        return best, at
+
+    def tree(cells, depth):
+        gain, k = cut(cells) if depth else (0.0, 0)
+        if gain <= 1e-12:
+            return [value(sum(cells, []))] * len(cells)
+        return tree(cells[:k], depth - 1) + tree(cells[k:], depth - 1)
+
+    def quadrants(cells):
+        rows = sum((c for line in cells for c in line), [])
+        best, out = -1.0, [[value(rows)] * len(cells[0]) for _ in cells]
+        for turned in (False, True):
+            grid = [list(c) for c in zip(*cells)] if turned else cells
+            for k in range(1, len(grid)):
+                gain, made = 0.0, []
+                for lines in (grid[:k], grid[k:]):
+                    across = [sum((line[j] for line in lines), []) for j in range(len(grid[0]))]
+                    if len(sum(across, [])) < q.LEAST_LEAF:
+                        gain = -1.0
+                        break
+                    _, j = cut(across)
+                    left, right = sum(across[:j], []), sum(across[j:], [])
+                    gain += part(left) + part(right)
+                    made += [[value(left)] * j + [value(right)] * (len(across) - j) for _ in lines]
+                if gain > best + 1e-12:
+                    best, out = gain, [list(c) for c in zip(*made)] if turned else made
+        return best - part(rows), out
+
+    def gradients():
+        ps = [1 / (1 + math.exp(-raw(r))) for r in x]
+        return [(t - p, p * (1 - p)) for t, p in zip(y, ps)]
+
+    for _ in range(rounds):
+        for j in range(m):
+            if len(tables[j]) > 1:
+                cells = [[] for _ in tables[j]]
+                for r, gh in zip(x, gradients()):
+                    cells[place(cuts[j], r[j])].append(gh)
+                tables[j] = [t + q.RATE * s for t, s in zip(tables[j], tree(cells, q.DEPTH))]
+
+    def cells_of(a, b, gs):
+        cells = [[[] for _ in range(len(coarse[b]) + 1)] for _ in range(len(coarse[a]) + 1)]
+        for r, gh in zip(x, gs):
+            cells[place(coarse[a], r[a])][place(coarse[b], r[b])].append(gh)
+        return cells
+
+    gs = gradients()
+    ranked = sorted((-round(quadrants(cells_of(a, b, gs))[0], 9), a, b) for a in range(m) for b in range(a + 1, m) if coarse[a] and coarse[b])[:n_pairs]
+    for _, a, b in ranked:
+        grids[a, b] = [[0.0] * (len(coarse[b]) + 1) for _ in range(len(coarse[a]) + 1)]
+    for _ in range(pair_rounds):
+        for a, b in list(grids):
+            step = quadrants(cells_of(a, b, gradients()))[1]
+            grids[a, b] = [[t + q.RATE * s for t, s in zip(ts, ss)] for ts, ss in zip(grids[a, b], step)]
+    return lambda r: 1 / (1 + math.exp(-raw(r)))
+
+
+def test_quality_by_a_plain_fit(monkeypatch):
+    how = {"BINS": 7, "COARSE": 4, "ROUNDS": 4, "PAIR_ROUNDS": 3, "PAIRS": 2}
+    for k, v in how.items():
+        monkeypatch.setattr(quality_gam, k, v)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((160, 4)), 3)
+    x[:, 3] = 1.0  # tells nothing
+    y = (((x[:, 0] > 0.4) ^ (x[:, 1] > 0.6)) | (x[:, 2] > 0.9)).astype(float)
+    plain = plain_fit(x.tolist(), y.tolist(), 7, 4, 4, 3, 2)
+    fresh = np.round(rng.random((50, 4)), 3)
+    want = [plain(r) for r in fresh.tolist()]
+    assert quality_gam.fit(x, y).score(fresh) == pytest.approx(want, abs=1e-9)
+
+
 def test_quality_tables_find_a_pair():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 4))
