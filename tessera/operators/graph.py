@@ -1,8 +1,8 @@
 """Graph operators over edge tables (src, dst).
 
 Edges are a set. Iterations keep only small state per round (a frontier or a
-score for each node); rounds are cut off by checkpoint() where the session has
-a checkpoint folder, so that lineage stays short.
+score for each node); each round is a table in the shared folder, so that lineage
+stays short and a lost executor costs a round at most.
 """
 
 from __future__ import annotations
@@ -10,13 +10,22 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tessera.session import staged
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the shared checkpoint folder, if the session has one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    """End the lineage in a table of the shared folder."""
+    return staged(df, "graph")
+
+
+def by_maximum(df: DataFrame, column: str) -> DataFrame:
+    """The column divided by its maximum, which is one row beside the table; no task sees all rows."""
+    top = df.agg(F.max(column).alias("__top"))
+    return df.crossJoin(F.broadcast(top)).withColumn(column, F.when(F.col("__top") > 0, F.col(column) / F.col("__top")).otherwise(F.col(column))).drop("__top")
 
 
 def edge_set(*parts: DataFrame) -> DataFrame:
@@ -56,8 +65,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 150, epsilon
     round reads the scores three times, so each round's are cut off.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    weighted = edges.join(out, "src").cache()
-    base = nodes(edges).join(out, F.col("node") == F.col("src"), "left").select("node", F.col("deg").isNull().alias("dangling")).cache()
+    weighted = cut(edges.join(out, "src"))
+    base = cut(nodes(weighted).join(out, F.col("node") == F.col("src"), "left").select("node", F.col("deg").isNull().alias("dangling")))
     n = base.count()
     if not n:
         return base.select("node", F.lit(1.0).alias("score"))
@@ -71,51 +80,63 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 150, epsilon
         rank = new.drop("old")
         if epsilon and new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < epsilon:
             break
-    return rank.select("node", (F.col("rank") / F.max("rank").over(Window.partitionBy())).alias("score"))
+    return by_maximum(rank.select("node", F.col("rank").alias("score")), "score")
 
 
-def betweenness(edges: DataFrame, max_nodes: int = 5000) -> DataFrame:
+def betweenness(edges: DataFrame, max_nodes: int = 5000, sources: int | None = None) -> DataFrame:
     """(node, score): Brandes, directed, over (n - 1)(n - 2); 0 for 2 nodes or fewer, or more than max_nodes.
 
-    Sources are dealt out; the adjacency of at most max_nodes nodes goes with the code.
+    Sources are dealt out. The adjacency of max_nodes nodes goes to the executors
+    as an array of the numbers of its targets, two bytes an edge, so at most
+    2 * max_nodes ** 2 bytes. With sources, only so many take part, chosen by
+    hash, and sums are scaled up.
     """
     every = nodes(edges)
     n = every.limit(max_nodes + 1).count()
     if n <= 2 or n > max_nodes:
         return every.select("node", F.lit(0.0).alias("score"))
-    follow: dict = {}
-    for a, b in edges.collect():
-        follow.setdefault(a, []).append(b)
-    kind = edges.schema["src"].dataType.simpleString()
+    names = [r["node"] for r in every.orderBy("node").collect()]  # max_nodes at most
+    numbered = cut(edges.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], f"node {edges.schema['src'].dataType.simpleString()}, i int"))
+    pairs = edges.join(numbered.select(F.col("node").alias("src"), F.col("i").alias("a")), "src").join(numbered.select(F.col("node").alias("dst"), F.col("i").alias("b")), "dst")
+    pairs = pairs.select(F.col("a").cast("short"), F.col("b").cast("short")).distinct().toArrow()  # below 2 ** 15
+    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+    order = np.lexsort((b, a))
+    begins, targets = np.searchsorted(a[order], np.arange(n + 1)), b[order]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        follow = [targets[begins[i] : begins[i + 1]].tolist() for i in range(n)]
         for frame in frames:
-            total: dict = {}
-            for s in frame["node"].tolist():
-                order, before, paths, dist = [], {}, {s: 1.0}, {s: 0}
+            total = np.zeros(n)
+            for s in frame["i"].tolist():
+                order, before, paths, dist = [], [[] for _ in range(n)], [0.0] * n, [-1] * n
+                paths[s], dist[s] = 1.0, 0
                 queue = deque([s])
                 while queue:
                     v = queue.popleft()
                     order.append(v)
-                    for w in follow.get(v, ()):
-                        if w not in dist:
+                    for w in follow[v]:
+                        if dist[w] < 0:
                             dist[w] = dist[v] + 1
                             queue.append(w)
                         if dist[w] == dist[v] + 1:
-                            paths[w] = paths.get(w, 0.0) + paths[v]
-                            before.setdefault(w, []).append(v)
-                part = dict.fromkeys(order, 0.0)
+                            paths[w] += paths[v]
+                            before[w].append(v)
+                part = [0.0] * n
                 for w in reversed(order):
-                    for v in before.get(w, ()):
+                    for v in before[w]:
                         part[v] += paths[v] / paths[w] * (1 + part[w])
                     if w != s:
-                        total[w] = total.get(w, 0.0) + part[w]
-            yield pd.DataFrame({"node": list(total), "score": list(total.values())})
+                        total[w] += part[w]
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"i": at.astype(np.int32), "score": total[at]})
 
-    parts = every.mapInPandas(run, f"node {kind}, score double").groupBy("node").agg(F.sum("score").alias("score"))
-    scaled = every.join(parts, "node", "left").select("node", (F.coalesce("score", F.lit(0.0)) / ((n - 1) * (n - 2))).alias("score"))
-    top = F.max("score").over(Window.partitionBy())
-    return scaled.select("node", F.when(top > 1, F.col("score") / top).otherwise(F.col("score")).alias("score"))
+    chosen = numbered if sources is None or sources >= n else numbered.orderBy(F.xxhash64("node"), "node").limit(sources)
+    scale = 1.0 if sources is None or sources >= n else n / sources
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    parts = chosen.select("i").repartition(min(n, 4 * cores)).mapInPandas(run, "i int, score double").groupBy("i").agg(F.sum("score").alias("score"))
+    scaled = numbered.join(parts, "i", "left").select("node", (F.coalesce("score", F.lit(0.0)) * scale / ((n - 1) * (n - 2))).alias("score"))
+    top = scaled.agg(F.max("score").alias("__top"))
+    return scaled.crossJoin(F.broadcast(top)).select("node", F.when(F.col("__top") > 1, F.col("score") / F.col("__top")).otherwise(F.col("score")).alias("score"))
 
 
 def hubs(edges: DataFrame, rounds: int = 150, epsilon: float = 1e-5, max_nodes: int = 5000) -> DataFrame:
@@ -157,13 +178,54 @@ def two_cycles(edges: DataFrame) -> DataFrame:
     return a.join(b, (F.col("src") == F.col("d")) & (F.col("dst") == F.col("s"))).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-def components_strong(edges: DataFrame) -> DataFrame:
-    """(node, component, size) of strongly connected components of 2 nodes or more, by mutual reachability."""
-    c = closure(edges).select("start", "node")
-    back = c.select(F.col("start").alias("node"), F.col("node").alias("start"))
-    mutual = c.join(back, ["start", "node"], "left_semi")
-    own = mutual.groupBy("start").agg(F.least(F.min("node"), F.col("start")).alias("component"), (F.count("*") + 1).alias("size"))
-    return own.select(F.col("start").alias("node"), "component", "size")
+def _spread_label(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
+    """(node, label): each node's least label among its own and those of all that reach it."""
+    for _ in range(rounds):
+        sent = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
+        step = cut(labels.join(sent, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("got", "label")).alias("label")))
+        labels = step.select("node", "label")
+        if step.where("was <> label").isEmpty():
+            return labels
+    raise RuntimeError("labels did not settle")
+
+
+def components_strong(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(node, component, size) of strongly connected components of 2 nodes or more, named by their least node.
+
+    Colouring: nodes without an edge in or out are trimmed off, each in rounds of
+    their own; the least label flows forward until none changes; what reaches a
+    label's own node within its colour is that node's component. Components go,
+    and the rest is coloured anew. State is a label for each node, never a pair.
+    """
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    found = None
+    while not e.isEmpty():
+        while True:  # trim
+            inner = e.select("src").distinct().join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").withColumnRenamed("src", "node")
+            kept = cut(e.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+            done = kept.count() == e.count()
+            e = kept
+            if done:
+                break
+        every = nodes(e)
+        colour = _spread_label(e, every.select("node", F.col("node").alias("label")), rounds)
+        same = e.join(colour.select(F.col("node").alias("src"), F.col("label").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("d")), "dst").where("c = d")
+        back = cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # from each colour's own node backwards, in its colour
+        front = colour.where("node = label").select("node")
+        reached = front
+        for _ in range(rounds):
+            new = cut(back.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti"))
+            if new.isEmpty():
+                break
+            reached, front = cut(reached.unionByName(new)), new
+        own = cut(colour.join(reached, "node", "left_semi").select("node", F.col("label").alias("component")))
+        found = own if found is None else found.unionByName(own)
+        e = cut(e.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
+    many = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return found.join(many, "component").select("node", "component", "size")
 
 
 def collapse(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -238,7 +300,7 @@ def lcom4(members: DataFrame) -> DataFrame:
     bipartite graph of all classes at once until none changes, halving chains
     by taking the label's own label.
     """
-    m = members.select("cls", "method", "field").distinct().cache()
+    m = cut(members.select("cls", "method", "field").distinct())
     lab = cut(m.select("cls", "method").distinct().withColumn("label", F.col("method")))
     while True:
         by_field = m.where("field is not null").join(lab, ["cls", "method"]).groupBy("cls", "field").agg(F.min("label").alias("f_label"))

@@ -2,51 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from tessera.functions.text import word_tokens
+import hashlib
+import uuid
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, term, tf), one for each distinct term of a document."""
-    return docs.select(F.col(key), F.explode(word_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(
-        F.count("*").alias("tf")
-    )
+from tessera.functions.text import word_tokens
+from tessera.session import shared_dir, spread, version_of
 
 
-def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Score every document that holds a query term.
+class Index:
+    """An inverted index in Parquet: postings (term, key, tf, len) in order of term, and the corpus's size.
 
-    Terms count once. The score is scaled by the share of terms matched when
-    that share is under a half. Only the query's terms leave the scan: each
-    document becomes one row of term counts and its length before any shuffle.
+    Files are ranges of terms, sorted within, so that a query's filter on terms
+    skips all but a few row groups. A term in many documents spans files, no
+    task holds a posting list. Texts are tokenised once, when it is built.
     """
-    terms = list(dict.fromkeys(terms))
-
-    def is_term(term: str):
-        return lambda w: w == F.lit(term)
-
-    toks = docs.select(F.col(key), word_tokens(F.col(text)).alias("toks"))
-    counted = toks.select(
-        key,
-        F.size("toks").alias("len"),
-        F.array(*[F.size(F.filter("toks", is_term(t))) for t in terms]).alias("tfs"),
-    )
-    stats = counted.agg(
-        F.count("*").alias("n"),
-        F.avg("len").alias("avgdl"),
-        *[F.sum((F.col("tfs")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))],
-    )
-    joined = counted.where(F.exists("tfs", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # stats is one row
-
-    def part(i: int) -> Column:
-        tf, df = F.col("tfs")[i].cast("double"), F.col(f"df{i}").cast("double")
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
-        return F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))).otherwise(0.0)
-
-    raw = sum((part(i) for i in range(1, len(terms))), part(0))
-    share = F.size(F.filter("tfs", lambda x: x > 0)) / F.lit(float(len(terms)))
-    return joined.select(key, F.when(share < 0.5, raw * share).otherwise(raw).alias("score")).where("score > 0")
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.postings = spark.read.parquet(f"{path}/postings")
+        self.stats = spark.read.parquet(f"{path}/stats")
+        self.key = key
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
+        spark = docs.sparkSession
+        counted = spread(docs.select(F.col(key), F.col(text))).select(F.col(key), word_tokens(F.col(text)).alias("toks"))
+        counted = counted.select(F.col(key), F.size("toks").alias("len"), F.explode("toks").alias("term"))
+        counted = counted.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+        counted.select("term", key, "tf", "len").repartitionByRange(F.col("term"), F.col(key)).sortWithinPartitions("term", key).write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        total = spark.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+        docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("tokens") / F.col("n")).alias("avgdl")).coalesce(1).write.parquet(f"{path}/stats")
+        return cls(spark, path, key)
+
+    @classmethod
+    def of(cls, spark: SparkSession, source: str, key: str = "doc_id", text: str = "text") -> Index:
+        """The index of a Parquet table, built in the shared folder at the first question and again once the table changes."""
+        name = hashlib.sha256(f"{source}|{version_of(spark, source)}|{key}|{text}|{spark.sparkContext.applicationId}".encode()).hexdigest()[:24]
+        if name not in _BUILT:
+            _BUILT[name] = f"{shared_dir(spark)}/index/{name}-{uuid.uuid4().hex}"
+            return cls.build(spark.read.parquet(source), _BUILT[name], key, text)
+        return cls(spark, _BUILT[name], key)
+
+    def bm25(self, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """(key, score) of every document that holds a query term, from the terms' postings alone.
+
+        Terms count once. The score is scaled by the share of terms matched when
+        that share is under a half.
+        """
+        terms = list(dict.fromkeys(terms))
+        hits = self.postings.where(F.col("term").isin(terms))
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        hits = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.stats))  # as many rows as terms, and one
+        tf, d = F.col("tf").cast("double"), F.col("df").cast("double")
+        part = F.log((F.col("n") - d + 0.5) / (d + 0.5) + 1) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+        share = F.count("*") / F.lit(float(len(terms)))
+        raw = F.sum(part)
+        return hits.groupBy(self.key).agg(F.when(share < 0.5, raw * share).otherwise(raw).alias("score")).where("score > 0")
+
+
+#: Where this process has built indexes.
+_BUILT: dict[str, str] = {}
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -75,8 +91,6 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, threshold: float | Non
 
 def ranked(hits: DataFrame, key: str) -> DataFrame:
     """(key, rank) from 1, by score and key; hits are a top-k list."""
-    from pyspark.sql import Window
-
     return hits.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"))
 
 

@@ -73,18 +73,20 @@ def clones_type2(spark, sf_dir):
     return relations.clone_pairs(d, F.sha2(F.regexp_replace(F.lower("text"), "[0-9]+", "0"), 256))
 
 
-@query("clones_type3", """WITH b AS (SELECT doc_id AS id, tok, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents) GROUP BY ALL),
+@query("clones_type3", """WITH t AS (SELECT doc_id AS id, list_sort(regexp_extract_all(lower(text), '[a-z0-9]+')) AS s FROM documents), r AS (SELECT s, min(id) AS rep FROM t WHERE len(s) > 0 GROUP BY s),
+ b AS (SELECT id, tok, count(*) AS c FROM (SELECT rep AS id, unnest(s) AS tok FROM r) GROUP BY ALL),
  n AS (SELECT id, sum(c) AS n FROM b GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, sum(least(x.c, y.c)) AS common FROM b x JOIN b y ON x.tok = y.tok AND x.id < y.id GROUP BY ALL)
-SELECT a, b, round(2.0 * common / (x.n + y.n), 6) AS dice FROM p JOIN n x ON a = x.id JOIN n y ON b = y.id WHERE 2.0 * common / (x.n + y.n) >= 0.95""")
+SELECT a, b, round(2.0 * common / (x.n + y.n), 6) AS dice FROM p JOIN n x ON a = x.id JOIN n y ON b = y.id WHERE 2.0 * common / (x.n + y.n) >= 0.95
+UNION ALL SELECT rep, id, 1.0 FROM t JOIN r USING (s) WHERE id <> rep""")
 def clones_type3(spark, sf_dir):
-    """Pairs of documents of multiset Dice 0.95 or more; every pair is verified, by whole texts."""
+    """Links of multiset Dice 0.95 or more between documents, of equal ones to the first alone; every pair is verified, by whole texts."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("tokens"))
     return relations.near_clones(d, 0.95).withColumn("dice", F.round("dice", 6))
 
 
 @query("clones_type3_all")
 def clones_type3_all(spark, sf_dir):
-    """Pairs of documents of multiset Dice 0.7 or more, the reference's default; clones_type3 has those of 0.95."""
+    """Links of multiset Dice 0.7 or more, the reference's default; clones_type3 has those of 0.95."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0).alias("tokens"))
     return relations.near_clones(d, 0.7).withColumn("dice", F.round("dice", 6))
 
@@ -94,12 +96,18 @@ SIM = "0.3 * (1 - abs(a.p_size - b.p_size) / greatest(a.p_size, b.p_size)) + 0.2
 
 @query("pairwise_similarity", f"SELECT a.p_partkey AS a, b.p_partkey AS b, round({SIM}, 6) AS score FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand AND a.p_type = b.p_type WHERE {SIM} >= 0.97")
 def pairwise_similarity(spark, sf_dir):
-    """Parts alike in size, type, brand and price. A score of 0.97 needs an equal brand and type, so these key the join."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    a, b = p, p.select(F.col("p_partkey").alias("q"), "p_brand", "p_type", F.col("p_size").alias("s"), F.col("p_retailprice").alias("r"))
+    """Parts alike in size, type, brand and price.
+
+    A score of 0.97 needs an equal brand and type and sizes of a ratio of 0.9 at
+    least, whose logarithms lie in the same bucket or in neighbouring ones; these
+    key the join.
+    """
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice", F.floor(F.log("p_size") / F.log(F.lit(1.112))).alias("k"))
+    a = p.withColumn("k", F.explode(F.array(*[F.col("k") + i for i in (-1, 0, 1)])))
+    b = p.select(F.col("p_partkey").alias("q"), "p_brand", "p_type", F.col("p_size").alias("s"), F.col("p_retailprice").alias("r"), "k")
     near = lambda x, y: 1 - F.abs(F.col(x) - F.col(y)) / F.greatest(x, y)
     score = 0.3 * near("p_size", "s") + 0.2 + 0.3 + 0.2 * near("p_retailprice", "r")
-    j = a.join(b, ["p_brand", "p_type"]).where("p_partkey < q").withColumn("score", score).where("score >= 0.97")
+    j = a.join(b, ["p_brand", "p_type", "k"]).where("p_partkey < q").withColumn("score", score).where("score >= 0.97")
     return j.select(F.col("p_partkey").alias("a"), F.col("q").alias("b"), F.round("score", 6).alias("score"))
 
 

@@ -14,6 +14,10 @@ TERMS = ["the", "and", "la", "tion", "und"]
 TOKS_SQL = "toks AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda w: strlen(w) >= 2) AS toks FROM documents)"
 
 
+def index(spark, sf_dir) -> search.Index:
+    return search.Index.of(spark, f"{sf_dir}/documents.parquet")
+
+
 def bm25_sql(terms: list[str], tail: str) -> str:
     values = ", ".join(f"('{t}')" for t in terms)
     return f"""
@@ -32,7 +36,7 @@ WITH {TOKS_SQL},
 def bm25_topk(spark, sf_dir):
     """The 20 best documents for a fixed query."""
     return (
-        search.bm25(table(spark, sf_dir, "documents"), TERMS)
+        index(spark, sf_dir).bm25(TERMS)
         .orderBy(F.desc("score"), "doc_id")
         .limit(20)
         .select("doc_id", F.round("score", 6).alias("score"))
@@ -74,7 +78,7 @@ SELECT id, round(score, 6) AS score, side FROM f ORDER BY f.score DESC, id LIMIT
 def rrf_hybrid(spark, sf_dir):
     """Keyword and vector ranks fused."""
     e = table(spark, sf_dir, "embeddings")
-    a = search.bm25(table(spark, sf_dir, "documents"), TERMS).withColumnRenamed("doc_id", "id").orderBy(F.desc("score"), "id").limit(50)
+    a = index(spark, sf_dir).bm25(TERMS).withColumnRenamed("doc_id", "id").orderBy(F.desc("score"), "id").limit(50)
     b = search.nearest(e, e.where("vec_id = 0"), 50).withColumnRenamed("vec_id", "id")
     f = search.fuse(search.ranked(a, "id"), search.ranked(b, "id"), "id")
     return f.orderBy(F.desc("score"), "id").limit(30).select("id", F.round("score", 6).alias("score"), "side")
@@ -90,7 +94,7 @@ SELECT doc_id, round(1.0 / (60 + a.r) + 1.0 / (60 + b.r), 6) AS score FROM a JOI
 def bm25_and_regex(spark, sf_dir):
     """Documents in both the keyword and the pattern list."""
     docs = table(spark, sf_dir, "documents")
-    a = search.bm25(docs, TERMS).orderBy(F.desc("score"), "doc_id").limit(200)
+    a = index(spark, sf_dir).bm25(TERMS).orderBy(F.desc("score"), "doc_id").limit(200)
     b = search.grep(docs, "[Tt]oken|http").groupBy("doc_id").agg(F.count("*").alias("score")).orderBy(F.desc("score"), "doc_id").limit(200)
     return search.fuse(search.ranked(a, "doc_id"), search.ranked(b, "doc_id"), "doc_id", how="inner").select("doc_id", F.round("score", 6).alias("score"))
 
@@ -103,11 +107,11 @@ def regex_line_search(spark, sf_dir):
     return search.grep(table(spark, sf_dir, "documents"), "[Tt]oken|http|[0-9]{5}")
 
 
-@query("regex_doc_score", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS score FROM l WHERE regexp_matches(line, '[Tt]oken|http|[0-9]{{5}}') GROUP BY doc_id ORDER BY doc_id LIMIT 50")
+@query("regex_doc_score", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS score FROM l WHERE regexp_matches(line, '[Tt]oken|http|[0-9]{{5}}') GROUP BY doc_id ")
 def regex_doc_score(spark, sf_dir):
-    """Matching lines of a document, the first 50 documents in order."""
+    """Matching lines of each document that has any."""
     hits = search.grep(table(spark, sf_dir, "documents"), "[Tt]oken|http|[0-9]{5}")
-    return hits.groupBy("doc_id").agg(F.count("*").alias("score")).orderBy("doc_id").limit(50)
+    return hits.groupBy("doc_id").agg(F.count("*").alias("score"))
 
 
 @query("line_context", f"""WITH {LINES_SQL}, x AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM l)
@@ -119,25 +123,23 @@ def line_context(spark, sf_dir):
 @query("identifier_counts", f"WITH {TOKS_SQL} SELECT tok, count(*) AS n FROM (SELECT unnest(toks) AS tok FROM toks) GROUP BY tok ORDER BY n DESC, tok LIMIT 100")
 def identifier_counts(spark, sf_dir):
     """The 100 commonest tokens."""
-    toks = search.postings(table(spark, sf_dir, "documents")).groupBy(F.col("term").alias("tok")).agg(F.sum("tf").alias("n"))
+    toks = index(spark, sf_dir).postings.groupBy(F.col("term").alias("tok")).agg(F.sum("tf").alias("n"))
     return toks.orderBy(F.desc("n"), "tok").limit(100)
 
 
 @query("refcount_rescue", f"WITH {TOKS_SQL}, c AS (SELECT tok, count(*) AS n FROM (SELECT unnest(toks) AS tok FROM toks) GROUP BY tok) SELECT tok, n FROM c WHERE n < CASE WHEN strlen(tok) < 3 THEN 5 ELSE 2 END")
 def refcount_rescue(spark, sf_dir):
     """Tokens that too few mentions leave unused: below 2, or 5 for names under 3 bytes."""
-    toks = search.postings(table(spark, sf_dir, "documents")).groupBy(F.col("term").alias("tok")).agg(F.sum("tf").alias("n"))
+    toks = index(spark, sf_dir).postings.groupBy(F.col("term").alias("tok")).agg(F.sum("tf").alias("n"))
     return toks.where(F.col("n") < F.when(F.octet_length("tok") < 3, 5).otherwise(2))
 
 
 @query("bm25_statistics", f"WITH {TOKS_SQL}, d AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM toks) SELECT term, count(*) AS df, (SELECT count(*) FROM toks) AS n, round((SELECT avg(len(toks)) FROM toks), 6) AS avgdl FROM d GROUP BY term ORDER BY df DESC, term LIMIT 100")
 def bm25_statistics(spark, sf_dir):
     """Document frequencies of the 100 most spread terms, with the corpus's size and mean length."""
-    docs = table(spark, sf_dir, "documents")
-    from tessera.functions.text import word_tokens
-
-    stats = docs.agg(F.count("*").alias("n"), F.round(F.avg(F.size(word_tokens(F.col("text")))), 6).alias("avgdl"))
-    top = search.postings(docs).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(100)
+    found = index(spark, sf_dir)
+    stats = found.stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    top = found.postings.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(100)
     return top.crossJoin(F.broadcast(stats))  # one row
 
 
