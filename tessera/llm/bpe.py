@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm._common import collapsed, id_of, key_of, shuffle_partitions, text_or_empty
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 REPEATS = 1000
 ZSTD_LEVEL = 3
 
