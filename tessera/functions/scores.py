@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import staged
 
-def percentile_average_ties(v: str, partition: list[str] | None = None) -> Column:
-    """(average rank - 1) / (n - 1), 1 for one row; ties share their mean rank, unlike percent_rank."""
-    p = partition or []
-    rank, ties, n = F.rank().over(Window.partitionBy(*p).orderBy(v)), F.count("*").over(Window.partitionBy(*p, v)), F.count("*").over(Window.partitionBy(*p))
-    return F.when(n == 1, 1.0).otherwise((rank + (ties - 1) / 2 - 1) / (n - 1))
+
+def value_counts(df: DataFrame, v: str) -> DataFrame:
+    """(v, ties, below, n): how often each value occurs, how many rows are below it, and how many there are.
+
+    Values are dealt to ranges; a range adds up within itself, and ranges, which are
+    as many as partitions, are added up by themselves. Nulls are left out.
+    """
+    c = df.where(F.col(v).isNotNull()).groupBy(v).agg(F.count("*").alias("ties"))
+    c = staged(c.repartitionByRange(F.col(v)).withColumn("__range", F.spark_partition_id()), "values")
+    before = lambda w: F.coalesce(F.sum("ties").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = c.groupBy("__range").agg(F.sum("ties").alias("ties"))
+    ranges = ranges.select("__range", before(Window.orderBy("__range")).alias("__skip"), F.sum("ties").over(Window.partitionBy()).alias("n"))
+    c = c.withColumn("below", before(Window.partitionBy("__range").orderBy(v)))
+    return c.join(F.broadcast(ranges), "__range").select(v, "ties", (F.col("below") + F.col("__skip")).alias("below"), "n")
+
+
+def with_percentiles(df: DataFrame, columns: list[str], prefix: str = "p_") -> DataFrame:
+    """Add (average rank - 1) / (n - 1) of each column, 1 for one row; ties share their mean rank, unlike percent_rank."""
+    for c in columns:
+        rank = F.when(F.col("n") == 1, 1.0).otherwise((F.col("below") + (F.col("ties") - 1) / 2) / (F.col("n") - 1))
+        df = df.join(value_counts(df, c).select(c, rank.alias(f"{prefix}{c}")), c, "left")
+    return df
+
+
+def with_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Add lo_ and hi_ of each column: one row that is sent to all."""
+    ends = df.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))])
+    return df.crossJoin(F.broadcast(ends))
 
 
 def min_max(v: str) -> Column:
-    """(v - min) / (max - min), a half if all are equal."""
-    lo, hi = F.min(v).over(Window.partitionBy()), F.max(v).over(Window.partitionBy())
+    """(v - lo) / (hi - lo) of with_ranges, a half if all are equal."""
+    lo, hi = F.col(f"lo_{v}"), F.col(f"hi_{v}")
     return F.when(hi == lo, 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(v) - lo) / (hi - lo))))
 
 
 def varies(v: str) -> Column:
-    return F.min(v).over(Window.partitionBy()) != F.max(v).over(Window.partitionBy())
+    return F.col(f"lo_{v}") != F.col(f"hi_{v}")
 
 
 def recency_weight(age_days: Column, half_life: float) -> Column:

@@ -9,7 +9,7 @@ from tessera.operators import mining, relations
 from tessera.plans.graph_queries import G_SQL, g
 from tessera.plans.registry import query
 from tessera.plans.search_queries import LINES_SQL
-from tessera.session import table
+from tessera.session import staged, table
 
 
 def r6(**cols):
@@ -205,7 +205,8 @@ def hotspots(spark, sf_dir):
     """Weighted percentiles of frequency, lines and authors; a constant dimension gives its weight to the others."""
     u = churn(spark, sf_dir).groupBy("file").agg(F.count("*").cast("double").alias("freq"), F.sum("n").cast("double").alias("lines"), F.countDistinct("author").cast("double").alias("authors"))
     weights = {"freq": 0.35, "lines": 0.35, "authors": 0.15}
-    u = u.withColumns({f"p_{c}": scores.percentile_average_ties(c) for c in weights} | {f"v_{c}": scores.varies(c).cast("int") for c in weights})
+    u = scores.with_percentiles(scores.with_ranges(staged(u, "hotspots"), list(weights)), list(weights))
+    u = u.withColumns({f"v_{c}": scores.varies(c).cast("int") for c in weights})
     top = sum((w * F.col(f"v_{c}") * F.col(f"p_{c}") for c, w in weights.items()), F.lit(0.0))
     weight = sum((w * F.col(f"v_{c}") for c, w in weights.items()), F.lit(0.0))
     u = u.withColumn("score", F.when(weight > 0, top / weight))
@@ -218,8 +219,9 @@ def hotspots(spark, sf_dir):
 def hotspot_concentration(spark, sf_dir):
     """Share of changed lines in the busiest tenth of files."""
     f = churn(spark, sf_dir).groupBy("file").agg(F.sum("n").alias("s"))
-    f = f.select("s", F.row_number().over(Window.orderBy(F.desc("s"), "file")).alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return f.agg(F.round(F.sum(F.when(F.col("k") <= F.greatest(F.floor(F.col("n") / 10), F.lit(1)), F.col("s")).otherwise(0)) / F.sum("s"), 6).alias("share"))
+    above = F.col("n") - F.col("below") - F.col("ties")
+    taken = F.least(F.col("ties"), F.greatest(F.greatest(F.floor(F.col("n") / 10), F.lit(1)) - above, F.lit(0)))
+    return scores.value_counts(f, "s").agg(F.round(F.sum(taken * F.col("s")) / F.sum(F.col("ties") * F.col("s")), 6).alias("share"))
 
 
 @query("recency_churn", "SELECT user_id, round(sum(floor(value) * exp(-0.6931471805599453 / 10 * greatest(date_diff('day', ts::DATE, DATE '2024-02-01'), 0))), 6) AS weighted, round(sum(floor(value)) / greatest(count(*), 10), 6) AS relative FROM events GROUP BY user_id")
@@ -233,7 +235,8 @@ def recency_churn(spark, sf_dir):
 
 @query("min_max_scores", "SELECT c_custkey, round(CASE WHEN max(c_acctbal) OVER () = min(c_acctbal) OVER () THEN 0.5 ELSE (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) END, 6) AS score FROM customer")
 def min_max_scores(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(scores.min_max("c_acctbal"), 6).alias("score"))
+    c = scores.with_ranges(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"])
+    return c.select("c_custkey", F.round(scores.min_max("c_acctbal"), 6).alias("score"))
 
 
 @query("halstead_text", """WITH o AS (SELECT doc_id, regexp_extract_all(text, '[^A-Za-z0-9_ \\n\\t\\r]') AS op, regexp_extract_all(text, '[A-Za-z0-9_]+') AS arg, len(string_split(text, chr(10))) AS loc FROM documents),

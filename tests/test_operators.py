@@ -80,8 +80,8 @@ def test_single_edges(spark):
 
 def test_percentiles(spark):
     d = spark.createDataFrame([(1,), (2,), (2,), (3,)], "v int")
-    assert sorted(r[0] for r in d.select(scores.percentile_average_ties("v")).collect()) == [0.0, 0.5, 0.5, 1.0]
-    assert d.limit(1).select(scores.percentile_average_ties("v")).first()[0] == 1.0
+    assert sorted(r["p_v"] for r in scores.with_percentiles(d, ["v"]).collect()) == [0.0, 0.5, 0.5, 1.0]
+    assert scores.with_percentiles(d.limit(1), ["v"]).first()["p_v"] == 1.0
 
 
 def test_formulas(spark):
