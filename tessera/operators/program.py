@@ -1,8 +1,8 @@
-"""Facts and dataflow of Python source, one Arrow batch of files at a time.
+"""Facts of source and dataflow of Python source, one Arrow batch of files at a time.
 
 Files are a table (path, content). Parsing needs a parser, so extraction runs in
-mapInPandas; a file that does not parse gives one row of kind "error" and no
-others. What follows from facts (calls, importers, inheritance, metrics) is
+mapInPandas; a Python file that does not parse gives one row of kind "error" and
+no others, files in languages with braces are read by line and bracket. What follows from facts (calls, importers, inheritance, metrics) is
 relational. Dataflow is per function: the function is the unit of parallelism,
 its fixpoints are small.
 """
@@ -12,11 +12,13 @@ from __future__ import annotations
 import ast
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.operators import values
+from tessera.operators import braces, values
+from tessera.sources.files import LANGUAGES
 
 FACTS = "path string, kind string, name string, owner string, detail string, line int, end_line int, params int, complexity int, cognitive int, nesting int"
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
@@ -134,13 +136,23 @@ def file_facts(path: str, content: str) -> list[tuple]:
     return out
 
 
+#: Reader of a file's facts by language; each takes (path, content).
+HANDLERS = {"python": file_facts} | {x: partial(lambda language, path, content: braces.file_facts(path, content, language), x) for x in braces.LANGUAGES}
+
+
+def handler_of(path: str):
+    """The reader for a path's extension, Python's where there is none; None for other kinds of file."""
+    _, dot, ext = path.rsplit("/", 1)[-1].rpartition(".")
+    return HANDLERS.get(LANGUAGES.get(ext.lower(), "")) if dot else file_facts
+
+
 def facts(files: DataFrame) -> DataFrame:
-    """All facts of files (path, content)."""
+    """All facts of files (path, content), read by language."""
     names = [x.split()[0] for x in FACTS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [r for p, c in zip(frame["path"], frame["content"], strict=True) for r in file_facts(p, c or "")]
+            rows = [r for p, c in zip(frame["path"], frame["content"], strict=True) if (read := handler_of(p)) for r in read(p, c or "")]
             df = pd.DataFrame(rows, columns=names)
             for c in names[5:]:
                 df[c] = df[c].astype("Int32")
@@ -180,9 +192,9 @@ def call_edges(f: DataFrame) -> DataFrame:
     d = definitions(f).select(F.col("path").alias("dst_file"), F.col("name").alias("dst_func"))
     calls = f.where("kind = 'call' and owner is not null and name <> ''").select(F.col("path").alias("src_file"), F.col("owner").alias("src_func"), F.col("name").alias("target")).distinct()
     own = F.regexp_replace("src_func", r"\.[^.]*$", "")
-    calls = calls.withColumn("local", F.when(F.col("target").startswith("self."), F.concat_ws(".", own, F.substring("target", 6, 1000))).otherwise(F.col("target")))
+    calls = calls.withColumn("local", F.when(F.col("target").rlike(r"^(self|this)\."), F.concat_ws(".", own, F.substring("target", 6, 1000))).otherwise(F.col("target")))
     intra = calls.join(d, (F.col("src_file") == F.col("dst_file")) & (F.col("local") == F.col("dst_func")))
-    intra = intra.select("src_file", "src_func", "dst_file", "dst_func", F.when(F.col("target").startswith("self."), "method").otherwise("intra").alias("call_type"), "target")
+    intra = intra.select("src_file", "src_func", "dst_file", "dst_func", F.when(F.col("target").rlike(r"^(self|this)\."), "method").otherwise("intra").alias("call_type"), "target")
     m = d.withColumn("module", module_of(F.col("dst_file")))
     named = f.where("kind = 'import_from'").select(F.col("path").alias("src_file"), F.col("name").alias("module"), F.regexp_extract("detail", r"(\w+)$", 1).alias("alias"), F.regexp_extract("detail", r"^(\w+)", 1).alias("orig"))
     # from m import x: x(...); from package import module: module.x(...)

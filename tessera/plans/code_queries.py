@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.functions import text
-from tessera.operators import graph, navigate as nav, program
+from tessera.functions import scores, text
+from tessera.operators import graph, navigate as nav, program, quality
 from tessera.plans import samples
 from tessera.plans.registry import query
 from tessera.plans.samples import rows_sql
+from tessera.sources import files, reports
 
 
 def _facts(spark) -> DataFrame:
@@ -25,6 +26,10 @@ def _flows(spark) -> DataFrame:
     return program.flows(samples.files(spark))
 
 
+def _brace_facts(spark) -> DataFrame:
+    return program.facts(samples.brace_files(spark))
+
+
 def _breaks(spark) -> DataFrame:
     f, e = _facts(spark), _edges(spark)
     return reduce(DataFrame.unionByName, [nav.whatbreaks(f, e, t).withColumn("target", F.lit(t)) for t in ("shop/models.py", "load", "shop.models")]).fillna("", ["name"])
@@ -38,6 +43,32 @@ def _pairs(spark) -> DataFrame:
     return spark.createDataFrame([("shop/api.py", "handle", 5, 9), ("shop/store.py", "_old", 34, 37), ("shop/store.py", "_old", 37, 34)], "path string, func string, source int, target int")
 
 
+LINES = (
+    ("gcc", "a.c:3:7: warning: unused x"), ("clang", "a.c:4:1: fatal error: no file"), ("tsc", "a.ts(3,9): error TS2304: no x"), ("ruff", "a.py:1:8: F401 unused"), ("go", "a.go:3:1: undefined: x"), ("mypy", "a.py:3: error: bad type"), ("pyright", "  a.py:3:5 - information: hint"),
+    ("flake8", "a.py:2:1: W291 blank"), ("pylint", "a.py:1:0: C0114: no docstring"), ("eslint", "a.js: line 3, col 5, Warning - no-unused"), ("golangci", "a.go:9:2: unused (lint)"), ("cargo", "src/a.rs:3:5: warning: unused"), ("javac", "A.java:7: error: no symbol"), ("kotlinc", "a.kt:3:5: warning: unused"),
+    ("swiftc", "a.swift:3:5: error: no x"), ("dotnet", "A.cs(3,9): error CS0103: no x [a.csproj]"), ("rubocop", "a.rb:1:1: W: unused"), ("luacheck", "  a.lua:3:5: (W211) unused"), ("phpstan", "a.php:12:no method"), ("shellcheck", "a.sh:3:5: note: quote"),
+)
+
+
+def _diagnostics(spark) -> DataFrame:
+    one = lambda t, x: reports.diagnostics(spark.createDataFrame([(x,)], "line string"), t).select(F.lit(t).alias("tool"), "file", "line_no", F.coalesce("column", F.lit(0)).alias("col"), "severity", "message")
+    return reduce(DataFrame.unionByName, [one(t, x) for t, x in LINES])
+
+
+def _ignored(spark) -> DataFrame:
+    paths = ("a.log", "keep.log", "x/b.log", "build/a.py", "x/build/a.py", "docs/a.md", "x/docs/a.md", "a.py")
+    return spark.createDataFrame([(p,) for p in paths], "path string").select("path", files.ignored(F.col("path"), ["# no", "*.log", "!keep.log", "build/", "docs/*.md"]).alias("ignored"))
+
+
+def _predicates(spark) -> DataFrame:
+    rows = [("a.b.run", "run", "dependabot[bot]", 1.0, -3.0, "tests/a.py"), ("run", "a.b.run", "ann", 0.95, 0.0, "src/latest.py"), ("x::run", "run", "Codecov", 0.7, 3.0, "src/a_test.go"), ("runs", "run", "bob", 0.9, 2.0, "src/test_a.py")]
+    d = spark.createDataFrame(rows, "candidate string, target string, author string, score double, delta double, path string")
+    return d.select(
+        "candidate", text.names_match(F.col("candidate"), F.col("target")).alias("matches"), reports.is_bot(F.col("author"), F.lit("x@y")).alias("bot"),
+        scores.similarity_label(F.col("score")).alias("label"), scores.trend(F.col("delta")).alias("trend"), nav.is_test_path(F.col("path")).alias("is_test"),
+    )
+
+
 def _texts(spark) -> DataFrame:
     rows = [(1, "x = 1  # one", "a/b.py"), (2, "s = '# no' + \"it's\"  # yes", "gen/x.py"), (3, "käse 日本語", "src/api.pb.go"), (4, "plain", "src/latest.py")]
     d = spark.createDataFrame(rows, "id int, line string, path string")
@@ -969,3 +1000,256 @@ def code_control_dependence(spark, sf_dir):
 def code_text_functions(spark, sf_dir):
     """Comments, strings, snippets, byte limits and generated paths."""
     return _texts(spark)
+
+
+@query("brace_definitions", rows_sql("path VARCHAR, name VARCHAR, kind VARCHAR, detail VARCHAR, line INT, end_line INT, params INT, complexity INT, cognitive INT, nesting INT", """
+lib/cart.c|add|function|(struct cart *c, int k)|6|14|2|2|1|1
+lib/cart.c|cart|class||4|4||||
+lib/cart.c|main|function|()|16|18|0|1|0|0
+srv/Cart.java|Cart.Cart|method|(int n)|7|9|1|1|0|0
+srv/Cart.java|Cart.add|method|(List k, int v)|11|14|2|2|1|1
+srv/Cart.java|Cart|class||4|17||||
+srv/cart.go|Cart.Add|method|(k int, v string)|11|17|2|3|1|1
+srv/cart.go|Cart|class||7|9||||
+srv/cart.go|main|function|()|19|23|0|1|0|0
+srv/cart.rs|Cart.add|method|(k: u32)|6|11|1|1|1|1
+srv/cart.rs|Cart|class||3|3||||
+srv/cart.rs|main|function|()|14|18|0|1|0|0
+web/cart.js|Cart.constructor|method|(items)|5|7|1|1|0|0
+web/cart.js|Cart.rounded|method|(x)|19|21|1|1|0|0
+web/cart.js|Cart.total|method|(tax)|9|17|1|4|3|2
+web/cart.js|Cart|class||4|22||||
+web/cart.js|price|function|(i)|24|26|1|2|0|0
+web/cart.js|show|function|(c)|28|30|1|1|0|0
+"""))
+def brace_definitions(spark, sf_dir):
+    """Functions, methods and classes in languages with braces."""
+    return program.definitions(_brace_facts(spark)).fillna("", ["detail"])
+
+
+@query("brace_imports", rows_sql("path VARCHAR, module VARCHAR, line INT", """
+lib/cart.c|cart.h|2
+lib/cart.c|stdio.h|1
+srv/Cart.java|java.util.List|2
+srv/cart.go|fmt|4
+srv/cart.rs|std::fs|1
+web/cart.js|./util|1
+web/cart.js|fs|2
+"""))
+def brace_imports(spark, sf_dir):
+    return program.imports(_brace_facts(spark)).select("path", "module", "line")
+
+
+@query("brace_calls", rows_sql("path VARCHAR, owner VARCHAR, name VARCHAR, line INT", """
+lib/cart.c|add|printf|12
+lib/cart.c|main|add|17
+srv/Cart.java|Cart.add|helper|13
+srv/cart.go|Cart.Add|fmt.Errorf|13
+srv/cart.go|main|c.Add|21
+srv/cart.go|main|run|22
+srv/cart.rs|main|c.add|16
+srv/cart.rs|main|fs.read|17
+web/cart.js|Cart.rounded|round|20
+web/cart.js|Cart.total|price|13
+web/cart.js|Cart.total|this.rounded|16
+web/cart.js|price|round|25
+web/cart.js|show|c.total|29
+web/cart.js|show|console.log|29
+web/cart.js||require|2
+"""))
+def brace_calls(spark, sf_dir):
+    return _brace_facts(spark).where("kind = 'call'").select("path", F.coalesce("owner", F.lit("")).alias("owner"), "name", "line")
+
+
+@query("brace_call_graph", rows_sql("src_file VARCHAR, src_func VARCHAR, dst_file VARCHAR, dst_func VARCHAR, call_type VARCHAR", """
+lib/cart.c|main|lib/cart.c|add|intra
+web/cart.js|Cart.total|web/cart.js|Cart.rounded|method
+web/cart.js|Cart.total|web/cart.js|price|intra
+"""))
+def brace_call_graph(spark, sf_dir):
+    """Calls that resolve in their own file."""
+    return program.call_edges(_brace_facts(spark))
+
+
+@query("brace_bases", rows_sql("path VARCHAR, owner VARCHAR, name VARCHAR", """
+srv/Cart.java|Cart|Base
+srv/Cart.java|Cart|Shown
+web/cart.js|Cart|Base
+"""))
+def brace_bases(spark, sf_dir):
+    return _brace_facts(spark).where("kind = 'base'").select("path", "owner", "name")
+
+
+@query("brace_tree", rows_sql("parent VARCHAR, children VARCHAR", """
+lib|cart.c
+shop|api.py broken.py maths.py models.py store.py views.py
+srv|Cart.java cart.go cart.rs
+tests|test_api.py
+web|cart.js
+|lib/ notes.txt shop/ srv/ tests/ web/
+"""))
+def brace_tree(spark, sf_dir):
+    """The folders of both samples."""
+    return files.tree(samples.files(spark).unionByName(samples.brace_files(spark)).select("path")).select("parent", F.array_join("children", " ").alias("children"))
+
+
+@query("brace_languages", rows_sql("language VARCHAR, n BIGINT", """
+c|1
+go|1
+javascript|1
+java|1
+python|7
+rust|1
+|1
+"""))
+def brace_languages(spark, sf_dir):
+    return samples.files(spark).unionByName(samples.brace_files(spark)).groupBy(F.coalesce(files.language_of(F.col("path")), F.lit("")).alias("language")).agg(F.count("*").alias("n"))
+
+
+@query("code_debt", rows_sql("category VARCHAR, rule VARCHAR, issues BIGINT, minutes BIGINT, hours DOUBLE, per_kloc DOUBLE, cost DOUBLE", """
+changeability|god_class|3|180|3.0|1565.2174|180.0
+changeability|high_coupling|1|20|0.3333|173.913|20.0
+changeability|long_param_list|1|15|0.25|130.4348|15.0
+maintainability|deep_nesting|6|90|1.5|782.6087|90.0
+maintainability|long_method|2|60|1.0|521.7391|60.0
+maintainability|missing_docs|30|300|5.0|2608.6957|300.0
+"""))
+def code_debt(spark, sf_dir):
+    """With thresholds as low as the sample is small."""
+    return quality.debt(samples.files(spark), _facts(spark), 60.0, coupling=1, method_lines=7, params=2, depth=0, class_methods=2)
+
+
+@query("code_all_smells", rows_sql("path VARCHAR, name VARCHAR, smell VARCHAR, detail VARCHAR", """
+shop/api.py|handle|LongParameterList|
+shop/maths.py|area|DeadCode|
+shop/maths.py|area|LongMethod|
+shop/maths.py|area|LongParameterList|
+shop/maths.py|tail|DeadCode|
+shop/models.py|Item.__init__|LongParameterList|
+shop/store.py|_old|DeadCode|
+shop/store.py|_old|LongMethod|
+shop/store.py|run|DeadCode|
+shop/store.py|save|DeadCode|
+shop/store.py|save|LongParameterList|
+shop/views.py|Bill.draw|FeatureEnvy|page:4
+shop/views.py|Bill.draw|LongParameterList|
+shop/views.py|Bill|LazyElement|1/1
+shop/views.py|Desk.write|LongParameterList|
+shop/views.py|Desk|GodClass|
+shop/views.py|Desk|MiddleMan|3/3
+shop/views.py|Log.write|LongParameterList|
+shop/views.py|Log|GodClass|
+shop/views.py|Log|LowCohesion|3
+shop/views.py|Page.line|LongParameterList|
+shop/views.py|Page|GodClass|
+shop/views.py|Page|LowCohesion|3
+shop/views.py|Quiet|RefusedBequest|0/3
+"""))
+def code_all_smells(spark, sf_dir):
+    """Every detector, with thresholds as low as the sample is small."""
+    return quality.all_smells(samples.files(spark), _facts(spark), _edges(spark), methods=2, loc=7, cc=2, params=1, depth=1)
+
+
+@query("code_habits", rows_sql("category VARCHAR, signals VARCHAR, files BIGINT, confidence DOUBLE", """
+error_handling|raise|1|0.2857
+imports|from,plain|4|1.0
+naming|snake|6|1.0
+resources|close,with|3|0.8571
+tests|test|1|0.2857
+types|annotated|1|0.2857
+validation|assert,guard|2|0.5714
+"""))
+def code_habits(spark, sf_dir):
+    """Which habits the sample has."""
+    return quality.habits(samples.files(spark), _facts(spark))
+
+
+@query("code_plan_chunks", rows_sql("path VARCHAR, part INT, first INT, last INT, size BIGINT", """
+shop/api.py|0|1|13|54
+shop/broken.py|0|1|1|2
+shop/maths.py|0|1|12|41
+shop/maths.py|1|13|18|31
+shop/models.py|0|1|6|20
+shop/models.py|1|7|21|60
+shop/models.py|2|22|30|28
+shop/models.py|3|31|35|39
+shop/store.py|0|1|13|47
+shop/store.py|1|14|18|32
+shop/store.py|2|19|31|56
+shop/store.py|3|32|39|33
+shop/views.py|0|1|11|27
+shop/views.py|1|12|25|59
+shop/views.py|2|26|41|60
+shop/views.py|3|42|50|26
+tests/test_api.py|0|1|5|23
+"""))
+def code_plan_chunks(spark, sf_dir):
+    """Parts of 60 tokens, cut between definitions."""
+    return quality.plan_chunks(samples.files(spark), _facts(spark), 60)
+
+
+@query("code_prefilter", rows_sql("path VARCHAR, may_hold BOOLEAN", """
+shop/api.py|false
+shop/broken.py|false
+shop/maths.py|true
+shop/models.py|false
+shop/store.py|true
+shop/views.py|true
+tests/test_api.py|false
+"""))
+def code_prefilter(spark, sf_dir):
+    """Files that may hold a tainted sink, by text alone."""
+    return samples.files(spark).select("path", nav.may_hold(F.col("content"), ("system", "eval", "open")).alias("may_hold"))
+
+
+@query("tool_diagnostics", rows_sql("tool VARCHAR, file VARCHAR, line_no INT, col INT, severity VARCHAR, message VARCHAR", """
+cargo|src/a.rs|3|5|warning|unused
+clang|a.c|4|1|error|no file
+dotnet|A.cs|3|9|error|CS0103: no x
+eslint|a.js|3|5|warning|no-unused
+flake8|a.py|2|1|warning|blank
+gcc|a.c|3|7|warning|unused x
+golangci|a.go|9|2|error|unused (lint)
+go|a.go|3|1|error|undefined: x
+javac|A.java|7|0|error|no symbol
+kotlinc|a.kt|3|5|warning|unused
+luacheck|a.lua|3|5|warning|unused
+mypy|a.py|3|0|error|bad type
+phpstan|a.php|12|0|error|no method
+pylint|a.py|1|0|warning|no docstring
+pyright|a.py|3|5|note|hint
+rubocop|a.rb|1|1|warning|unused
+ruff|a.py|1|8|warning|unused
+shellcheck|a.sh|3|5|note|quote
+swiftc|a.swift|3|5|error|no x
+tsc|a.ts|3|9|error|TS2304: no x
+"""))
+def tool_diagnostics(spark, sf_dir):
+    """One line of each tool that is read."""
+    return _diagnostics(spark)
+
+
+@query("ignore_rules", rows_sql("path VARCHAR, ignored BOOLEAN", """
+a.log|true
+a.py|false
+build/a.py|true
+docs/a.md|true
+keep.log|false
+x/b.log|true
+x/build/a.py|true
+x/docs/a.md|false
+"""))
+def ignore_rules(spark, sf_dir):
+    """What an ignore file leaves out."""
+    return _ignored(spark)
+
+
+@query("name_predicates", rows_sql("candidate VARCHAR, matches BOOLEAN, bot BOOLEAN, label VARCHAR, trend VARCHAR, is_test BOOLEAN", """
+a.b.run|true|true|type 1|improving|true
+runs|false|false|type 2|stable|true
+run|true|false|type 2|stable|false
+x::run|true|true|type 3|degrading|true
+"""))
+def name_predicates(spark, sf_dir):
+    """Names that match, bots, labels, trends, tests."""
+    return _predicates(spark)

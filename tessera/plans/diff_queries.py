@@ -104,7 +104,7 @@ def rollout_gate(spark, sf_dir):
     return diffs.rollout(m.withColumn("guard", F.col("metric") != "en"))
 
 
-@query("json_cache_key")
+@query("json_cache_key", """SELECT event_id, sha256('{"type":"' || event_type || '","user":"' || user_id || '"}') AS key FROM events""")
 def json_cache_key(spark, sf_dir):
     """Keys of argument maps, whatever their order."""
     from tessera.sources.sinks import cache_key

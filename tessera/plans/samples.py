@@ -173,6 +173,125 @@ def tail(path):
 FILES = (("shop/models.py", MODELS), ("shop/store.py", STORE), ("shop/api.py", API), ("shop/maths.py", MATHS), ("shop/views.py", VIEWS), ("tests/test_api.py", TESTS), ("shop/broken.py", "def :\n"))
 
 
+JS = '''import { round } from "./util";
+const fs = require("fs");
+
+export class Cart extends Base {
+  constructor(items) {
+    this.items = items;
+  }
+
+  total(tax) {
+    let sum = 0;
+    for (const i of this.items) {
+      if (i.price > 0 && i.on) {
+        sum += price(i); // if
+      }
+    }
+    return this.rounded(sum * tax);
+  }
+
+  rounded(x) {
+    return round(x);
+  }
+}
+
+function price(i) {
+  return i.price ? round(i.price) : 0;
+}
+
+export const show = (c) => {
+  console.log(c.total(1));
+};
+'''
+GO = '''package main
+
+import (
+    "fmt"
+)
+
+type Cart struct {
+    n int
+}
+
+func (c *Cart) Add(k int, v string) error {
+    if k > 1 || v == "" {
+        return fmt.Errorf("no: %s", v)
+    }
+    c.n += k
+    return nil
+}
+
+func main() {
+    c := Cart{}
+    c.Add(1, "x")
+    run("{")
+}
+'''
+RUST = '''use std::fs;
+
+pub struct Cart { n: u32 }
+
+impl Cart {
+    pub fn add(&mut self, k: u32) -> u32 {
+        match k {
+            0 => 0,
+            _ => { self.n += k; self.n }
+        }
+    }
+}
+
+fn main() {
+    let mut c = Cart { n: 0 };
+    c.add(2);
+    fs::read("x");
+}
+'''
+JAVA = '''package a;
+import java.util.List;
+
+public class Cart extends Base implements Shown {
+    private int n;
+
+    public Cart(int n) {
+        this.n = n;
+    }
+
+    public int add(List<String> k, int v) throws Bad {
+        while (v > 0) { v--; }
+        return helper(k);
+    }
+
+    abstract int helper(List<String> k);
+}
+'''
+C = '''#include <stdio.h>
+#include "cart.h"
+
+struct cart { int n; };
+
+static int add(struct cart *c, int k)
+{
+    if (k < 0) {
+        return -1;
+    }
+    c->n += k;
+    printf("%d {", c->n);
+    return c->n;
+}
+
+int main(void) {
+    return add(0, 1);
+}
+'''
+BRACES = (("web/cart.js", JS), ("srv/cart.go", GO), ("srv/cart.rs", RUST), ("srv/Cart.java", JAVA), ("lib/cart.c", C), ("notes.txt", "no code {"))
+
+
+def brace_files(spark: SparkSession) -> DataFrame:
+    """(path, content): files in languages with braces, and one that is none."""
+    return spark.createDataFrame(list(BRACES), "path string, content string")
+
+
 def files(spark: SparkSession) -> DataFrame:
     """(path, content): the project; seven files, one of which does not parse."""
     return spark.createDataFrame(list(FILES), "path string, content string")

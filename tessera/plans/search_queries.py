@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.operators import search
+from tessera.operators import search, vectors
 from tessera.plans.registry import query
-from tessera.session import table
+from tessera.session import shared_dir, table
 
 TERMS = ["the", "and", "la", "tion", "und"]
 
@@ -175,3 +177,21 @@ def naming_styles(spark, sf_dir):
 
     toks = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]+"), 0)).alias("tok")).distinct()
     return toks.groupBy(naming_style(F.col("tok")).alias("style")).agg(F.count("*").alias("n"))
+
+
+QUESTION = "the state of the and la"
+#: Each text's hashed counts: md5's first four hex digits give a token's place, the fifth its sign.
+HASH_SQL = """hashed AS (SELECT id, ('0x' || left(md5(tok), 4))::INT % 64 AS place, sum(CASE WHEN ('0x' || substr(md5(tok), 5, 1))::INT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (SELECT id, unnest(toks) AS tok FROM texts) GROUP BY ALL),
+ norms AS (SELECT id, sqrt(sum(x * x)) AS norm FROM hashed GROUP BY id)"""
+
+
+@query("vector_store_search", f"""WITH texts AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda w: strlen(w) >= 2) AS toks FROM documents
+  UNION ALL SELECT -1, list_filter(regexp_extract_all('{QUESTION}', '[a-z0-9_]+'), lambda w: strlen(w) >= 2)), {HASH_SQL},
+ s AS (SELECT d.doc_id AS key, coalesce(any_value(CASE WHEN n.norm > 1e-6 THEN t.dot / (n.norm * q.norm) END), 0) AS score FROM documents d LEFT JOIN norms n ON n.id = d.doc_id
+  LEFT JOIN (SELECT a.id, sum(a.x * b.x) AS dot FROM hashed a JOIN hashed b ON a.place = b.place AND b.id = -1 GROUP BY a.id) t ON t.id = d.doc_id, (SELECT norm FROM norms WHERE id = -1) q GROUP BY d.doc_id)
+SELECT key, round(score, 6) AS score FROM s ORDER BY s.score DESC, key LIMIT 10""")
+def vector_store_search(spark, sf_dir):
+    """Documents embedded by hashing, published as a generation and searched."""
+    store = vectors.VectorStore(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", vectors.HashEmbedder(64))
+    store.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))
+    return store.search(QUESTION, 10).select("key", F.round("score", 6).alias("score"))

@@ -19,8 +19,25 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
 
 
-def walk(spark: SparkSession, root: str, hidden: bool = False, exclude: tuple[str, ...] = (), ignore: tuple[str, ...] = EXCLUDED, most_bytes: int = 5_000_000) -> DataFrame:
-    """(path, content, language, status): files below a root.
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether an ignore file's lines leave a path out: the last that matches decides, ! takes back, / at the end means folders.
+
+    A pattern with a slash inside is taken from the root, others from anywhere.
+    """
+    out = F.lit(False)
+    for p in (x.strip() for x in patterns):
+        if not p or p.startswith("#"):
+            continue
+        back, p = p.startswith("!"), p.removeprefix("!")
+        folder, p = p.endswith("/"), p.rstrip("/")
+        body = glob_to_regex(p.removeprefix("/"))[1:-1]
+        begin = "^" if "/" in p else "(^|/)"
+        out = F.when(path.rlike(f"{begin}{body}{'/' if folder else '(/|$)'}"), not back).otherwise(out)
+    return out
+
+
+def walk(spark: SparkSession, root: str, hidden: bool = False, exclude: tuple[str, ...] = (), ignore: tuple[str, ...] = EXCLUDED, most_bytes: int = 5_000_000, ignore_file: str | None = ".gitignore") -> DataFrame:
+    """(path, content, language, status): files below a root, but for those that its ignore file names.
 
     status is ok, oversize, binary (a zero byte) or lossy (not UTF-8); content
     is null unless ok or lossy. One bad file never fails the scan.
@@ -32,10 +49,14 @@ def walk(spark: SparkSession, root: str, hidden: bool = False, exclude: tuple[st
     d = d.where(~F.exists(parts, lambda p: p.isin(*ignore)))
     if not hidden:
         d = d.where(~F.exists(parts, lambda p: p.startswith(".")))
+    if ignore_file:
+        found = raw.where(rel == ignore_file).select(F.decode("content", "UTF-8").alias("t")).first()  # one small file
+        if found:
+            d = d.where(~ignored(F.col("path"), found["t"].split("\n")))
     for g in exclude:
         d = d.where(~F.col("path").rlike(glob_to_regex(g)))
     text = F.try_validate_utf8(F.col("raw").cast("string"))
-    status = F.when(F.col("length") > most_bytes, "oversize").when(F.instr(F.hex("raw").cast("string"), "00") % 2 == 1, "binary").when(text.isNull(), "lossy").otherwise("ok")
+    status = F.when(F.col("length") > most_bytes, "oversize").when(F.contains(F.col("raw"), F.unhex(F.lit("00"))), "binary").when(text.isNull(), "lossy").otherwise("ok")
     d = d.withColumn("status", status)
     content = F.when(F.col("status") == "ok", text).when(F.col("status") == "lossy", F.make_valid_utf8(F.col("raw").cast("string")))
     return d.select("path", content.alias("content"), language_of(F.col("path")).alias("language"), "status")

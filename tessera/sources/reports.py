@@ -60,7 +60,7 @@ def git_numstat(log: DataFrame) -> DataFrame:
     return j.select(F.col("h")[0].alias("commit"), F.col("h")[1].alias("author"), F.to_date(F.substring(F.col("h")[2], 1, 10)).alias("date"), F.col("s")[2].alias("file"), number(0).alias("added"), number(1).alias("deleted"))
 
 
-BOTS = ("[bot]", "dependabot", "renovate", "github-actions", "greenkeeper", "snyk")
+BOTS = ("[bot]", "dependabot", "renovate", "github-actions", "greenkeeper", "snyk", "depfu", "codecov", "semantic-release-bot", "pre-commit-ci", "mergify")
 
 
 def is_bot(name: Column, email: Column) -> Column:
@@ -77,6 +77,22 @@ LINE_TOOLS = {
     "tsc": (r"^(.+?)\((\d+),(\d+)\): (error|warning) (.*)$", (1, 2, 3, 4, 5)),
     "ruff": (r"^(.+?):(\d+):(\d+): ([A-Z]+\d+) (.*)$", (1, 2, 3, 4, 5)),
     "go": (r"^(.+?\.go):(\d+):(\d+): ()(.*)$", (1, 2, 3, 4, 5)),
+    "clang": (r"^([^:\s]+):(\d+):(\d+): (?:fatal )?(error|warning|note): (.*)$", (1, 2, 3, 4, 5)),
+    "mypy": (r"^(.+?):(\d+):(?:(\d+):)? (error|warning|note): (.*)$", (1, 2, 3, 4, 5)),
+    "pyright": (r"^\s*(.+?):(\d+):(\d+) - (error|warning|information): (.*)$", (1, 2, 3, 4, 5)),
+    "flake8": (r"^(.+?):(\d+):(\d+): ([A-Z]+\d+) (.*)$", (1, 2, 3, 4, 5)),
+    "pylint": (r"^(.+?):(\d+):(\d+): ([A-Z]\d+): (.*)$", (1, 2, 3, 4, 5)),
+    "eslint": (r"^(.+?): line (\d+), col (\d+), (Error|Warning) - (.*)$", (1, 2, 3, 4, 5)),
+    "golangci": (r"^(.+?\.go):(\d+):(\d+): ()(.*)$", (1, 2, 3, 4, 5)),
+    "cargo": (r"^(.+?\.rs):(\d+):(\d+): (error|warning|note)(?:\[\w+\])?: (.*)$", (1, 2, 3, 4, 5)),
+    "javac": (r"^(.+?\.java):(\d+):() (error|warning): (.*)$", (1, 2, 3, 4, 5)),
+    "kotlinc": (r"^(.+?\.kts?):(\d+):(\d+): (error|warning): (.*)$", (1, 2, 3, 4, 5)),
+    "swiftc": (r"^(.+?\.swift):(\d+):(\d+): (error|warning|note): (.*)$", (1, 2, 3, 4, 5)),
+    "dotnet": (r"^(.+?)\((\d+),(\d+)\): (error|warning) (.*?)(?: \[[^\]]*\])?$", (1, 2, 3, 4, 5)),
+    "rubocop": (r"^(.+?):(\d+):(\d+): ([CWEFR]): (.*)$", (1, 2, 3, 4, 5)),
+    "luacheck": (r"^\s*(.+?):(\d+):(\d+): (?:\()?([EW]\d+)(?:\))? (.*)$", (1, 2, 3, 4, 5)),
+    "phpstan": (r"^(.+?\.php):(\d+):()()(.*)$", (1, 2, 3, 4, 5)),
+    "shellcheck": (r"^(.+?):(\d+):(\d+): (error|warning|note): (.*)$", (1, 2, 3, 4, 5)),
 }
 
 
@@ -85,8 +101,9 @@ def diagnostics(lines: DataFrame, tool: str) -> DataFrame:
     pattern, g = LINE_TOOLS[tool]
     d = lines.where(F.col("line").rlike(pattern))
     x = lambda i: F.regexp_extract("line", pattern, g[i])
-    severity = F.when(x(3).isin("error", "warning", "note"), x(3)).when(x(3).startswith("E"), "error").when(x(3) == "", "error").otherwise("warning")
-    return d.select(x(0).alias("file"), x(1).cast("int").alias("line_no"), x(2).cast("int").alias("column"), severity.alias("severity"), x(4).alias("message"))
+    said = F.lower(x(3))
+    severity = F.when(said.isin("error", "warning", "note"), said).when(said == "information", "note").when(x(3).rlike(r"^E|^F(\d{4})?$"), "error").when(x(3) == "", "error").otherwise("warning")
+    return d.select(x(0).alias("file"), x(1).try_cast("int").alias("line_no"), x(2).try_cast("int").alias("column"), severity.alias("severity"), x(4).alias("message"))
 
 
 def exit_code(found: DataFrame, strict: bool = False) -> DataFrame:

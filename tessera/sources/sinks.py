@@ -28,8 +28,8 @@ def sarif(findings: DataFrame) -> DataFrame:
 
 
 def cache_key(args: Column) -> Column:
-    """A hash of a map of arguments that does not depend on their order."""
-    return F.xxhash64(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(args)))))
+    """The sha256 of a map of arguments as JSON with sorted keys, so that their order does not matter."""
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(args)))), 256)
 
 
 class Generations:
@@ -84,6 +84,21 @@ class Generations:
         self._log(gen, name, row["path"], row["digest"])
 
 
+    def prune(self, name: str) -> int:
+        """Delete the files of all but the newest keep generations and the current one; returns how many went.
+
+        The manifest keeps their rows, so numbers are never used again.
+        """
+        now = self.current(name)
+        rows = self.manifest().where(F.col("name") == name).select("gen", "path").distinct().orderBy(F.desc("gen")).collect()  # one a generation
+        jvm, gone = self.spark.sparkContext._jvm, 0
+        for r in rows[self.keep :]:
+            if now is None or r["path"] != now[1]:
+                at = jvm.org.apache.hadoop.fs.Path(r["path"])
+                gone += bool(at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+        return gone
+
+
 def upsert(old: DataFrame, changed: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """The old rows whose key neither changed nor went, and the new ones."""
     gone = changed.select(key).unionByName(deleted.select(key)).distinct()
