@@ -50,9 +50,13 @@ def walk(spark: SparkSession, root: str, hidden: bool = False, exclude: tuple[st
     if not hidden:
         d = d.where(~F.exists(parts, lambda p: p.startswith(".")))
     if ignore_file:
-        found = raw.where(rel == ignore_file).select(F.decode("content", "UTF-8").alias("t")).first()  # one small file
-        if found:
-            d = d.where(~ignored(F.col("path"), found["t"].split("\n")))
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{ignore_file}")
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if store.exists(at):  # one small file; Spark's own readers skip hidden ones
+            opened = store.open(at)
+            lines = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8").split("\n")
+            opened.close()
+            d = d.where(~ignored(F.col("path"), lines))
     for g in exclude:
         d = d.where(~F.col("path").rlike(glob_to_regex(g)))
     text = F.try_validate_utf8(F.col("raw").cast("string"))
