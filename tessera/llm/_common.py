@@ -73,14 +73,26 @@ def stage_table(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         df = df.coalesce(max(1, shuffle_partitions(spark) // 8))
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the staged tables of earlier calls, once their results are written."""
+#: Tables that this process has staged and not dropped, in order.
+_STAGED: list[str] = []
+
+
+def staged_tables() -> list[str]:
+    return list(_STAGED)
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that this process has staged, once all results that read them are written; tables of others stay."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/staged")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in paths:
+        if path in _STAGED:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _STAGED.remove(path)
 
 
 def collapsed(d: DataFrame, most: int, name: str) -> tuple[DataFrame, bool]:
