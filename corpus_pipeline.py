@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, langid, mixing, near_dup, suffix_dedup
-from tessera.llm._common import read, stage_table
+from tessera.llm._common import drop_staged, read, stage_table, staged_tables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents of a folder. What a stage has staged goes once its result is written."""
+    docs, before = read(spark, sf_dir, "documents"), set(staged_tables())
     for name, stage in STAGES[:-1]:
         docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        own = staged_tables()[-1]
+        drop_staged(spark, [p for p in staged_tables() if p not in before and p != own])
     return STAGES[-1][1](spark, docs, sf_dir)
