@@ -1,4 +1,4 @@
-"""Queries over the sample project; their rows are known by hand and stand beside them."""
+"""Queries over the sample project; the rows beside them were made once and read against the sample by eye."""
 
 from __future__ import annotations
 

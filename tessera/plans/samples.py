@@ -1,4 +1,4 @@
-"""A small invented project, the fixed code corpus of the code queries, and SQL for rows that are known by hand."""
+"""A small invented project, the fixed code corpus of the code queries, and SQL for rows that are written out."""
 
 from __future__ import annotations
 
@@ -298,7 +298,7 @@ def files(spark: SparkSession) -> DataFrame:
 
 
 def rows_sql(columns: str, rows: str) -> str:
-    """SQL of rows that are known by hand: a line a row, columns apart by |; a column is "name type", empty text is null but for strings."""
+    """SQL of rows that are written out: a line a row, columns apart by |; a column is "name type", empty text is null but for strings."""
     names = [c.split() for c in columns.split(", ")]
 
     def cell(value: str, kind: str) -> str:
