@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import staged
+
 RENAME_AT = 0.8
 
 
@@ -34,8 +36,8 @@ def structural(old: DataFrame, new: DataFrame, threshold: float = RENAME_AT) ->
     else nothing. What is left over is renamed where similarity reaches the
     threshold, each definition to its best partner if they choose each other
     (ties by name); the rest was deleted or inserted. Candidates for a rename
-    share a kind and a line, so no kind is multiplied out; definitions of one
-    or two lines share a byte bigram instead.
+    are distinct bodies that share a kind and a line, so neither a kind nor equal
+    bodies are multiplied out; bodies of one or two lines share a byte bigram instead.
     """
     a = old.select("kind", "name", F.col("line").alias("l_line"), F.col("body").alias("l_body"))
     b = new.select("kind", "name", F.col("line").alias("r_line"), F.col("body").alias("r_body"))
@@ -44,14 +46,18 @@ def structural(old: DataFrame, new: DataFrame, threshold: float = RENAME_AT) ->
     same = both.select("kind", F.col("name").alias("old_name"), F.col("name").alias("new_name"), change.alias("change")).where("change is not null")
     gone = a.join(b, ["kind", "name"], "left_anti").select("kind", F.col("name").alias("old_name"), "l_body")
     come = b.join(a, ["kind", "name"], "left_anti").select("kind", F.col("name").alias("new_name"), "r_body")
+    # definitions of one kind with equal bodies are alike to the same others, so bodies are compared, once each
+    bodies = lambda d, body, name, first: staged(d.where(F.col(name).isNotNull()).groupBy("kind", body).agg(F.min(name).alias(first)), "diff-bodies")
+    l_bodies, r_bodies = bodies(gone, "l_body", "old_name", "l_first"), bodies(come, "r_body", "new_name", "r_first")
     parts = lambda c: F.explode(F.array_distinct(F.concat(F.split(c, "\n"), F.when(F.size(F.split(c, "\n")) <= 2, _bigrams(F.col(c))).otherwise(F.array().cast("array<string>")))))
-    met = gone.select("kind", "old_name", parts("l_body").alias("part")).join(come.select("kind", "new_name", parts("r_body").alias("part")), ["kind", "part"]).select("kind", "old_name", "new_name").distinct()
-    scored = met.join(gone, ["kind", "old_name"]).join(come, ["kind", "new_name"]).withColumn("s", text_similarity(F.col("l_body"), F.col("r_body"))).where(F.col("s") >= threshold)
-    best = scored.withColumns({
-        "l": F.row_number().over(Window.partitionBy("kind", "old_name").orderBy(F.desc("s"), "new_name")),
-        "r": F.row_number().over(Window.partitionBy("kind", "new_name").orderBy(F.desc("s"), "old_name")),
-    })
-    renamed = best.where("l = 1 and r = 1").select("kind", "old_name", "new_name", F.lit("rename").alias("change"))
+    met = l_bodies.select("kind", "l_body", parts("l_body").alias("part")).join(r_bodies.select("kind", "r_body", parts("r_body").alias("part")), ["kind", "part"]).select("kind", "l_body", "r_body").distinct()
+    scored = met.withColumn("s", text_similarity(F.col("l_body"), F.col("r_body"))).where(F.col("s") >= threshold)
+    scored = staged(scored.join(l_bodies, ["kind", "l_body"]).join(r_bodies, ["kind", "r_body"]), "diff-alike")
+    # of the bodies most alike to its own, a definition's best partner has the one whose first name is least
+    lead = lambda body, first: scored.groupBy("kind", body).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col(first).alias("name"))).alias("best"))
+    choose = lambda d, body, name, first, other: d.join(lead(body, first), ["kind", body]).groupBy("kind", name).agg(F.min("best")["name"].alias(other))
+    l_best, r_best = choose(gone, "l_body", "old_name", "r_first", "new_name"), choose(come, "r_body", "new_name", "l_first", "old_name")
+    renamed = l_best.join(r_best, ["kind", "old_name", "new_name"]).select("kind", "old_name", "new_name", F.lit("rename").alias("change"))
     none = F.lit(None).cast("string")
     out = gone.join(renamed, ["kind", "old_name"], "left_anti").select("kind", "old_name", none.alias("new_name"), F.lit("delete").alias("change"))
     into = come.join(renamed, ["kind", "new_name"], "left_anti").select("kind", none.alias("old_name"), "new_name", F.lit("insert").alias("change"))

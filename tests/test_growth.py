@@ -44,3 +44,83 @@ def test_clones_in_many_blocks(spark, monkeypatch, threshold):
 def test_clones_of_nothing(spark):
     assert relations.near_clones(spark.createDataFrame([(1, [])], "id string, tokens array<string>"), 0.7).count() == 0
     assert [tuple(r) for r in relations.near_clones(spark.createDataFrame([("x", ["q"]), ("y", ["q"])], "id string, tokens array<string>"), 0.7).collect()] == [("x", "y", 1.0)]
+
+
+@pytest.fixture
+def spied(monkeypatch):
+    """How many rows each named table of intermediate results had."""
+    from tessera.operators import diffs
+    from tessera.plans import relation_queries
+
+    seen = {}
+
+    def spy(module):
+        real = module.staged
+
+        def put(df, name):
+            out = real(df, name)
+            seen[name] = seen.get(name, 0) + out.count()
+            return out
+
+        monkeypatch.setattr(module, "staged", put)
+
+    for m in (diffs, relation_queries):
+        spy(m)
+    return seen
+
+
+def test_renames_of_equal_bodies(spark, spied):
+    """Of many definitions with one body, only the first on either side can be best partners; candidates are bodies."""
+    from tessera.operators import diffs
+
+    old = [("f", f"a{i:02}", 1, "return the total") for i in range(40)] + [("f", "z", 1, "x = 1\ny = 2\nz = 3\nw = 4"), ("g", "p", 1, "return the total"), ("f", "n", 1, None), ("f", "s", 1, "return the totals")]
+    new = [("f", f"b{i:02}", 1, "return the total") for i in range(50)] + [("f", "q", 1, "x = 1\ny = 2\nz = 3\nw = 4\nv = 5"), ("h", "p", 1, "return the total"), ("f", "m", 1, None)]
+    make = lambda rows: spark.createDataFrame(rows, "kind string, name string, line int, body string")
+    got = [tuple(r) for r in diffs.structural(make(old), make(new)).collect()]
+    assert sorted(r[1:3] for r in got if r[3] == "rename") == [("a00", "b00"), ("z", "q")]
+    assert Counter(r[3] for r in got) == {"rename": 2, "delete": 42, "insert": 51}
+    assert spied["diff-bodies"] == 5 + 4 and spied["diff-alike"] == 3
+
+
+def parts_at(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_copies_of_parts(spark, tmp_path, spied):
+    """All pairs where SQL asks for them, though only classes are compared; else copies are linked to their first."""
+    import duckdb
+
+    from tessera.plans import registry
+
+    rows = [(i, "x", "t", 10, 900.0) for i in range(30)] + [(i, "x", "t", 11, 900.0) for i in range(30, 40)] + [(40, "x", "t", None, 900.0), (41, None, "t", 10, 900.0), (42, None, "t", 10, 900.0), (43, None, None, 10, 900.0), (44, "x", None, 10, 900.0), (45, "x", None, 10, 900.0)]
+    sf = parts_at(spark, tmp_path, rows)
+    duck = duckdb.connect()
+    duck.execute(f"create view part as from '{sf}/part.parquet/*.parquet'")
+    want = sorted(duck.execute(registry.ORACLES["pairwise_similarity"]).fetchall())
+    got = sorted(tuple(r) for r in registry.QUERIES["pairwise_similarity"](spark, sf).collect())
+    assert len(want) == 40 * 39 // 2 and [r[:2] for r in got] == [r[:2] for r in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want))
+    assert spied["part-links"] == 3
+    got = {(r["a"], r["b"]): r["score"] for r in registry.QUERIES["pairwise_similarity_all"](spark, sf).collect()}
+    between = {(0, 30): 0.972727, (0, 41): 0.7, (0, 44): 0.8, (30, 44): 0.772727}
+    own = {(0, i): 1.0 for i in range(1, 30)} | {(30, i): 1.0 for i in range(31, 40)} | {(41, 42): 0.7, (44, 45): 0.8}
+    assert got == pytest.approx(between | own)
+
+
+def test_bursts_as_in_sql(spark, tmp_path):
+    """Ties, times at the edges of slices, and events without a time, of which forty-one count each other."""
+    import datetime as dt
+
+    import duckdb
+
+    from tessera.plans import registry
+
+    rng, zero = random.Random(2), dt.datetime(2024, 1, 1)
+    at = [dt.timedelta(minutes=15 * rng.randrange(40), microseconds=rng.choice((-1, 0, 0, 1, rng.randrange(10**9)))) for _ in range(600)]
+    rows = [(i, zero + x) for i, x in enumerate(at)] + [(1000 + i, zero - dt.timedelta(days=20000)) for i in range(41)] + [(2000 + i, None) for i in range(41)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(duck.execute(registry.ORACLES["rolling_burst"]).fetchall())
+    got = sorted(tuple(r) for r in registry.QUERIES["rolling_burst"](spark, str(tmp_path)).collect())
+    assert len(want) > 300 and want[-1] == (2040, 41) and got == want
