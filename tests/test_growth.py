@@ -42,6 +42,24 @@ def test_clones_in_many_blocks(spark, monkeypatch, threshold):
     assert all(r["dice"] == pytest.approx(want[r["a"], r["b"]]) for r in got)
 
 
+def test_blocks_of_clones_add_no_shuffle(spark, monkeypatch):
+    """Bags are not dealt out once for each block near them in size."""
+    rng = random.Random(5)
+    bags = spark.createDataFrame([(i, [f"w{rng.randrange(4000)}" for _ in range(40 + i % 3)]) for i in range(120)], "id int, tokens array<string>")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled(tokens):
+        monkeypatch.setattr(relations, "BLOCK_TOKENS", tokens)
+        written = []
+        for run in (lambda: None, lambda: relations.near_clones(bags, 0.7).count()):
+            run()
+            context.listenerBus().waitUntilEmpty(30_000)
+            written.append(context.statusStore().executorList(False).apply(0).totalShuffleWrite())
+        return written[1] - written[0]
+
+    assert shuffled(600) < 1.2 * shuffled(10_000)
+
+
 def test_clones_of_nothing(spark):
     assert relations.near_clones(spark.createDataFrame([(1, [])], "id string, tokens array<string>"), 0.7).count() == 0
     assert [tuple(r) for r in relations.near_clones(spark.createDataFrame([("x", ["q"]), ("y", ["q"])], "id string, tokens array<string>"), 0.7).collect()] == [("x", "y", 1.0)]
