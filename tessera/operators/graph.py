@@ -7,14 +7,17 @@ stays short and a lost executor costs a round at most.
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.session import staged
+from tessera.session import shared_dir, staged
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,6 +25,139 @@ def cut(df: DataFrame) -> DataFrame:
     return staged(df, "graph")
 
 
+#: Edges in a block of a graph, about; bits of a number that count nodes within a block.
+BLOCK_EDGES, LOW_BITS = 1_000_000, 33
+#: Rounds after which a state's lineage is cut in the shared folder.
+CUT_ROUNDS = 20
+
+
+class Blocks:
+    """A graph in blocks of nodes near in order, over which values are pushed along the edges, block by block in arrays.
+
+    Edges are moved once, to the block that they come from; a round moves a number
+    for each node that a block's edges lead to. Which number stands for which node
+    is agreed on beforehand. Blocks and states are persisted RDDs of one element a
+    partition, and are made anew from the staged edges if an executor is lost;
+    close() drops them. A state is a dict of arrays by node.
+    """
+
+    def __init__(self, edges: DataFrame, both: bool = False):
+        self.spark = edges.sparkSession
+        cores = self.spark.sparkContext.defaultParallelism
+        self.held: list[RDD] = []
+        self.rounds = 0
+        many = min(max(2 * cores, edges.count() // BLOCK_EDGES), 1 << 16)
+        every = nodes(edges).where("node is not null").repartitionByRange(many, "node").sortWithinPartitions("node")
+        self.numbered = cut(every.select("node", F.monotonically_increasing_id().alias("number")))
+        block = F.shiftright("number", LOW_BITS).cast("int")
+        self.sizes = {r["b"]: r["c"] for r in self.numbered.groupBy(block.alias("b")).agg(F.count("*").alias("c")).collect()}  # a row for each block
+        self.many, self.n = max(self.sizes, default=-1) + 1, sum(self.sizes.values())
+        if not self.n:
+            return
+        source, target = self.numbered.select(F.col("node").alias("src"), F.col("number").alias("s")), self.numbered.select(F.col("node").alias("dst"), F.col("number").alias("d"))
+        coded = cut(edges.join(source, "src").join(target, "dst").select("s", "d"))
+        self.forward = self._built(coded.select("s", "d"))
+        self.backward = self._built(coded.select(F.col("d").alias("s"), F.col("s").alias("d"))) if both else None
+
+    def _keep(self, rdd: RDD) -> RDD:
+        self.held.append(rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1)).persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
+    def _built(self, coded: DataFrame) -> RDD:
+        many, sizes = self.many, self.sizes
+
+        def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, count = [], 0
+            for frame in itertools.chain(frames, [None]):
+                if frame is not None:
+                    held.append(frame.to_numpy(dtype=np.int64))
+                    count += len(frame)
+                if held and (frame is None or count >= BLOCK_EDGES):
+                    pairs = np.concatenate(held)
+                    pairs = pairs[np.argsort(pairs[:, 0] >> LOW_BITS, kind="stable")]
+                    names, begins = np.unique(pairs[:, 0] >> LOW_BITS, return_index=True)
+                    yield pd.DataFrame({"b": names.astype(np.int32), "pairs": [x.tobytes() for x in np.split(pairs, begins[1:])]})
+                    held, count = [], 0
+
+        def block(b: int, found: Iterator) -> Iterator[dict]:
+            pairs = np.concatenate([np.empty((0, 2), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 2) for _, x in found)])
+            pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
+            targets, begins = np.unique(pairs[:, 1], return_index=True)
+            source = (pairs[:, 0] & ((1 << LOW_BITS) - 1)).astype(np.int32)
+            to, cuts = np.unique(targets >> LOW_BITS, return_index=True)
+            n = sizes.get(b, 0)
+            yield {"b": b, "n": n, "source": source, "begins": begins, "to": to.tolist(), "cuts": cuts[1:], "targets": (targets & ((1 << LOW_BITS) - 1)).astype(np.int32), "degree": np.bincount(source, minlength=n)}
+
+        rows = coded.mapInPandas(dealt, "b int, pairs binary").rdd.map(lambda r: (r[0], bytes(r[1])))
+        built = self._keep(rows.partitionBy(many, int).mapPartitionsWithIndex(block))
+        told = built.flatMap(lambda x: [(k, (x["b"], t)) for k, t in zip(x["to"], np.split(x["targets"], x["cuts"]))]).partitionBy(many, int)
+        told = told.mapPartitions(lambda found: [{b: t for _, (b, t) in found}])
+        return self._keep(built.zip(self._one(told)).map(lambda x: {**{k: v for k, v in x[0].items() if k != "targets"}, "places": x[1]}))
+
+    @staticmethod
+    def _one(rdd: RDD) -> RDD:
+        return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
+
+    def state(self, first: Callable[[dict], dict]) -> RDD:
+        """A state made from each block: its number b, its n nodes and their degree."""
+        return self._keep(self.forward.map(first))
+
+    def push(self, state: RDD, value: Callable[[dict, dict], np.ndarray], op: np.ufunc, nothing, absorb: Callable[[dict, dict, np.ndarray], dict], back: bool = False) -> RDD:
+        """The state after each node's value has gone along its edges, and absorb has got what op makes of those that arrive (nothing if none do)."""
+        blocks = self.backward if back else self.forward
+
+        def send(pair: tuple[dict, dict]) -> list[tuple]:
+            x, old = pair
+            if not len(x["source"]):
+                return []
+            return [(k, (x["b"], v)) for k, v in zip(x["to"], np.split(op.reduceat(value(x, old)[x["source"]], x["begins"]), x["cuts"]))]
+
+        def receive(triple: tuple) -> dict:
+            (x, old), sent = triple
+            got = np.full(x["n"], nothing)
+            for _, (b, v) in sorted(sent, key=lambda m: m[1][0]):
+                at = x["places"][b]
+                got[at] = op(got[at], v)
+            return absorb(x, old, got)
+
+        sent = blocks.zip(state).flatMap(send).partitionBy(self.many, int).mapPartitions(lambda found: [list(found)])
+        new = self._keep(self._one(blocks.zip(state)).zip(self._one(sent)).map(receive))
+        self.rounds += 1
+        if self.rounds % CUT_ROUNDS == 0:
+            context = self.spark.sparkContext
+            if not context.getCheckpointDir():
+                context.setCheckpointDir(shared_dir(self.spark))
+            new.checkpoint()
+        return new
+
+    def total(self, state: RDD, of: Callable[[dict], float]) -> float:
+        return state.map(of).sum()
+
+    def drop(self, state: RDD) -> None:
+        state.unpersist()
+        self.held.remove(state)
+
+    def table(self, state: RDD, name: str, kind: str, where: str | None = None) -> DataFrame:
+        """(number, name) of the state's array of that name, where another is true."""
+
+        def row(b: int, found: Iterator[dict]) -> Iterator[tuple]:
+            for x in found:
+                at = np.arange(len(x[name])) if where is None else np.flatnonzero(x[where])
+                yield bytearray(((b << LOW_BITS) + at).astype(np.int64).tobytes()), bytearray(x[name][at].tobytes())
+
+        def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for number, x in zip(frame["number"], frame["x"]):
+                    yield pd.DataFrame({"number": np.frombuffer(number, np.int64), name: np.frombuffer(x, np.float64 if kind == "double" else np.int64)})
+
+        return self.spark.createDataFrame(state.mapPartitionsWithIndex(row), "number binary, x binary").mapInPandas(rows, f"number long, {name} {kind}")
+
+    def close(self) -> None:
+        for rdd in self.held:
+            rdd.unpersist()
+        self.held = []
+
+
 def by_maximum(df: DataFrame, column: str) -> DataFrame:
     """The column divided by its maximum, which is one row beside the table; no task sees all rows."""
     top = df.agg(F.max(column).alias("__top"))
@@ -61,26 +197,30 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 150, epsilon: float = 1e-5) -> DataFrame:
     """(node, score): PageRank with evenly spread dangling mass, divided by its maximum.
 
-    Stops when no score moves by epsilon or more; epsilon 0 runs all rounds. A
-    round reads the scores three times, so each round's are cut off.
+    Stops when no score moves by epsilon or more; epsilon 0 runs all rounds. Scores
+    go along the edges in blocks.
     """
-    out = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    weighted = cut(edges.join(out, "src"))
-    base = cut(nodes(weighted).join(out, F.col("node") == F.col("src"), "left").select("node", F.col("deg").isNull().alias("dangling")))
-    n = base.count()
+    blocks = Blocks(cut(edges.select("src", "dst")))
+    n = blocks.n
     if not n:
-        return base.select("node", F.lit(1.0).alias("score"))
-    rank = base.select("node", "dangling", F.lit(1.0 / n).alias("rank"))
+        return blocks.numbered.select("node", F.lit(1.0).alias("score"))
+    state = blocks.state(lambda x: {"rank": np.full(x["n"], 1.0 / n), "lost": float((x["degree"] == 0).sum()) / n, "moved": 1.0})
     for _ in range(rounds):
-        sent = rank.join(weighted, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        new = rank.join(sent, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # one row
-        new = new.select("node", "dangling", F.col("rank").alias("old"), (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        new = cut(new)
-        rank = new.drop("old")
-        if epsilon and new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < epsilon:
+        lost = blocks.total(state, lambda s: s["lost"])
+
+        def absorb(x: dict, old: dict, got: np.ndarray, lost=lost) -> dict:
+            rank = (1 - damping) / n + damping * (got + lost / n)
+            return {"rank": rank, "lost": float(rank[x["degree"] == 0].sum()), "moved": float(np.abs(rank - old["rank"]).max(initial=0))}
+
+        new = blocks.push(state, lambda x, s: s["rank"] / np.maximum(x["degree"], 1), np.add, 0.0, absorb)
+        moved = new.map(lambda s: s["moved"]).max()
+        blocks.drop(state)
+        state = new
+        if epsilon and moved < epsilon:
             break
-    return by_maximum(rank.select("node", F.col("rank").alias("score")), "score")
+    rank = cut(blocks.table(state, "rank", "double"))
+    blocks.close()
+    return by_maximum(blocks.numbered.join(rank, "number").select("node", F.col("rank").alias("score")), "score")
 
 
 def betweenness(edges: DataFrame, max_nodes: int = 5000, sources: int | None = None) -> DataFrame:

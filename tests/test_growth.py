@@ -168,3 +168,38 @@ def test_single_questions_build_no_index(spark, tmp_path):
         counts.update(w for w in (t or "").split() if len(w) > 1)
     assert {r["term"]: r["n"] for r in at.postings.groupBy("term").agg(F.sum("tf").alias("n")).collect()} == counts
     assert {tuple(r) for r in at.postings.where("term = 'tion'").select("doc_id", "tf", "len").collect()} == {(4, 3, 6), (5, 1, 5), (8, 1, 1), (50, 1, 4)}
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Bytes that a call shuffles, where no join is small enough to be broadcast."""
+    context = spark.sparkContext._jsc.sc()
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in keys:
+        spark.conf.set(k, "-1")
+
+    def measure(call):
+        written = []
+        for run in (lambda: None, lambda: call().count()):
+            run()
+            context.listenerBus().waitUntilEmpty(30_000)
+            written.append(context.statusStore().executorList(False).apply(0).totalShuffleWrite())
+        return written[1] - written[0]
+
+    yield measure
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def dense(spark, n=300, edges=60_000):
+    rng = random.Random(6)
+    return spark.createDataFrame(sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(edges)}), "src long, dst long")
+
+
+def test_rounds_of_ranks_leave_edges_where_they_are(spark, shuffled):
+    from tessera.operators import graph
+
+    e = dense(spark)
+    once = shuffled(lambda: e.repartition(8, "dst"))
+    few, more = (shuffled(lambda: graph.pagerank(e, rounds=n, epsilon=0)) for n in (1, 5))
+    assert more - few < 2 * once
