@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark import RDD, StorageLevel
 from pyspark.serializers import BatchedSerializer, CPickleSerializer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.session import shared_dir, staged
 
@@ -27,6 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: Edges in a block of a graph, about; bits of a number that count nodes within a block.
 BLOCK_EDGES, LOW_BITS = 1_000_000, 33
+#: Rows of a partition in which the methods of a field are put in order, about.
+FIELD_ROWS = 1_000_000
 #: Rounds after which a state's lineage is cut in the shared folder.
 CUT_ROUNDS = 20
 
@@ -436,15 +438,24 @@ def diamonds(parents: DataFrame) -> DataFrame:
 def lcom4(members: DataFrame) -> DataFrame:
     """(cls, lcom4) of (cls, method, field): components of a class's methods linked by a common field.
 
-    A method without fields is a component of its own. Labels spread over the
-    bipartite graph of all classes at once until none changes, halving chains
-    by taking the label's own label.
+    A method without fields is a component of its own. Of the methods of a field each
+    is linked to the one before it, in partitions of FIELD_ROWS, so that rows go
+    past in order and only links are gathered; labels spread over those, of all
+    classes at once, until none changes, halving chains by taking the label's own
+    label.
     """
-    m = cut(members.select("cls", "method", "field").distinct())
-    lab = cut(m.select("cls", "method").distinct().withColumn("label", F.col("method")))
+    m = cut(members.select("cls", "method", "field"))
+    lone = F.when(F.col("field").isNull(), F.monotonically_increasing_id())
+    keys = ["field", "cls", "lone"]
+    many = max(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), m.count() // FIELD_ROWS)
+    before = F.lag("method").over(Window.partitionBy(*keys).orderBy("method"))
+    links = m.withColumn("lone", lone).repartition(many, *keys).select("cls", "method", before.alias("other"))
+    links = cut(links.withColumn("other", F.when(F.col("other") != F.col("method"), F.col("other"))).distinct())
+    lab = cut(links.select("cls", "method").distinct().withColumn("label", F.col("method")))
+    links = links.where("other is not null and cls is not null")
+    ends = cut(links.select("cls", "method", "other").union(links.select("cls", "other", "method")).distinct())
     while True:
-        by_field = m.where("field is not null").join(lab, ["cls", "method"]).groupBy("cls", "field").agg(F.min("label").alias("f_label"))
-        new = m.join(by_field, ["cls", "field"]).groupBy("cls", "method").agg(F.min("f_label").alias("n_label"))
+        new = ends.join(lab.select("cls", F.col("method").alias("other"), "label"), ["cls", "other"]).groupBy("cls", "method").agg(F.min("label").alias("n_label"))
         step = lab.join(new, ["cls", "method"], "left").select("cls", "method", "label", F.least("label", F.coalesce("n_label", "label")).alias("new"))
         jump = step.select("cls", F.col("method").alias("new"), F.col("new").alias("far"))
         step = cut(step.join(jump, ["cls", "new"], "left").select("cls", "method", "label", F.least("new", F.coalesce("far", "new")).alias("new")))

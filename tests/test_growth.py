@@ -203,3 +203,28 @@ def test_rounds_of_ranks_leave_edges_where_they_are(spark, shuffled):
     once = shuffled(lambda: e.repartition(8, "dst"))
     few, more = (shuffled(lambda: graph.pagerank(e, rounds=n, epsilon=0)) for n in (1, 5))
     assert more - few < 2 * once
+
+
+def test_links_of_methods_are_taken_once(spark, shuffled):
+    """Rounds go over links between methods, not over members; fields and methods may be null."""
+    from tessera.operators import graph
+
+    rng = random.Random(7)
+    rows = [(i % 5, i % 5 + 5 * (f % 40), f) for f, i in ((rng.randrange(8000), rng.randrange(100)) for _ in range(30_000))]
+    rows += [(0, 9_000, None), (0, 9_001, None), (0, 9_000, 77_777), (0, None, 77_778), (1, 9_000, 77_777), (9, 1, None)]
+    m = spark.createDataFrame(rows, "cls long, method long, field long")
+    once = shuffled(lambda: m.repartition(8, "field"))
+    assert shuffled(lambda: graph.lcom4(m)) < 3 * once
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for c, x, f in rows:
+        if x is not None:
+            up[top((c, x))] = top((c, "f", f)) if f is not None else top((c, x))
+    want = {c: len({top((c, x)) for k, x, _ in rows if k == c and x is not None}) for c in {r[0] for r in rows}}
+    assert {r["cls"]: r["lcom4"] for r in graph.lcom4(m).collect()} == want
