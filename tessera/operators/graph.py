@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark import RDD, StorageLevel
 from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.session import shared_dir, staged
 
@@ -27,6 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: Edges in a block of a graph, about; bits of a number that count nodes within a block.
 BLOCK_EDGES, LOW_BITS = 1_000_000, 33
+#: The label of none; sweeps over the edges within a block between two rounds, at most (what is left goes on in the next).
+NO_LABEL, SWEEPS = np.iinfo(np.int64).max, 100
 #: Rows of a partition in which the methods of a field are put in order, about.
 FIELD_ROWS = 1_000_000
 #: Rounds after which a state's lineage is cut in the shared folder.
@@ -36,37 +39,50 @@ CUT_ROUNDS = 20
 class Blocks:
     """A graph in blocks of nodes near in order, over which values are pushed along the edges, block by block in arrays.
 
-    Edges are moved once, to the block that they come from; a round moves a number
-    for each node that a block's edges lead to. Which number stands for which node
-    is agreed on beforehand. Blocks and states are persisted RDDs of one element a
-    partition, and are made anew from the staged edges if an executor is lost;
-    close() drops them. A state is a dict of arrays by node.
+    Nodes are int64 numbers: the nodes themselves, where they are whole numbers and
+    no edge has a null, and else numbers given to them in their order. Edges are
+    moved once, to the block that they come from; a round moves a number for each
+    node that a block's edges lead to. Which number stands for which node is agreed
+    on beforehand. Blocks and states are persisted RDDs of one element a partition,
+    and are made anew from the staged edges if an executor is lost; close() drops
+    them. A state is a dict of arrays by node.
     """
 
-    def __init__(self, edges: DataFrame, both: bool = False):
+    def __init__(self, edges: DataFrame):
         self.spark = edges.sparkSession
         cores = self.spark.sparkContext.defaultParallelism
         self.held: list[RDD] = []
         self.rounds = 0
-        many = min(max(2 * cores, edges.count() // BLOCK_EDGES), 1 << 16)
-        every = nodes(edges).where("node is not null").repartitionByRange(many, "node").sortWithinPartitions("node")
-        self.numbered = cut(every.select("node", F.monotonically_increasing_id().alias("number")))
-        block = F.shiftright("number", LOW_BITS).cast("int")
-        self.sizes = {r["b"]: r["c"] for r in self.numbered.groupBy(block.alias("b")).agg(F.count("*").alias("c")).collect()}  # a row for each block
-        self.many, self.n = max(self.sizes, default=-1) + 1, sum(self.sizes.values())
-        if not self.n:
-            return
-        source, target = self.numbered.select(F.col("node").alias("src"), F.col("number").alias("s")), self.numbered.select(F.col("node").alias("dst"), F.col("number").alias("d"))
-        coded = cut(edges.join(source, "src").join(target, "dst").select("s", "d"))
-        self.forward = self._built(coded.select("s", "d"))
-        self.backward = self._built(coded.select(F.col("d").alias("s"), F.col("s").alias("d"))) if both else None
+        self.kind = nodes(edges).schema["node"].dataType
+        self.numbered, sizes = None, {}
+        count = edges.count()
+        many = min(max(4, 2 * cores, count // BLOCK_EDGES), 1 << 16)
+        if isinstance(self.kind, IntegralType) and edges.where("src is null or dst is null").isEmpty():
+            coded = edges.select(F.col("src").cast("long").alias("s"), F.col("dst").cast("long").alias("d"))
+            at = F.array(*[F.lit(i / (many // 2)) for i in range(1, many // 2)])
+            cuts = coded.agg(*[F.percentile_approx(c, at, max(10_000, 4 * many)) for c in "sd"]).first() if count else ()
+            self.bounds = np.array(sorted({x for c in cuts for x in c or ()}), np.int64)  # at most a number for each block
+        else:
+            every = nodes(edges).where("node is not null").repartitionByRange(many, "node").sortWithinPartitions("node")
+            self.numbered = cut(every.select("node", F.monotonically_increasing_id().alias("number")))
+            block = F.shiftright("number", LOW_BITS).cast("int")
+            sizes = {r["b"]: r["c"] for r in self.numbered.groupBy(block.alias("b")).agg(F.count("*").alias("c")).collect()}  # a row for each block
+            source, target = self.numbered.select(F.col("node").alias("src"), F.col("number").alias("s")), self.numbered.select(F.col("node").alias("dst"), F.col("number").alias("d"))
+            coded = cut(edges.join(source, "src").join(target, "dst").select("s", "d"))
+            self.bounds = np.arange(1, max(sizes, default=0) + 1, dtype=np.int64) << LOW_BITS
+        self.many = len(self.bounds) + 1
+        self.built = self._built(coded, sizes)
+        self.n = self.built.map(lambda x: x["n"]).sum()
+        self.drop(self.held[0])
 
     def _keep(self, rdd: RDD) -> RDD:
-        self.held.append(rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1)).persist(StorageLevel.MEMORY_AND_DISK))
+        self.held.append(self._one(rdd).persist(StorageLevel.MEMORY_AND_DISK))
         return self.held[-1]
 
-    def _built(self, coded: DataFrame) -> RDD:
-        many, sizes = self.many, self.sizes
+    def _built(self, coded: DataFrame, sizes: dict[int, int]) -> RDD:
+        """The blocks. sizes: of each block whose numbers follow each other without a gap; else its nodes are those of edges."""
+        many, bounds = self.many, self.bounds
+        block_of = lambda x: np.searchsorted(bounds, x, "right")
 
         def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, count = [], 0
@@ -76,54 +92,72 @@ class Blocks:
                     count += len(frame)
                 if held and (frame is None or count >= BLOCK_EDGES):
                     pairs = np.concatenate(held)
-                    pairs = pairs[np.argsort(pairs[:, 0] >> LOW_BITS, kind="stable")]
-                    names, begins = np.unique(pairs[:, 0] >> LOW_BITS, return_index=True)
-                    yield pd.DataFrame({"b": names.astype(np.int32), "pairs": [x.tobytes() for x in np.split(pairs, begins[1:])]})
+                    blocks = block_of(pairs[:, 0])
+                    order = np.argsort(blocks, kind="stable")
+                    names, begins = np.unique(blocks[order], return_index=True)
+                    yield pd.DataFrame({"b": names.astype(np.int32), "pairs": [x.tobytes() for x in np.split(pairs[order], begins[1:])]})
                     held, count = [], 0
 
         def block(b: int, found: Iterator) -> Iterator[dict]:
             pairs = np.concatenate([np.empty((0, 2), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 2) for _, x in found)])
             pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
             targets, begins = np.unique(pairs[:, 1], return_index=True)
-            source = (pairs[:, 0] & ((1 << LOW_BITS) - 1)).astype(np.int32)
-            to, cuts = np.unique(targets >> LOW_BITS, return_index=True)
-            n = sizes.get(b, 0)
-            yield {"b": b, "n": n, "source": source, "begins": begins, "to": to.tolist(), "cuts": cuts[1:], "targets": (targets & ((1 << LOW_BITS) - 1)).astype(np.int32), "degree": np.bincount(source, minlength=n)}
+            sources, source = np.unique(pairs[:, 0], return_inverse=True)
+            to, cuts = np.unique(block_of(targets), return_index=True)
+            yield {"b": b, "sources": sources, "source": source.astype(np.int32), "begins": begins, "to": to.tolist(), "cuts": cuts[1:], "targets": targets}
+
+        def placed(pair: tuple[dict, dict]) -> dict:
+            x, told = pair
+            numbers = (x["b"] << LOW_BITS) + np.arange(sizes.get(x["b"], 0)) if sizes else np.unique(np.concatenate([x["sources"], *told.values()]))
+            source = np.searchsorted(numbers, x["sources"]).astype(np.int32)[x["source"]]
+            places = {b: np.searchsorted(numbers, t).astype(np.int32) for b, t in told.items()}
+            return {**{k: v for k, v in x.items() if k != "sources"}, "source": source, "n": len(numbers), "numbers": numbers, "degree": np.bincount(source, minlength=len(numbers)), "places": places}
 
         rows = coded.mapInPandas(dealt, "b int, pairs binary").rdd.map(lambda r: (r[0], bytes(r[1])))
-        built = self._keep(rows.partitionBy(many, int).mapPartitionsWithIndex(block))
-        told = built.flatMap(lambda x: [(k, (x["b"], t)) for k, t in zip(x["to"], np.split(x["targets"], x["cuts"]))]).partitionBy(many, int)
+        dealt_out = self._keep(rows.partitionBy(many, int).mapPartitionsWithIndex(block))
+        told = dealt_out.flatMap(lambda x: [(k, (x["b"], t)) for k, t in zip(x["to"], np.split(x["targets"], x["cuts"]))]).partitionBy(many, int)
         told = told.mapPartitions(lambda found: [{b: t for _, (b, t) in found}])
-        return self._keep(built.zip(self._one(told)).map(lambda x: {**{k: v for k, v in x[0].items() if k != "targets"}, "places": x[1]}))
+        return self._keep(dealt_out.zip(self._one(told)).map(placed))
 
     @staticmethod
     def _one(rdd: RDD) -> RDD:
         return rdd._reserialize(BatchedSerializer(CPickleSerializer(), 1))
 
     def state(self, first: Callable[[dict], dict]) -> RDD:
-        """A state made from each block: its number b, its n nodes and their degree."""
-        return self._keep(self.forward.map(first))
+        """A state made from each block: its number b, its n nodes, their numbers and their degree."""
+        return self._keep(self.built.map(first))
+
+    def push(self, state: RDD, value: Callable[[dict, dict], np.ndarray], op: np.ufunc, nothing, absorb: Callable[..., dict], back: Callable[[dict, dict], np.ndarray] | None = None) -> RDD:
+        """The state after each node's value has gone along its edges, and absorb has got what op makes of those that arrive (nothing if none do).
 
-    def push(self, state: RDD, value: Callable[[dict, dict], np.ndarray], op: np.ufunc, nothing, absorb: Callable[[dict, dict, np.ndarray], dict], back: bool = False) -> RDD:
-        """The state after each node's value has gone along its edges, and absorb has got what op makes of those that arrive (nothing if none do)."""
-        blocks = self.backward if back else self.forward
+        With back, absorb also gets what that gives for each of the block's targets, wherever they are, in their order.
+        """
 
         def send(pair: tuple[dict, dict]) -> list[tuple]:
             x, old = pair
-            if not len(x["source"]):
-                return []
-            return [(k, (x["b"], v)) for k, v in zip(x["to"], np.split(op.reduceat(value(x, old)[x["source"]], x["begins"]), x["cuts"]))]
+            out = []
+            if len(x["source"]):
+                out = [(k, (x["b"], 0, v)) for k, v in zip(x["to"], np.split(op.reduceat(value(x, old)[x["source"]], x["begins"]), x["cuts"]))]
+            if back is not None:
+                own = back(x, old)
+                out += [(k, (x["b"], 1, own[at])) for k, at in x["places"].items()]
+            return out
 
         def receive(triple: tuple) -> dict:
             (x, old), sent = triple
-            got = np.full(x["n"], nothing)
-            for _, (b, v) in sorted(sent, key=lambda m: m[1][0]):
-                at = x["places"][b]
-                got[at] = op(got[at], v)
-            return absorb(x, old, got)
-
-        sent = blocks.zip(state).flatMap(send).partitionBy(self.many, int).mapPartitions(lambda found: [list(found)])
-        new = self._keep(self._one(blocks.zip(state)).zip(self._one(sent)).map(receive))
+            got, far = np.full(x["n"], nothing), []
+            for _, (b, answer, v) in sorted(sent, key=lambda m: m[1][:2]):
+                if answer:
+                    far.append(v)
+                else:
+                    at = x["places"][b]
+                    got[at] = op(got[at], v)
+            if back is None:
+                return absorb(x, old, got)
+            return absorb(x, old, got, np.concatenate(far) if far else back(x, old)[:0])
+
+        sent = self.built.zip(state).flatMap(send).partitionBy(self.many, int).mapPartitions(lambda found: [list(found)])
+        new = self._keep(self._one(self.built.zip(state)).zip(self._one(sent)).map(receive))
         self.rounds += 1
         if self.rounds % CUT_ROUNDS == 0:
             context = self.spark.sparkContext
@@ -139,20 +173,25 @@ class Blocks:
         state.unpersist()
         self.held.remove(state)
 
-    def table(self, state: RDD, name: str, kind: str, where: str | None = None) -> DataFrame:
-        """(number, name) of the state's array of that name, where another is true."""
+    def table(self, state: RDD, of: Callable[[dict, dict], tuple], schema: str) -> DataFrame:
+        """The arrays that a function gives for a block and its state, as the long and double columns of the schema."""
+        kinds = [c.split() for c in schema.split(", ")]
 
-        def row(b: int, found: Iterator[dict]) -> Iterator[tuple]:
-            for x in found:
-                at = np.arange(len(x[name])) if where is None else np.flatnonzero(x[where])
-                yield bytearray(((b << LOW_BITS) + at).astype(np.int64).tobytes()), bytearray(x[name][at].tobytes())
+        def row(pair: tuple[dict, dict]) -> tuple:
+            return tuple(bytearray(np.ascontiguousarray(v, np.float64 if kind == "double" else np.int64).tobytes()) for v, (_, kind) in zip(of(*pair), kinds))
 
         def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for number, x in zip(frame["number"], frame["x"]):
-                    yield pd.DataFrame({"number": np.frombuffer(number, np.int64), name: np.frombuffer(x, np.float64 if kind == "double" else np.int64)})
+                for r in frame.itertuples(index=False):
+                    yield pd.DataFrame({name: np.frombuffer(v, np.float64 if kind == "double" else np.int64) for v, (name, kind) in zip(r, kinds)})
 
-        return self.spark.createDataFrame(state.mapPartitionsWithIndex(row), "number binary, x binary").mapInPandas(rows, f"number long, {name} {kind}")
+        return self.spark.createDataFrame(self.built.zip(state).map(row), ", ".join(f"{name} binary" for name, _ in kinds)).mapInPandas(rows, schema)
+
+    def named(self, df: DataFrame, number: str, node: str) -> DataFrame:
+        """The table with nodes in place of their numbers."""
+        if self.numbered is None:
+            return df.withColumn(number, F.col(number).cast(self.kind)).withColumnRenamed(number, node)
+        return df.join(self.numbered.select(F.col("node").alias(node), F.col("number").alias(number)), number).drop(number)
 
     def close(self) -> None:
         for rdd in self.held:
@@ -205,7 +244,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 150, epsilon
     blocks = Blocks(cut(edges.select("src", "dst")))
     n = blocks.n
     if not n:
-        return blocks.numbered.select("node", F.lit(1.0).alias("score"))
+        return nodes(edges).where("node is not null").select("node", F.lit(1.0).alias("score"))
     state = blocks.state(lambda x: {"rank": np.full(x["n"], 1.0 / n), "lost": float((x["degree"] == 0).sum()) / n, "moved": 1.0})
     for _ in range(rounds):
         lost = blocks.total(state, lambda s: s["lost"])
@@ -220,9 +259,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 150, epsilon
         state = new
         if epsilon and moved < epsilon:
             break
-    rank = cut(blocks.table(state, "rank", "double"))
+    rank = cut(blocks.table(state, lambda x, s: (x["numbers"], s["rank"]), "number long, score double"))
     blocks.close()
-    return by_maximum(blocks.numbered.join(rank, "number").select("node", F.col("rank").alias("score")), "score")
+    return by_maximum(blocks.named(rank, "number", "node").select("node", "score"), "score")
 
 
 def betweenness(edges: DataFrame, max_nodes: int = 5000, sources: int | None = None) -> DataFrame:
@@ -320,54 +359,90 @@ def two_cycles(edges: DataFrame) -> DataFrame:
     return a.join(b, (F.col("src") == F.col("d")) & (F.col("dst") == F.col("s"))).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-def _spread_label(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
-    """(node, label): each node's least label among its own and those of all that reach it."""
-    for _ in range(rounds):
-        sent = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
-        step = cut(labels.join(sent, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("got", "label")).alias("label")))
-        labels = step.select("node", "label")
-        if step.where("was <> label").isEmpty():
-            return labels
-    raise RuntimeError("labels did not settle")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0, one to one, in an order that has nothing to do with theirs."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _targets(x: dict) -> np.ndarray:
+    """Of each edge of a block, the place of its target among the block's targets."""
+    return np.repeat(np.arange(len(x["begins"])), np.diff(x["begins"], append=len(x["source"])))
+
+
+def _nearer(x: dict, old: dict, got: np.ndarray, far: np.ndarray) -> dict:
+    """Labels of a block after what came from all blocks, and after sweeps over the edges within it."""
+    source, target = x["source"], _targets(x)
+    out = np.full(x["n"], NO_LABEL)
+    np.minimum.at(out, source, far[target])
+    own = np.empty(0, np.int64)
+    if x["b"] in x["to"]:  # the targets of a block lie side by side, and so do edges to them
+        i = x["to"].index(x["b"])
+        begin, end = np.searchsorted(target, [[0, *x["cuts"]][i], [*x["cuts"], len(far)][i]])
+        source, own = source[begin:end], x["places"][x["b"]][target[begin:end] - target[begin]]
+    else:
+        source = source[:0]
+    a, b = old["above"], old["below"]
+    for _ in range(SWEEPS):
+        above, below = got.copy(), out.copy()
+        np.minimum.at(above, own, a[source])
+        np.minimum.at(below, source, b[own])
+        off = (above == NO_LABEL) | (below == NO_LABEL) | (a == NO_LABEL)
+        above, below = np.where(off, NO_LABEL, np.minimum(a, above)), np.where(off, NO_LABEL, np.minimum(b, below))
+        same = np.array_equal(a, above) and np.array_equal(b, below)
+        a, b = above, below
+        if same:
+            break
+    return {"above": a, "below": b, "moved": int(((a != old["above"]) | (b != old["below"])).sum())}
+
 
+def _settled(x: dict, old: dict, got: np.ndarray, far: np.ndarray) -> dict:
+    """Nodes whose component is found, and the edges between others that may be within one."""
+    source, target, a, b = x["source"], _targets(x), old["above"], old["below"]
+    done = (a == b) & (a != NO_LABEL)
+    left = (a != b)[source] & (far[target, 0] == a[source]) & (far[target, 1] == b[source])
+    return {"number": x["numbers"][done], "label": a[done], "s": x["numbers"][source[left]], "d": x["targets"][target[left]]}
 
-def components_strong(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+
+def components_strong(edges: DataFrame) -> DataFrame:
     """(node, component, size) of strongly connected components of 2 nodes or more, named by their least node.
 
-    Colouring: nodes without an edge in or out are trimmed off, each in rounds of
-    their own; the least label flows forward until none changes; what reaches a
-    label's own node within its colour is that node's component. Components go,
-    and the rest is coloured anew. State is a label for each node, never a pair.
+    Colouring in blocks: of labels in a mixed order, each node takes the least of
+    those that reach it and the least of those that it reaches, both at once, until
+    none changes; nodes without an edge in or out drop off meanwhile. Where the two
+    are the same they name the component. Others are told apart by the two, and
+    edges between those of which both are equal are coloured anew. State is two
+    labels for each node, never a pair, and a round moves no edges.
     """
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    found = None
-    while not e.isEmpty():
-        while True:  # trim
-            inner = e.select("src").distinct().join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").withColumnRenamed("src", "node")
-            kept = cut(e.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
-            done = kept.count() == e.count()
-            e = kept
-            if done:
-                break
-        every = nodes(e)
-        colour = _spread_label(e, every.select("node", F.col("node").alias("label")), rounds)
-        same = e.join(colour.select(F.col("node").alias("src"), F.col("label").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("d")), "dst").where("c = d")
-        back = cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        # from each colour's own node backwards, in its colour
-        front = colour.where("node = label").select("node")
-        reached = front
-        for _ in range(rounds):
-            new = cut(back.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti"))
-            if new.isEmpty():
-                break
-            reached, front = cut(reached.unionByName(new)), new
-        own = cut(colour.join(reached, "node", "left_semi").select("node", F.col("label").alias("component")))
+    left, first, found = cut(edges.select("src", "dst").where("src <> dst")), None, None
+    for turn in itertools.count():
+        if left.isEmpty():
+            break
+        blocks = Blocks(left)
+        first = first or blocks
+
+        def start(x: dict) -> dict:
+            label = _mixed((x["b"] << LOW_BITS) + np.arange(x["n"]))
+            return {"above": label, "below": label}
+
+        state, moved = blocks.state(start), True
+        while moved:
+            new = blocks.push(state, lambda x, s: s["above"], np.minimum, NO_LABEL, _nearer, lambda x, s: s["below"])
+            moved = blocks.total(new, lambda s: s["moved"])
+            blocks.drop(state)
+            state = new
+        state = blocks.push(state, lambda x, s: s["above"], np.minimum, NO_LABEL, _settled, lambda x, s: np.stack([s["above"], s["below"]], 1))
+        own = cut(blocks.table(state, lambda x, s: (s["number"], s["label"]), "number long, label long")).withColumn("turn", F.lit(turn))
+        left = cut(blocks.table(state, lambda x, s: (s["s"], s["d"]), "src long, dst long"))
         found = own if found is None else found.unionByName(own)
-        e = cut(e.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        blocks.close()
     if found is None:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
-    many = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    return found.join(many, "component").select("node", "component", "size")
+    many = found.groupBy("turn", "label").agg(F.count("*").alias("size"), F.min("number").alias("least")).where("size > 1")
+    found = found.join(many, ["turn", "label"]).select("number", "least", "size")
+    return first.named(first.named(found, "number", "node"), "least", "component").select("node", "component", "size")
 
 
 def collapse(edges: DataFrame, groups: DataFrame) -> DataFrame:

@@ -34,11 +34,16 @@ def g(spark, sf_dir) -> DataFrame:
     return staged(n.withColumn("a", usual).where("k > a").select("src", "dst"), "trade")
 
 
-def parts(spark, sf_dir) -> DataFrame:
-    """Parts that follow each other in an order."""
+def followers(spark, sf_dir) -> DataFrame:
+    """Parts that follow each other in an order, as often as they do."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     p = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
-    return staged(p.where("dst is not null and src <> dst").distinct(), "parts")
+    return p.where("dst is not null and src <> dst")
+
+
+def parts(spark, sf_dir) -> DataFrame:
+    """Parts that follow each other in an order."""
+    return staged(followers(spark, sf_dir).distinct(), "parts")
 
 
 DEG_SQL = f"""{G_SQL}, {NODES_SQL}, n AS (SELECT count(*) AS n FROM nodes),
@@ -227,4 +232,4 @@ def graph_parts_impact(spark, sf_dir):
 @query("graph_parts_scc")
 def graph_parts_scc(spark, sf_dir):
     """Strongly connected parts. A closure of this graph is too large for SQL; the operator is tested by brute force."""
-    return graph.components_strong(parts(spark, sf_dir))
+    return graph.components_strong(followers(spark, sf_dir))

@@ -228,3 +228,74 @@ def test_links_of_methods_are_taken_once(spark, shuffled):
             up[top((c, x))] = top((c, "f", f)) if f is not None else top((c, x))
     want = {c: len({top((c, x)) for k, x, _ in rows if k == c and x is not None}) for c in {r[0] for r in rows}}
     assert {r["cls"]: r["lcom4"] for r in graph.lcom4(m).collect()} == want
+
+
+def test_rounds_of_components_leave_edges_where_they_are(spark, shuffled):
+    from tessera.operators import graph
+
+    e = dense(spark)
+    once = shuffled(lambda: e.repartition(8, "dst"))
+    assert shuffled(lambda: graph.components_strong(e)) < 4 * once
+
+
+def strong_by_kosaraju(pairs):
+    """{node: (least node of its component, size)} of components of two or more."""
+    out, into = {}, {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        into.setdefault(b, []).append(a)
+    order, seen = [], set()
+    for x in out:
+        todo = [] if x in seen else [(x, iter(out[x]))]
+        seen.add(x)
+        while todo:
+            y, rest = todo[-1]
+            if (z := next((z for z in rest if z not in seen), None)) is None:
+                order.append(todo.pop()[0])
+            else:
+                seen.add(z)
+                todo.append((z, iter(out.get(z, ()))))
+    done, found = set(), {}
+    for x in reversed(order):
+        own, todo = [], [] if x in done else [x]
+        done.add(x)
+        while todo:
+            own.append(todo.pop())
+            for z in into.get(own[-1], ()):
+                if z not in done:
+                    done.add(z)
+                    todo.append(z)
+        if len(own) > 1:
+            found |= {y: (min(own), len(own)) for y in own}
+    return found
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_in_a_chain(spark, monkeypatch, kind):
+    """Components that follow each other are told apart in few turns, however they are named; a path of single nodes between blocks drops off."""
+    from tessera.operators import graph
+
+    built = []
+    real = graph.Blocks.__init__
+    monkeypatch.setattr(graph.Blocks, "__init__", lambda self, edges: (built.append(1), real(self, edges))[1])
+    rng = random.Random(8)
+    pairs = [p for i in range(0, 200, 2) for p in ((i, i + 1), (i + 1, i), (i + 1, i + 2))] + [(i, i + 1) for i in range(300, 330)] + [(329, 0), (5, 5), (0, 1), (0, 1)]
+    pairs += [(1000 + rng.randrange(400), 1000 + rng.randrange(400)) for _ in range(480)] + [(-(2**63), 2**63 - 1), (2**63 - 1, -(2**63)), (-7, 2**63 - 1)]
+    if kind == "string":
+        pairs = [(f"n{a}", f"n{b}") for a, b in pairs]
+    e = spark.createDataFrame([*pairs, (None, pairs[0][0]), (pairs[0][0], None), (None, None)], f"src {kind}, dst {kind}")
+    got = graph.components_strong(e)
+    want = strong_by_kosaraju([p for p in pairs if p[0] != p[1]])
+    assert len(want) > 200 and sorted((r["node"], r["component"], r["size"]) for r in got.collect()) == sorted((x, *y) for x, y in want.items())
+    assert len(built) <= 12
+
+
+def test_components_of_narrow_and_of_no_nodes(spark):
+    from tessera.operators import graph
+
+    for kind in ("byte", "double"):
+        e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (4, 4)], "src int, dst int").select(*[F.col(c).cast(kind) for c in ("src", "dst")])
+        got = graph.components_strong(e)
+        assert got.schema["node"].dataType == e.schema["src"].dataType == got.schema["component"].dataType
+        assert sorted(map(tuple, got.select(F.col("node").cast("double"), F.col("component").cast("double"), "size").collect())) == [(1, 1, 2), (2, 1, 2)]
+        assert graph.components_strong(e.where("src >= 2")).count() == graph.components_strong(e.limit(0)).count() == 0
